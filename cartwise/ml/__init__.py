@@ -1,0 +1 @@
+"""MLlib layer: feature stages, classifiers, evaluation, scoring."""

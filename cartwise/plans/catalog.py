@@ -193,6 +193,68 @@ def q_sql_view(spark, sf_dir):
                                   "GROUP BY o_orderpriority")
 
 
+# --- model-backed queries (checked by rows: fitting is not SQL) -------------
+
+def _intent_inputs(spark, sf_dir):
+    from cartwise.plans.intent import build_training_frame
+    inp = load_inputs(spark, sf_dir)
+    return inp, build_training_frame(inp.events, inp.items)
+
+
+def q_downsample_negatives(spark, sf_dir):
+    _, xy = _intent_inputs(spark, sf_dir)
+    train, _, _ = split.temporal_split(xy)
+    bal, _ = split.downsample_negatives(train)
+    return bal.select("session_id", "itemid", "label")
+
+
+def q_random_split(spark, sf_dir):
+    _, test = split.random_split(table(spark, sf_dir, "orders"))
+    return test.select("o_orderkey", "o_orderstatus")
+
+
+def q_score_logistic(spark, sf_dir):
+    from cartwise.plans.intent import run_intent
+    inp, xy = _intent_inputs(spark, sf_dir)
+    return run_intent(inp.events, inp.items, xy=xy).topk
+
+
+def q_score_forest(spark, sf_dir):
+    from cartwise.ml.model import forest
+    from cartwise.plans.intent import run_intent
+    inp, xy = _intent_inputs(spark, sf_dir)
+    return run_intent(inp.events, inp.items, classifier=forest(), xy=xy, name="rf").topk
+
+
+def q_score_saved_model(spark, sf_dir):
+    from cartwise.config import ensure_checkpoint_dir
+    from cartwise.ml import model as M
+    from cartwise.ml.score import score_from_saved
+    import uuid
+    _, xy = _intent_inputs(spark, sf_dir)
+    train, test, _ = split.temporal_split(xy)
+    path = f"{ensure_checkpoint_dir(spark)}/models/lr-{uuid.uuid4().hex}"
+    M.save(M.train_intent(train), path)
+    return scoring.top_k(score_from_saved(path, test))
+
+
+def q_train_multiclass(spark, sf_dir):
+    from cartwise.ml.model import train_generic
+    m = train_generic(table(spark, sf_dir, "orders"), "o_orderstatus",
+                      num_cols=["o_totalprice", "o_custkey"], cat_cols=["o_orderpriority"],
+                      model_type="lr")
+    return m.test_preds.select("o_orderkey", "o_orderstatus", "prediction", "p_max")
+
+
+def q_train_binary(spark, sf_dir):
+    from cartwise.ml.model import train_generic
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    data = table(spark, sf_dir, "labels").join(docs, "doc_id", "inner")
+    m = train_generic(data, "quality", num_cols=["n_chars", "toxic"], cat_cols=["lang", "source"],
+                      model_type="lr")
+    return m.test_preds.select("doc_id", "quality", "prediction", "p1")
+
+
 QUERIES: dict[str, Query] = {
     "event_counts": q_event_counts,
     "time_range": q_time_range,
@@ -226,4 +288,11 @@ QUERIES: dict[str, Query] = {
     "class_count": q_class_count,
     "drop_empty_rows": q_drop_empty_rows,
     "sql_view": q_sql_view,
+    "downsample_negatives": q_downsample_negatives,
+    "random_split": q_random_split,
+    "score_logistic": q_score_logistic,
+    "score_forest": q_score_forest,
+    "score_saved_model": q_score_saved_model,
+    "train_multiclass": q_train_multiclass,
+    "train_binary": q_train_binary,
 }
