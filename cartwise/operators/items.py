@@ -29,7 +29,7 @@ def union_properties(*parts: DataFrame) -> DataFrame:
 
 def latest_properties(props: DataFrame) -> DataFrame:
     """``(itemid, property, value)``: the value with the latest ``ts``."""
-    return (props.groupBy("itemid", "property")
+    return (with_ts(props).groupBy("itemid", "property")
             .agg(F.max(F.struct("ts", "value")).alias("_l"))
             .select("itemid", "property", F.col("_l.value").alias("value")))
 
@@ -67,7 +67,7 @@ def items_wide(props: DataFrame, keys: Sequence[str] = PIVOT_KEYS) -> DataFrame:
     filter is pushed into the scan.
     """
     keys = list(keys)
-    wide = (props.filter(F.col("property").isin(*keys))
+    wide = (with_ts(props).filter(F.col("property").isin(*keys))
             .groupBy("itemid")
             .agg(*[F.max(F.when(F.col("property") == k, F.struct("ts", "value"))).alias(f"_{k}")
                    for k in keys])

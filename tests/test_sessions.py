@@ -1,0 +1,136 @@
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+
+from cartwise.operators import sessions
+
+SCHEMA = "visitorid string, event string, itemid int, ts timestamp"
+T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+def at(sec: float) -> datetime:
+    return T0 + timedelta(microseconds=round(sec * 1_000_000))
+
+
+def us(dt: datetime) -> int:
+    return round(dt.timestamp() * 1_000_000)
+
+
+def seqs(df):
+    from pyspark.sql import functions as F
+    return sorted((r["visitorid"], r["us"], r["itemid"], r["session_seq"], r["session_id"])
+                  for r in df.select("visitorid", F.unix_micros("ts").alias("us"), "itemid",
+                                     "session_seq", "session_id").collect())
+
+
+def brute_force(rows, gap=30):
+    """The rule written out row by row (ground truth for the tests)."""
+    out = {}
+    by_user = {}
+    for v, e, i, ts in rows:
+        by_user.setdefault(v, []).append((ts, i))
+    for v, evs in by_user.items():
+        evs.sort(key=lambda x: x[0])
+        count, prev = 0, None
+        j = 0
+        while j < len(evs):
+            k = j
+            while k < len(evs) and evs[k][0] == evs[j][0]:
+                k += 1
+            sec = int(evs[j][0].timestamp() // 1)
+            if prev is None or (sec - prev) / 60.0 > gap:
+                count += 1
+            for t in range(j, k):
+                out[(v, us(evs[t][0]), evs[t][1])] = count
+            prev = sec
+            j = k
+    return out
+
+
+def test_gap_rule_whole_seconds(spark):
+    rows = [
+        ("a", "view", 1, at(0)),
+        ("a", "view", 2, at(1800.0)),      # exactly 30:00 -> same session
+        ("b", "view", 1, at(0)),
+        ("b", "view", 2, at(1800.9)),      # 30:00.9, whole seconds 1800 -> same
+        ("c", "view", 1, at(0)),
+        ("c", "view", 2, at(1801.0)),      # 30:01 -> new session
+    ]
+    df = sessions.sessionize(spark.createDataFrame(rows, SCHEMA))
+    got = {(r["visitorid"], r["itemid"]): r["session_seq"] for r in df.collect()}
+    assert got == {("a", 1): 1, ("a", 2): 1, ("b", 1): 1, ("b", 2): 1, ("c", 1): 1, ("c", 2): 2}
+    ids = {(r["visitorid"], r["itemid"]): r["session_id"] for r in df.collect()}
+    assert ids[("c", 2)] == "c-2"
+
+
+def test_first_event_and_duration(spark):
+    df = spark.createDataFrame([("solo", "view", 7, at(100.5))], SCHEMA)
+    s = sessions.sessionize(df)
+    feats = sessions.session_features(s).collect()
+    assert len(feats) == 1
+    assert feats[0]["session_id"] == "solo-1"
+    assert feats[0]["duration_min"] == 0.0
+    assert feats[0]["unique_items"] == 1 and feats[0]["views"] == 1
+
+
+def test_tied_times_at_session_start(spark):
+    rows = [("t", "view", 1, at(0)), ("t", "view", 2, at(5000)), ("t", "addtocart", 3, at(5000)),
+            ("t", "view", 4, at(5030))]
+    s = sessions.sessionize(spark.createDataFrame(rows, SCHEMA))
+    got = {r["itemid"]: r["session_seq"] for r in s.collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2}
+
+
+@pytest.mark.parametrize("bucket", [60, 600, 3600, 86400])
+def test_bucketed_equals_single_window_and_brute_force(spark, bucket):
+    rnd = random.Random(bucket)
+    rows = []
+    for v in range(12):
+        t = rnd.uniform(0, 3000)
+        for _ in range(rnd.randint(1, 40)):
+            step = rnd.choice([0, 0.3, 59.9, 600, 1799.2, 1800, 1800.9, 1801, 2500, 20000, 90000])
+            t += step
+            rows.append((f"u{v}", rnd.choice(["view", "addtocart", "transaction"]),
+                         rnd.randint(1, 6), at(round(t, 3))))
+    # de-duplicate exact (visitor, ts, item) triples to keep the key unique
+    rows = list({(r[0], r[3], r[2]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    a = seqs(sessions.sessionize(df, bucket_seconds=bucket))
+    b = seqs(sessions.sessionize_single_window(df))
+    assert a == b
+    truth = brute_force([(r[0], r[1], r[2], r[3]) for r in rows])
+    got = {(v, t, i): s for v, t, i, s, _ in a}
+    assert got == truth
+
+
+def test_layout_invariance(spark):
+    rnd = random.Random(7)
+    rows = [(f"u{rnd.randint(0, 5)}", "view", rnd.randint(1, 9), at(rnd.uniform(0, 50000)))
+            for _ in range(300)]
+    base = spark.createDataFrame(rows, SCHEMA)
+    results = [seqs(sessions.sessionize(base.repartition(n))) for n in (1, 4, 16)]
+    assert results[0] == results[1] == results[2]
+
+
+def test_session_invariants(spark):
+    rnd = random.Random(11)
+    rows = [(f"u{rnd.randint(0, 9)}", rnd.choice(["view", "addtocart", "transaction"]),
+             rnd.randint(1, 20), at(rnd.uniform(0, 200000))) for _ in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    s = sessions.sessionize(df)
+    # each event in exactly one session
+    assert s.count() == len(rows)
+    f = sessions.session_features(s)
+    tot = f.agg({"views": "sum", "adds": "sum", "txns": "sum"}).first()
+    assert tot["sum(views)"] == sum(r[1] == "view" for r in rows)
+    assert tot["sum(adds)"] == sum(r[1] == "addtocart" for r in rows)
+    assert tot["sum(txns)"] == sum(r[1] == "transaction" for r in rows)
+    # inside a session no gap over the limit; between sessions always over
+    pdf = s.toPandas().sort_values(["visitorid", "ts"])
+    for _, g in pdf.groupby("visitorid"):
+        secs = (g["ts"].astype("int64") // 10**9).tolist()
+        seq = g["session_seq"].tolist()
+        for i in range(1, len(secs)):
+            over = (secs[i] - secs[i - 1]) / 60.0 > 30
+            assert (seq[i] == seq[i - 1] + 1) if over else (seq[i] == seq[i - 1])
