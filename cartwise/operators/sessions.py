@@ -41,9 +41,8 @@ def sessionize(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
                user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
     """Add ``session_seq`` (long, from 1) and ``session_id`` (``visitor-seq``)."""
     gap = F.lit(float(gap_minutes))
-    e = (events
-         .withColumn("_sec", whole_seconds(ts_col))
-         .withColumn("_bkt", F.floor(F.col("_sec") / F.lit(int(bucket_seconds)))))
+    sec = whole_seconds(ts_col)
+    e = events.withColumns({"_sec": sec, "_bkt": F.floor(sec / F.lit(int(bucket_seconds)))})
 
     w_in = Window.partitionBy(user_col, "_bkt").orderBy(ts_col)
     prev = F.lag("_sec").over(w_in)
@@ -52,22 +51,22 @@ def sessionize(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
     # default frame = RANGE unbounded preceding .. current row: tied ts share a count
     e = e.withColumn("_run_in", F.sum("_open_in").over(w_in))
 
-    summary = (e.groupBy(user_col, "_bkt")
-               .agg(F.min("_sec").alias("_first"), F.max("_sec").alias("_last"),
-                    F.sum("_open_in").alias("_opens_in")))
     w_b = Window.partitionBy(user_col).orderBy("_bkt")
     prev_last = F.lag("_last").over(w_b)
-    summary = summary.withColumn(
-        "_open_first",
-        F.when(prev_last.isNull() | ((F.col("_first") - prev_last) / F.lit(60.0) > gap), 1).otherwise(0))
-    summary = summary.withColumn("_opens", F.col("_open_first") + F.col("_opens_in"))
-    before = F.sum("_opens").over(w_b.rowsBetween(Window.unboundedPreceding, -1))
+    summary = (e.groupBy(user_col, "_bkt")
+               .agg(F.min("_sec").alias("_first"), F.max("_sec").alias("_last"),
+                    F.sum("_open_in").alias("_opens_in"))
+               .withColumn("_open_first",
+                           F.when(prev_last.isNull() | ((F.col("_first") - prev_last) / F.lit(60.0) > gap), 1)
+                           .otherwise(0)))
+    before = F.sum(F.col("_open_first") + F.col("_opens_in")).over(
+        w_b.rowsBetween(Window.unboundedPreceding, -1))
     summary = summary.select(user_col, "_bkt",
                              (F.coalesce(before, F.lit(0)) + F.col("_open_first")).alias("_base"))
 
     out = e.join(summary, [user_col, "_bkt"], "inner")
-    out = out.withColumn("session_seq", (F.col("_base") + F.col("_run_in")).cast("long"))
-    out = out.withColumn("session_id", session_key(user_col, "session_seq"))
+    seq = (F.col("_base") + F.col("_run_in")).cast("long")
+    out = out.withColumns({"session_seq": seq, "session_id": session_key(user_col, seq)})
     return out.drop("_sec", "_bkt", "_open_in", "_run_in", "_base")
 
 

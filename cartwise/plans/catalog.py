@@ -120,7 +120,8 @@ def q_training_frame(spark, sf_dir):
 
 
 def q_temporal_split(spark, sf_dir):
-    xy = _xy(spark, sf_dir)
+    from cartwise.plans.materialize import materialize
+    xy = materialize(_xy(spark, sf_dir))      # the exact cut-off takes a few passes
     cutoff = split.temporal_cutoff(xy, relative_error=0.0)
     return split.split_flag(xy, cutoff).select("session_id", "itemid", "session_start_ts", "is_test")
 

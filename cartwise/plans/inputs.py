@@ -1,27 +1,41 @@
 """Lazy inputs shared by the composed plans: the clean event log and the item
-dimension built from the warehouse tables."""
+dimension built from the warehouse tables. Each frame is only planned when a
+query asks for it (planning a DataFrame costs driver round-trips)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartwise.constants import KEPT_EVENTS
 from cartwise.operators.clean import clean_events
 from cartwise.operators.items import items_wide, union_properties
 from cartwise.sources.tables import events_from_log, item_property_parts
 
 
-@dataclass
 class Inputs:
-    events_raw: DataFrame
-    events: DataFrame
-    props: DataFrame
-    items: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def events_raw(self) -> DataFrame:
+        """Warehouse events mapped to the event model, pre-filtered on the
+        source column to the kept event types (pushed into the scan)."""
+        return events_from_log(self.spark, self.sf_dir, keep=KEPT_EVENTS)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return clean_events(self.events_raw)
+
+    @cached_property
+    def props(self) -> DataFrame:
+        return union_properties(*item_property_parts(self.spark, self.sf_dir))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return items_wide(self.props)
 
 
 def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    raw = events_from_log(spark, sf_dir)
-    p1, p2 = item_property_parts(spark, sf_dir)
-    props = union_properties(p1, p2)
-    return Inputs(events_raw=raw, events=clean_events(raw), props=props, items=items_wide(props))
+    return Inputs(spark, sf_dir)

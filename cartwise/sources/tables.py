@@ -25,13 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def events_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_from_log(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     """Event log with ``visitorid, event, itemid, ts, transactionid``.
 
     ``ts`` is already a timestamp here (the warehouse stores microseconds),
-    so the epoch-ms conversion of the CSV path is not needed.
+    so the epoch-ms conversion of the CSV path is not needed. ``keep`` (event
+    model types) adds the same filter on the *source* column, where it is a
+    plain IN that reaches the Parquet scan (row groups are skipped by their
+    statistics); a filter on the mapped column cannot be pushed.
     """
     ev = table(spark, sf_dir, "events")
+    if keep is not None:
+        src = [s for s, d in EVENT_TYPE_MAP if d in keep]
+        unmapped = [k for k in keep if k not in {s for s, _ in EVENT_TYPE_MAP}]
+        ev = ev.filter(F.col("event_type").isin(*(src + unmapped)))
     mapped = F.col("event_type")
     expr = None
     for src, dst in EVENT_TYPE_MAP:
