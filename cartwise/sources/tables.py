@@ -39,7 +39,12 @@ def events_from_log(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
         src = [s for s, d in EVENT_TYPE_MAP if d in keep]
         unmapped = [k for k in keep if k not in {s for s, _ in EVENT_TYPE_MAP}]
         ev = ev.filter(F.col("event_type").isin(*(src + unmapped)))
-    mapped = F.col("event_type")
+    return map_events(ev)
+
+
+def map_events(ev: DataFrame) -> DataFrame:
+    """Warehouse event rows -> event model columns (works on batch and
+    streaming frames alike: projection only)."""
     expr = None
     for src, dst in EVENT_TYPE_MAP:
         expr = (F.when(F.col("event_type") == src, F.lit(dst)) if expr is None
