@@ -105,9 +105,10 @@ def q_item_features(spark, sf_dir):
     return features.item_features(load_inputs(spark, sf_dir).events)
 
 
-def _xy(spark, sf_dir, gap=GAP_12H):
+def _xy(spark, sf_dir, gap=GAP_12H, cut_lineage=False):
+    from cartwise.plans.intent import build_training_frame
     inp = load_inputs(spark, sf_dir)
-    return features.training_frame(sessions.sessionize(inp.events, gap_minutes=gap), inp.items)
+    return build_training_frame(inp.events, inp.items, gap_minutes=gap, cut_lineage=cut_lineage)
 
 
 TRAINING_COLS = ["session_id", "visitorid", "itemid", "label", "views", "adds", "unique_items",
@@ -120,8 +121,7 @@ def q_training_frame(spark, sf_dir):
 
 
 def q_temporal_split(spark, sf_dir):
-    from cartwise.plans.materialize import materialize
-    xy = materialize(_xy(spark, sf_dir))      # the exact cut-off takes a few passes
+    xy = _xy(spark, sf_dir, cut_lineage=True)   # the exact cut-off takes a few passes
     cutoff = split.temporal_cutoff(xy, relative_error=0.0)
     return split.split_flag(xy, cutoff).select("session_id", "itemid", "session_start_ts", "is_test")
 

@@ -1,18 +1,27 @@
-"""Cutting lineage for frames that several actions reuse."""
+"""Cutting lineage for frames that several consumers reuse."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from cartwise.config import checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder
-    (``spark.checkpoint.dir``), so later actions and executor losses do not
-    recompute the lineage. Without a configured folder the frame is
-    persisted to memory and disk instead (lost blocks are recomputed)."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a Parquet table under the session's shared
+    checkpoint folder (``spark.checkpoint.dir``) and read it back.
+
+    Later consumers scan the table - with column pruning and filter pushdown,
+    which an RDD checkpoint does not give - instead of recomputing the
+    lineage, and a lost executor costs a re-read, not a recompute. Without a
+    configured folder the frame is persisted to memory and disk instead.
+    """
+    base = checkpoint_dir(df.sparkSession)
+    if not base:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
