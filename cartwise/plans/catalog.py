@@ -256,6 +256,23 @@ def q_train_binary(spark, sf_dir):
     return m.test_preds.select("doc_id", "quality", "prediction", "p1")
 
 
+def q_app_score_view(spark, sf_dir):
+    """The any-table flow on the training frame: train a generic binary
+    logistic model on ``label``, register the frame as a view, score the view
+    and rank items per session by ``p1``."""
+    from cartwise.ml.model import train_generic
+    from cartwise.plans.app import score_view
+    xy = _xy(spark, sf_dir, gap=30, cut_lineage=True)
+    m = train_generic(xy, "label", num_cols=["views", "adds", "unique_items", "duration_min",
+                                             "u_events", "i_views"], cat_cols=[], model_type="lr")
+    explore.register(xy.drop("label"), "dataset")
+    return score_view(spark, m, "dataset").topk
+
+
+def q_row_count(spark, sf_dir):
+    return reports.row_count(load_inputs(spark, sf_dir).events)
+
+
 QUERIES: dict[str, Query] = {
     "event_counts": q_event_counts,
     "time_range": q_time_range,
@@ -296,4 +313,6 @@ QUERIES: dict[str, Query] = {
     "score_saved_model": q_score_saved_model,
     "train_multiclass": q_train_multiclass,
     "train_binary": q_train_binary,
+    "app_score_view": q_app_score_view,
+    "row_count": q_row_count,
 }

@@ -131,6 +131,7 @@ def _summary_sql(table: str, cols: list[str]) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "row_count": _with(EV) + "SELECT count(*) AS rows FROM clean",
     "event_counts": _with(EV) + "SELECT event, count(*) AS count FROM clean GROUP BY event",
     "time_range": _with(EV) + "SELECT epoch_us(min(ts)) AS min_ts_us, epoch_us(max(ts)) AS max_ts_us FROM clean",
     "clean_events": _with(EV) + "SELECT visitorid, event, itemid, epoch_us(ts) AS ts_us FROM clean",

@@ -4,7 +4,7 @@ import __spark_entry__ as E
 
 SMALL = "/root/testdata/sf0.001"
 ROWS_ONLY = {"downsample_negatives", "random_split", "score_logistic", "score_forest",
-             "score_saved_model", "train_multiclass", "train_binary"}
+             "score_saved_model", "train_multiclass", "train_binary", "app_score_view"}
 
 
 def test_entry_runs(spark):
