@@ -17,6 +17,9 @@ from cartwise.sources.tables import events_from_log, item_property_parts
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        # The event model is defined in UTC (warehouse times are UTC wall
+        # clock); hour-of-day, epoch conversions and session gaps depend on it.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     @cached_property
     def events_raw(self) -> DataFrame:
