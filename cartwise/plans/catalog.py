@@ -273,6 +273,21 @@ def q_row_count(spark, sf_dir):
     return reports.row_count(load_inputs(spark, sf_dir).events)
 
 
+def q_ingest_nulls(spark, sf_dir):
+    from cartwise.operators.clean import dropped_row_count
+    from cartwise.sources.tables import events_from_log
+    return dropped_row_count(events_from_log(spark, sf_dir))
+
+
+def q_candidates(spark, sf_dir):
+    return labels.candidates(_sessionised(spark, sf_dir, GAP_12H))
+
+
+def q_labeled_by_join(spark, sf_dir):
+    return labels.label_candidates_by_join(_sessionised(spark, sf_dir, GAP_12H)).select(
+        "session_id", "visitorid", "itemid", "label")
+
+
 QUERIES: dict[str, Query] = {
     "event_counts": q_event_counts,
     "time_range": q_time_range,
@@ -315,4 +330,7 @@ QUERIES: dict[str, Query] = {
     "train_binary": q_train_binary,
     "app_score_view": q_app_score_view,
     "row_count": q_row_count,
+    "ingest_nulls": q_ingest_nulls,
+    "candidates": q_candidates,
+    "labeled_by_join": q_labeled_by_join,
 }

@@ -132,6 +132,11 @@ def _summary_sql(table: str, cols: list[str]) -> str:
 
 ORACLE: dict[str, str] = {
     "row_count": _with(EV) + "SELECT count(*) AS rows FROM clean",
+    "ingest_nulls": _with(EV) + (
+        "SELECT count(*) FILTER (WHERE visitorid IS NULL OR event IS NULL OR itemid IS NULL OR ts IS NULL) "
+        "AS dropped_nulls, count(*) AS rows FROM ev"),
+    "candidates": _with(EV, sess(720)) + "SELECT DISTINCT session_id, visitorid, itemid FROM sx",
+    "labeled_by_join": _with(EV, sess(720), LAB) + "SELECT session_id, visitorid, itemid, label FROM lab",
     "event_counts": _with(EV) + "SELECT event, count(*) AS count FROM clean GROUP BY event",
     "time_range": _with(EV) + "SELECT epoch_us(min(ts)) AS min_ts_us, epoch_us(max(ts)) AS max_ts_us FROM clean",
     "clean_events": _with(EV) + "SELECT visitorid, event, itemid, epoch_us(ts) AS ts_us FROM clean",

@@ -82,6 +82,12 @@ def test_generic_binary_p1_class(spark):
     assert set(m.metrics) == {"auroc", "auprc"}
 
 
+def test_generic_refuses_id_like_category(spark):
+    df = spark.createDataFrame([(f"id{i}", i % 2) for i in range(300)], "s string, target int")
+    with pytest.raises(ValueError, match="too many distinct"):
+        M.train_generic(df, "target", num_cols=[], cat_cols=["s"], max_categories=100)
+
+
 def test_generic_no_feature_raises(spark):
     df = spark.createDataFrame([("a", "x")], "s string, target string")
     with pytest.raises(ValueError):
