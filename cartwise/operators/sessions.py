@@ -6,21 +6,25 @@ previous ts) / 60.0; a visitor's first event opens session 1; an event opens
 a new session when gap > gap_minutes; the session number is the running count
 of openings ordered by ts with tied instants sharing one number.
 
-Plan for scale. A plain ``lag`` window partitioned by visitor puts a visitor's
-whole history in one task, and one bot may hold a third of all events. So the
-timeline of each visitor is cut into fixed time buckets (``bucket_seconds``)
-and the window runs per (visitor, bucket):
-
-1. window over (visitor, bucket) ordered by ts: gap to the previous event in
-   the bucket, running count of openings inside the bucket;
-2. per-(visitor, bucket) summary (first/last second, openings inside) - this
-   aggregate reuses the window's partitioning, no new shuffle;
-3. window over the summary per visitor ordered by bucket: whether the first
-   event of the bucket opens a session (gap to the last event of the previous
-   non-empty bucket) and how many sessions opened before the bucket. The
-   summary has one row per visitor-bucket, bounded by the visitor's time span,
-   not by the visitor's event count;
-4. join the offset back on (visitor, bucket).
+Plan for scale. The rule only looks at whole seconds, so every event of a
+visitor within one second has gap 0 to its predecessor and shares the session
+of the first event of that second. Sessions are therefore a function of the
+*distinct (visitor, second)* pairs:
+
+1. ``secs`` = distinct (visitor, second) - an aggregate that de-duplicates
+   map-side, so a bot firing millions of events per second contributes one
+   row per second;
+2. window over (visitor, time bucket of ``bucket_seconds``) ordered by second:
+   gap to the previous second in the bucket, running count of openings. A
+   window group holds at most ``bucket_seconds`` rows, whatever the skew;
+3. per-(visitor, bucket) summary (first/last second, openings inside) - this
+   aggregate reuses the window's partitioning, no new shuffle - then a window
+   per visitor over the summary (one row per non-empty bucket: bounded by the
+   visitor's time span) gives whether each bucket's first second opens a
+   session and how many sessions opened before it;
+4. the session number of each (visitor, second) joins back to the events on
+   (visitor, second). A hot key there is a plain equi-join key, which AQE
+   splits as a skewed partition.
 
 Result equals the single-window rule for every bucket size (tests check it).
 """
@@ -36,24 +40,24 @@ from cartwise.functions import count_if, session_key, whole_seconds
 DEFAULT_BUCKET_SECONDS = 3600
 
 
-def sessionize(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
-               bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-               user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
-    """Add ``session_seq`` (long, from 1) and ``session_id`` (``visitor-seq``)."""
+def session_numbers(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
+                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                    user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
+    """``(visitor, _sec, session_seq)``: the session number of every distinct
+    whole second in which the visitor has an event."""
     gap = F.lit(float(gap_minutes))
-    sec = whole_seconds(ts_col)
-    e = events.withColumns({"_sec": sec, "_bkt": F.floor(sec / F.lit(int(bucket_seconds)))})
+    secs = events.select(user_col, whole_seconds(ts_col).alias("_sec")).distinct()
+    secs = secs.withColumn("_bkt", F.floor(F.col("_sec") / F.lit(int(bucket_seconds))))
 
-    w_in = Window.partitionBy(user_col, "_bkt").orderBy(ts_col)
+    w_in = Window.partitionBy(user_col, "_bkt").orderBy("_sec")
     prev = F.lag("_sec").over(w_in)
-    e = e.withColumn("_open_in", F.when(prev.isNotNull() & ((F.col("_sec") - prev) / F.lit(60.0) > gap), 1)
-                     .otherwise(0))
-    # default frame = RANGE unbounded preceding .. current row: tied ts share a count
-    e = e.withColumn("_run_in", F.sum("_open_in").over(w_in))
+    secs = secs.withColumn("_open_in", F.when(prev.isNotNull() & ((F.col("_sec") - prev) / F.lit(60.0) > gap), 1)
+                           .otherwise(0))
+    secs = secs.withColumn("_run_in", F.sum("_open_in").over(w_in))
 
     w_b = Window.partitionBy(user_col).orderBy("_bkt")
     prev_last = F.lag("_last").over(w_b)
-    summary = (e.groupBy(user_col, "_bkt")
+    summary = (secs.groupBy(user_col, "_bkt")
                .agg(F.min("_sec").alias("_first"), F.max("_sec").alias("_last"),
                     F.sum("_open_in").alias("_opens_in"))
                .withColumn("_open_first",
@@ -63,11 +67,18 @@ def sessionize(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
         w_b.rowsBetween(Window.unboundedPreceding, -1))
     summary = summary.select(user_col, "_bkt",
                              (F.coalesce(before, F.lit(0)) + F.col("_open_first")).alias("_base"))
+    return (secs.join(summary, [user_col, "_bkt"], "inner")
+            .select(user_col, "_sec", (F.col("_base") + F.col("_run_in")).cast("long").alias("session_seq")))
+
 
-    out = e.join(summary, [user_col, "_bkt"], "inner")
-    seq = (F.col("_base") + F.col("_run_in")).cast("long")
-    out = out.withColumns({"session_seq": seq, "session_id": session_key(user_col, seq)})
-    return out.drop("_sec", "_bkt", "_open_in", "_run_in", "_base")
+def sessionize(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
+               bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+               user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
+    """Add ``session_seq`` (long, from 1) and ``session_id`` (``visitor-seq``)."""
+    nums = session_numbers(events, gap_minutes, bucket_seconds, user_col, ts_col)
+    ev = events.withColumn("_sec", whole_seconds(ts_col))
+    out = ev.join(nums, [user_col, "_sec"], "inner").drop("_sec")
+    return out.withColumn("session_id", session_key(user_col, "session_seq"))
 
 
 def sessionize_single_window(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
