@@ -46,8 +46,15 @@ def session_numbers(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
     """``(visitor, _sec, session_seq)``: the session number of every distinct
     whole second in which the visitor has an event."""
     gap = F.lit(float(gap_minutes))
-    secs = events.select(user_col, whole_seconds(ts_col).alias("_sec")).distinct()
-    secs = secs.withColumn("_bkt", F.floor(F.col("_sec") / F.lit(int(bucket_seconds))))
+    # Null visitor/time rows have no session (cleaning drops them). Stating it
+    # here keeps both uses of ``secs`` identical after filter inference, so the
+    # de-duplicating shuffle is planned once and reused.
+    secs = (events.select(user_col, whole_seconds(ts_col).alias("_sec"))
+            .filter(F.col(user_col).isNotNull() & F.col("_sec").isNotNull())
+            .distinct()
+            # non-nullable bucket key (the second is non-null): no null filter
+            # gets inferred from the join below, which would break the reuse
+            .withColumn("_bkt", F.coalesce(F.floor(F.col("_sec") / F.lit(int(bucket_seconds))), F.lit(0))))
 
     w_in = Window.partitionBy(user_col, "_bkt").orderBy("_sec")
     prev = F.lag("_sec").over(w_in)

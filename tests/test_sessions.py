@@ -134,3 +134,18 @@ def test_session_invariants(spark):
         for i in range(1, len(secs)):
             over = (secs[i] - secs[i - 1]) / 60.0 > 30
             assert (seq[i] == seq[i - 1] + 1) if over else (seq[i] == seq[i - 1])
+
+
+def test_hot_visitor_same_second_burst(spark):
+    """A bot firing thousands of events inside a few seconds collapses to a
+    handful of (visitor, second) rows; numbering matches the reference rule."""
+    rows = [("bot", "view", i % 50, at(5000 + (i % 7) * 0.1 + (i // 1000))) for i in range(3000)]
+    rows += [("bot", "view", 1, at(20000)), ("bot", "view", 2, at(20000.5)), ("human", "view", 3, at(10))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    nums = sessions.session_numbers(df)
+    assert nums.filter("visitorid = 'bot'").count() == 4          # seconds 5000, 5001, 5002, 20000
+    a = seqs(sessions.sessionize(df))
+    b = seqs(sessions.sessionize_single_window(df))
+    assert a == b
+    got = {(v, s) for v, _, _, s, _ in a}
+    assert got == {("bot", 1), ("bot", 2), ("human", 1)}
