@@ -89,3 +89,32 @@ def test_training_frame_invariants(spark):
 def test_drop_empty_rows(spark):
     df = spark.createDataFrame([(None, None), (1, None), (None, "x")], "a int, b string")
     assert drop_empty_rows(df).count() == 2
+
+
+def test_latest_value_layout_invariant(spark):
+    rows = [(1000 + (i % 3), i % 40, "price", f"n{i % 7}") for i in range(400)]
+    props = spark.createDataFrame(rows, PROPS)
+    res = [sorted(map(tuple, items.latest_properties(props.repartition(n)).collect())) for n in (1, 4, 16)]
+    assert res[0] == res[1] == res[2]
+
+
+def test_counts_agree_across_levels(spark):
+    import random
+    rnd = random.Random(8)
+    rows = [(f"u{rnd.randint(0, 6)}", rnd.choice(["view", "addtocart", "transaction"]), rnd.randint(1, 9),
+             ts(rnd.randint(0, 23), rnd.randint(0, 59))) for _ in range(300)]
+    s = sessions.sessionize(spark.createDataFrame(rows, EV))
+    sv = sessions.session_features(s).agg(F.sum("views")).first()[0]
+    uv = features.user_features(s).agg(F.sum("u_views")).first()[0]
+    iv = features.item_features(s).agg(F.sum("i_views")).first()[0]
+    assert sv == uv == iv == sum(r[1] == "view" for r in rows)
+
+
+def test_null_category_gets_all_zero_one_hot(spark):
+    from pyspark.ml import Pipeline
+    from cartwise.ml.model import preprocess_stages
+    df = spark.createDataFrame([(1.0, 5), (2.0, 7), (3.0, 5), (4.0, None)], "views double, categoryid int")
+    model = Pipeline(stages=preprocess_stages(["views"], ["categoryid"])).fit(df)
+    out = {r.views: r.categoryid_oh for r in model.transform(df).collect()}
+    assert out[4.0].numNonzeros() == 0            # null -> extra bucket -> dropped last slot
+    assert out[1.0].numNonzeros() == 1 and out[2.0].numNonzeros() == 1
