@@ -1,0 +1,72 @@
+"""Generated inputs against brute-force definitions."""
+
+from datetime import datetime, timedelta, timezone
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from cartwise.operators import scoring, sessions
+
+T0 = datetime(2024, 3, 1, tzinfo=timezone.utc)
+SCHEMA = "visitorid string, event string, itemid int, ts timestamp"
+SLOW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+# offsets in milliseconds around the 30-minute edge, plus ties and long gaps
+STEPS = st.sampled_from([0, 1, 400, 999, 1000, 60_000, 1_799_000, 1_800_000, 1_800_999, 1_801_000,
+                         3_600_000, 86_400_000])
+LOGS = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.lists(STEPS, min_size=1, max_size=25),
+                          st.integers(0, 4_000_000)), min_size=1, max_size=4)
+
+
+def to_rows(log):
+    rows = []
+    for v, steps, start in log:
+        t = start
+        for i, s in enumerate(steps):
+            t += s
+            rows.append((v, "view", i, T0 + timedelta(milliseconds=t)))
+    # one row per (visitor, item, ts) so results can be keyed
+    return list({(r[0], r[2], r[3]): r for r in rows}.values())
+
+
+def rule(rows, gap=30):
+    out, last, count = {}, {}, {}
+    for v, _, i, ts in sorted(rows, key=lambda r: (r[0], r[3])):
+        sec = int(ts.timestamp() // 1)
+        if v not in last or (sec - last[v]) / 60.0 > gap:
+            count[v] = count.get(v, 0) + 1
+        last[v] = sec
+        out[(v, i, ts)] = count[v]
+    # tied instants share the number of the last of them (RANGE frame)
+    by_instant = {}
+    for (v, i, ts), n in out.items():
+        by_instant[(v, ts)] = max(by_instant.get((v, ts), 0), n)
+    return {(v, i, ts): by_instant[(v, ts)] for (v, i, ts) in out}
+
+
+@SLOW
+@given(log=LOGS, bucket=st.sampled_from([30, 600, 3600]))
+def test_sessionize_matches_rule(spark, log, bucket):
+    from pyspark.sql import functions as F
+    rows = to_rows(log)
+    out = (sessions.sessionize(spark.createDataFrame(rows, SCHEMA), bucket_seconds=bucket)
+           .select("visitorid", "itemid", F.unix_micros("ts").alias("us"), "session_seq").collect())
+    got = {(r.visitorid, r.itemid, r.us): r.session_seq for r in out}
+    want = {(v, i, round(ts.timestamp() * 1_000_000)): n for (v, i, ts), n in rule(rows).items()}
+    assert got == want
+
+
+@SLOW
+@given(scores=st.lists(st.tuples(st.sampled_from(["s1", "s2", "s3"]), st.integers(0, 30),
+                                 st.sampled_from([0.1, 0.5, 0.5, 0.9, None])), min_size=1, max_size=60),
+       k=st.integers(1, 6))
+def test_top_k_keeps_best_and_breaks_ties_by_item(spark, scores, k):
+    rows = list({(s, i): (s, i, p) for s, i, p in scores}.values())
+    df = spark.createDataFrame(rows, "session_id string, itemid int, p1 double")
+    got = sorted((r.session_id, r.itemid) for r in scoring.top_k(df, k).collect())
+    want = []
+    for sid in {r[0] for r in rows}:
+        grp = [r for r in rows if r[0] == sid]
+        grp.sort(key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1]))   # desc, nulls last, item asc
+        want += [(sid, r[1]) for r in grp[:k]]
+    assert got == sorted(want)
