@@ -65,3 +65,15 @@ def test_intent_job_end_to_end(spark, scratch):
     assert reloaded.transform(run.xy).count() == run.xy.count()
     cm = {(r.label, r.pred): r["count"] for r in run.confusion.collect()}
     assert sum(cm.values()) == run.preds.count()
+
+
+def test_run_models_share_one_split(spark, scratch):
+    from cartwise.plans.intent import run_models
+    inp = load_inputs(spark, SMALL)
+    runs = run_models(inp.events, inp.items, {"lr": M.logistic(), "rf": M.forest(num_trees=4, max_depth=4)},
+                      out_dir=scratch)
+    assert set(runs) == {"lr", "rf"}
+    assert runs["lr"].cutoff == runs["rf"].cutoff
+    assert runs["lr"].topk.count() == runs["rf"].topk.count()
+    assert os.path.isdir(os.path.join(scratch, "purchase_intent_top5_rf"))
+    assert os.path.isdir(os.path.join(scratch, "models", "rf_pipeline"))
