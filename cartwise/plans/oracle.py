@@ -22,16 +22,18 @@ props AS (
   SELECT CAST(p_partkey AS INTEGER) AS itemid, 'categoryid' AS property,
          CAST(p_size AS VARCHAR) AS value, CAST(1704067200000 AS BIGINT) AS tms FROM part
   UNION ALL
-  SELECT CAST(p_partkey AS INTEGER), 'available', CAST(p_partkey % 2 AS VARCHAR), 1704067200000 FROM part
+  SELECT CAST(p_partkey AS INTEGER), 'available',
+         CASE WHEN p_type = 'ECONOMY' THEN '0' ELSE '1' END, 1704067200000 FROM part
   UNION ALL
   SELECT CAST(p_partkey AS INTEGER), 'price',
-         CASE WHEN p_partkey % 10 = 3 THEN 'n/a'
+         CASE WHEN p_brand = 'Brand#13' THEN 'n/a'
               ELSE 'n' || CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) END,
          1704067200000 FROM part
   UNION ALL
   SELECT CAST(p_partkey AS INTEGER), 'price',
-         'n' || CAST(CAST(p_retailprice + 1 AS DECIMAL(10,2)) AS VARCHAR), 1705276800000
-  FROM part WHERE p_partkey % 4 = 0),
+         'n' || CAST(CAST(p_retailprice + 1 AS DECIMAL(10,2)) AS VARCHAR),
+         1704067200000 + CAST(p_size - 25 AS BIGINT) * 86400000
+  FROM part),
 lat AS (
   SELECT itemid, property, value FROM (
     SELECT *, row_number() OVER (PARTITION BY itemid, property

@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 
 # --- fixed values (mapping of warehouse event types onto the event model) ---
 EVENT_TYPE_MAP = (("view", "view"), ("click", "addtocart"), ("purchase", "transaction"))
-# item-property versions: every property at the first instant, a later price
-# for every fourth item at the second; every tenth item (key % 10 == 3) has an
-# unparsable first price.
+# item-property versions, both covering every item of ``part``:
+#   part 1 at PROPS_T0_MS: categoryid = p_size; available = 0 for ECONOMY
+#     parts, else 1; price = "n" + price, but "n/a" for NO_PRICE_BRAND;
+#   part 2: price = "n" + (price + 1) at PROPS_T0_MS + (p_size - 25) days, so
+#     sizes above 25 carry a newer price, below 25 an older one, and size 25 a
+#     same-instant tie (settled by the larger value).
 PROPS_T0_MS = 1704067200000
-PROPS_T1_MS = 1705276800000
+DAY_MS = 86400000
+PIVOT_SIZE = 25
+NO_PRICE_BRAND = "Brand#13"
+UNAVAILABLE_TYPE = "ECONOMY"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,24 +68,23 @@ def map_events(ev: DataFrame) -> DataFrame:
 
 def item_property_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two item-property parts (``timestamp, itemid, property, value``) derived
-    from ``part`` by unpivot: first part = every property at PROPS_T0_MS,
-    second part = a later price for every fourth item."""
+    from every row of ``part`` (see the fixed values above)."""
     part = table(spark, sf_dir, "part")
-    price0 = F.when(F.col("p_partkey") % 10 == 3, F.lit("n/a")).otherwise(
+    price0 = F.when(F.col("p_brand") == NO_PRICE_BRAND, F.lit("n/a")).otherwise(
         F.concat(F.lit("n"), F.col("p_retailprice").cast("decimal(10,2)").cast("string")))
+    available = F.when(F.col("p_type") == UNAVAILABLE_TYPE, F.lit("0")).otherwise(F.lit("1"))
     p1 = part.select(
         F.lit(PROPS_T0_MS).alias("timestamp"),
         F.col("p_partkey").cast("int").alias("itemid"),
         F.inline(F.array(
             F.struct(F.lit("categoryid").alias("property"),
                      F.col("p_size").cast("string").alias("value")),
-            F.struct(F.lit("available").alias("property"),
-                     (F.col("p_partkey") % 2).cast("string").alias("value")),
+            F.struct(F.lit("available").alias("property"), available.alias("value")),
             F.struct(F.lit("price").alias("property"), price0.alias("value")),
         )),
     )
-    p2 = part.filter(F.col("p_partkey") % 4 == 0).select(
-        F.lit(PROPS_T1_MS).alias("timestamp"),
+    p2 = part.select(
+        (F.lit(PROPS_T0_MS) + (F.col("p_size") - PIVOT_SIZE).cast("long") * F.lit(DAY_MS)).alias("timestamp"),
         F.col("p_partkey").cast("int").alias("itemid"),
         F.lit("price").alias("property"),
         F.concat(F.lit("n"), (F.col("p_retailprice") + 1).cast("decimal(10,2)").cast("string")).alias("value"),
