@@ -53,6 +53,27 @@ def build_session(master: str | None = None, app_name: str = "cartwise",
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 * 1024 * 1024,
+               scan_split_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Partition sizing for a cluster run, to pass to spark-submit.
+
+    The initial shuffle partition count is set so that a shuffle of the whole
+    input lands near ``target_partition_bytes`` per task (at least three waves
+    of the cluster's cores); AQE then coalesces small shuffles down to the
+    advisory size and splits skewed join partitions, so each task's working
+    set stays within executor memory and spills rather than fails.
+    """
+    by_size = -(-int(input_bytes) // int(target_partition_bytes))
+    parts = max(3 * int(total_cores), by_size)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the session, if any."""
     d = spark.sparkContext.getCheckpointDir()

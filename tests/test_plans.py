@@ -77,3 +77,11 @@ def test_run_models_share_one_split(spark, scratch):
     assert runs["lr"].topk.count() == runs["rf"].topk.count()
     assert os.path.isdir(os.path.join(scratch, "purchase_intent_top5_rf"))
     assert os.path.isdir(os.path.join(scratch, "models", "rf_pipeline"))
+
+
+def test_scale_conf_sizes_partitions():
+    from cartwise.config import scale_conf
+    c = scale_conf(100 * 2**40, total_cores=8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (128 * 2**20)
+    small = scale_conf(10 * 2**20, total_cores=64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 192
