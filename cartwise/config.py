@@ -53,17 +53,20 @@ def build_session(master: str | None = None, app_name: str = "cartwise",
     return spark
 
 
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 * 1024 * 1024,
+def scale_conf(largest_shuffle_bytes: int, total_cores: int,
+               target_partition_bytes: int = 128 * 1024 * 1024,
                scan_split_bytes: int = 256 * 1024 * 1024) -> dict:
     """Partition sizing for a cluster run, to pass to spark-submit.
 
-    The initial shuffle partition count is set so that a shuffle of the whole
-    input lands near ``target_partition_bytes`` per task (at least three waves
-    of the cluster's cores); AQE then coalesces small shuffles down to the
+    ``largest_shuffle_bytes`` is the biggest shuffle of the job - for the
+    intent job the projected event rows going into the session join (about
+    40 bytes a row), not the raw input. The initial shuffle partition count
+    puts that shuffle near ``target_partition_bytes`` per task (and at least
+    three waves of the cluster's cores); AQE coalesces smaller shuffles to the
     advisory size and splits skewed join partitions, so each task's working
     set stays within executor memory and spills rather than fails.
     """
-    by_size = -(-int(input_bytes) // int(target_partition_bytes))
+    by_size = -(-int(largest_shuffle_bytes) // int(target_partition_bytes))
     parts = max(3 * int(total_cores), by_size)
     return {
         "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),

@@ -81,7 +81,7 @@ def test_run_models_share_one_split(spark, scratch):
 
 def test_scale_conf_sizes_partitions():
     from cartwise.config import scale_conf
-    c = scale_conf(100 * 2**40, total_cores=8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (128 * 2**20)
+    c = scale_conf(4 * 2**40, total_cores=8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 32768
     small = scale_conf(10 * 2**20, total_cores=64)
     assert int(small["spark.sql.shuffle.partitions"]) == 192
