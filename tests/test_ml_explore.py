@@ -148,3 +148,21 @@ def test_csv_readers(spark, scratch):
             f.write(f"timestamp,itemid,property,value\n{1435460400000 + i},460429,categoryid,{1338 + i}\n")
     assert read_events(spark, ev).count() == 2
     assert read_item_properties(spark, pr).count() == 2
+
+
+def test_category_tree_reader(spark, scratch):
+    from cartwise.sources import read_categories
+    p = os.path.join(scratch, "category_tree.csv")
+    with open(p, "w") as f:
+        f.write("categoryid,parentid\n1016,213\n809,169\n213,\n")
+    rows = {r.categoryid: r.parentid for r in read_categories(spark, p).collect()}
+    assert rows == {1016: 213, 809: 169, 213: None}
+
+
+def test_sampled_histogram_option(spark):
+    from cartwise.operators.scoring import score_histogram
+    df = spark.range(20000).selectExpr("(id % 1000) / 1000.0 as p1")
+    full = {r.bin: r["count"] for r in score_histogram(df).collect()}
+    assert sum(full.values()) == 20000 and set(full.values()) == {1000}
+    samp = score_histogram(df, sample_fraction=0.05, seed=42).collect()
+    assert len(samp) == 20 and 700 < sum(r["count"] for r in samp) < 1300
