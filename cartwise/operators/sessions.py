@@ -114,6 +114,17 @@ def session_item_rollup(sessionised: DataFrame, user_col: str = "visitorid") ->
                  count_if(ev == EVENT_TXN).alias("n_txns")))
 
 
+def session_counts(sessionised: DataFrame, user_col: str = "visitorid") -> DataFrame:
+    """Per session: views, adds, transactions - one map-side-combined
+    aggregate straight from the events (no item level), for reports that do
+    not need the distinct-item counts."""
+    ev = F.col("event")
+    return (sessionised.groupBy(user_col, "session_seq")
+            .agg(count_if(ev == EVENT_VIEW).alias("views"), count_if(ev == EVENT_ADD).alias("adds"),
+                 count_if(ev == EVENT_TXN).alias("txns"))
+            .withColumn("session_id", session_key(user_col, "session_seq")))
+
+
 def session_features(sessionised: DataFrame, user_col: str = "visitorid",
                      rollup: DataFrame | None = None) -> DataFrame:
     """Per session: start, end, views, adds, transactions, distinct items,

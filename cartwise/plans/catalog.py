@@ -127,11 +127,11 @@ def q_temporal_split(spark, sf_dir):
 
 
 def q_session_intent(spark, sf_dir):
-    return labels.session_intent(sessions.session_features(_sessionised(spark, sf_dir, GAP_12H)))
+    return labels.session_intent(sessions.session_counts(_sessionised(spark, sf_dir, GAP_12H)))
 
 
 def q_purchase_funnel(spark, sf_dir):
-    return reports.purchase_funnel(sessions.session_features(_sessionised(spark, sf_dir, GAP_12H)))
+    return reports.purchase_funnel(sessions.session_counts(_sessionised(spark, sf_dir, GAP_12H)))
 
 
 def q_category_conversion(spark, sf_dir):
