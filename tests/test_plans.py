@@ -85,3 +85,29 @@ def test_scale_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 32768
     small = scale_conf(10 * 2**20, total_cores=64)
     assert int(small["spark.sql.shuffle.partitions"]) == 192
+
+
+def test_batch_job_on_warehouse_and_csv(spark, scratch):
+    from cartwise.plans.job import main
+    out = os.path.join(scratch, "gold")
+    m = main(["--warehouse", SMALL, "--out", out, "--models", "lr,rf", "--rf-trees", "3", "--rf-depth", "3"],
+             spark=spark)
+    assert set(m) == {"lr", "rf"} and 0.0 <= m["lr"]["auroc"] <= 1.0
+    assert spark.read.json(os.path.join(out, "metrics")).count() == 2
+    assert spark.read.parquet(os.path.join(out, "purchase_intent_top5_rf")).count() > 0
+    # the CSV layout: events + two property parts
+    d = os.path.join(scratch, "csv")
+    os.makedirs(d)
+    with open(os.path.join(d, "events.csv"), "w") as f:
+        f.write("timestamp,visitorid,event,itemid,transactionid\n")
+        t = 1433221332000
+        for i in range(60):
+            ev = ["view", "addtocart", "transaction"][i % 3]
+            f.write(f"{t + i * 600_000},{i % 7},{ev},{i % 5},\n")
+    for j, name in enumerate(("item_properties_part1.csv", "item_properties_part2.csv")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("timestamp,itemid,property,value\n")
+            for item in range(5):
+                f.write(f"{1435460400000 + j},{item},categoryid,{100 + item % 2}\n")
+    m2 = main(["--data-dir", d, "--out", os.path.join(scratch, "gold2"), "--models", "lr"], spark=spark)
+    assert set(m2) == {"lr"}
