@@ -22,7 +22,7 @@ from cartwise.constants import (NEG_TO_POS_RATIO, SEED, SPLIT_QUANTILE, SPLIT_RE
 from cartwise.functions import hash_keep
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, bins: int = 1024) -> int | None:
+def exact_quantile(df: DataFrame, col: str, q: float, bins: int = 16384) -> int | None:
     """Exact discrete quantile of an integer column: the value at 1-based rank
     ceil(q * n) in ascending order (nulls ignored). Distributed: repeated
     bucket counts over a shrinking [lo, hi] range."""
