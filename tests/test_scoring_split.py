@@ -60,6 +60,7 @@ def test_exact_quantile_matches_quantile_disc(spark, n):
     df = spark.createDataFrame([(v,) for v in vals], "x long")
     want = duckdb.sql(f"select quantile_disc(x, 0.8) from (select unnest({vals}) as x)").fetchall()[0][0]
     assert split.exact_quantile(df, "x", 0.8) == want
+    assert split.exact_quantile(df, "x", 0.8, bins=4) == want     # many narrowing passes
 
 
 def test_approx_quantile_close(spark):
