@@ -21,7 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def main():
-    n = int(sys.argv[1]) if len(sys.argv) > 1 else 2_000_000
+    args = [a for a in sys.argv[1:] if not a.startswith("-")]
+    n = int(args[0]) if args else 2_000_000
     from pyspark.sql import functions as F
 
     from cartwise.config import build_session
@@ -41,6 +42,19 @@ def main():
     for name, fn in (("bucketed", sessions.sessionize), ("single_window", sessions.sessionize_single_window)):
         spark.sparkContext.setJobGroup(name, name)
         fn(ev).write.format("noop").mode("overwrite").save()
+
+    # training frame with a hot visitor AND a hot item (half the events on item 0);
+    # the skew threshold is lowered so AQE's split engages at this size
+    from cartwise.plans.intent import build_training_frame
+    hot = ev.withColumn("itemid", F.when(F.col("visitorid") % 2 == 1, F.lit(0)).otherwise(F.col("itemid")))
+    items = spark.range(100).select(F.col("id").cast("int").alias("itemid"),
+                                    (F.col("id") % 7).cast("int").alias("categoryid"))
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", str(256 * 1024))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(256 * 1024))
+    for name, on in (("training_frame_skew_split", "true"), ("training_frame_no_split", "false")):
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", on)
+        spark.sparkContext.setJobGroup(name, name)
+        build_training_frame(hot, items, cut_lineage=False).write.format("noop").mode("overwrite").save()
     spark.stop()
 
     import zstandard
@@ -50,7 +64,7 @@ def main():
         raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read()
     except zstandard.ZstdError:
         pass
-    group_of_stage, worst = {}, {}
+    group_of_stage, worst, per_stage = {}, {}, {}
     for line in io.StringIO(raw.decode()):
         e = json.loads(line)
         if e["Event"] == "SparkListenerJobStart":
@@ -62,7 +76,14 @@ def main():
             rec = e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
             if g:
                 worst[g] = max(worst.get(g, 0), rec)
+                key = (g, e["Stage ID"])
+                tot, mx, cnt = per_stage.get(key, (0, 0, 0))
+                per_stage[key] = (tot + rec, max(mx, rec), cnt + 1)
     print(json.dumps({"rows": n, "hot_visitor_rows": n // 2, "largest_task_shuffle_records": worst}))
+    if "-v" in sys.argv:
+        for (g, sid), (tot, mx, cnt) in sorted(per_stage.items(), key=lambda kv: kv[0][1]):
+            if tot:
+                print(f"{g:28s} stage {sid:4d} tasks {cnt:4d} records {tot:9d} largest {mx:8d}")
 
 
 if __name__ == "__main__":
