@@ -70,3 +70,44 @@ def test_top_k_keeps_best_and_breaks_ties_by_item(spark, scores, k):
         grp.sort(key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1]))   # desc, nulls last, item asc
         want += [(sid, r[1]) for r in grp[:k]]
     assert got == sorted(want)
+
+
+@SLOW
+@given(hist=st.lists(st.tuples(st.integers(1, 4), st.sampled_from(["price", "categoryid", "available", "other"]),
+                               st.sampled_from([100, 200, 200, 300]),
+                               st.sampled_from([None, "n10", "n9.5", "n/a", "1.2.3", "", "-5", "7", "abc"])),
+                     min_size=1, max_size=40))
+def test_items_wide_matches_latest_rule(spark, hist):
+    from cartwise.operators import items
+    df = spark.createDataFrame([(ts, i, p, v) for i, p, ts, v in hist],
+                               "timestamp long, itemid int, property string, value string")
+    got = {r.itemid: (r.categoryid, r.available, r.price) for r in items.items_wide(df).collect()}
+
+    def latest(i, p):
+        rows = [(ts, v) for j, q, ts, v in hist if j == i and q == p]
+        if not rows:
+            return None
+        top = max(ts for ts, _ in rows)
+        vals = [v for ts, v in rows if ts == top]
+        non_null = [v for v in vals if v is not None]
+        return max(non_null) if non_null else None   # ties: larger value, null loses
+
+    def to_int(v):
+        try:
+            return int(v)
+        except (TypeError, ValueError):
+            return None
+
+    def to_price(v):
+        if v is None:
+            return None
+        s = "".join(ch for ch in v if ch.isdigit() or ch == ".")
+        try:
+            return float(s)
+        except ValueError:
+            return None
+
+    want = {}
+    for i in {h[0] for h in hist if h[1] in ("price", "categoryid", "available")}:
+        want[i] = (to_int(latest(i, "categoryid")), to_int(latest(i, "available")), to_price(latest(i, "price")))
+    assert got == want
