@@ -118,3 +118,22 @@ def test_null_category_gets_all_zero_one_hot(spark):
     out = {r.views: r.categoryid_oh for r in model.transform(df).collect()}
     assert out[4.0].numNonzeros() == 0            # null -> extra bucket -> dropped last slot
     assert out[1.0].numNonzeros() == 1 and out[2.0].numNonzeros() == 1
+
+
+def test_empty_frames_flow_through(spark):
+    from cartwise.operators import reports, scoring, split
+    from cartwise.operators.explore import numeric_summary
+    empty = spark.createDataFrame([], EV)
+    s = sessions.sessionize(empty)
+    assert s.count() == 0 and "session_id" in s.columns
+    assert sessions.session_features(s).count() == 0
+    assert labels.label_candidates(s).count() == 0
+    f = reports.purchase_funnel(sessions.session_counts(s)).first()
+    assert f.sessions == 0 and f.view_to_cart is None
+    it = items.items_wide(spark.createDataFrame([], PROPS))
+    assert features.training_frame(s, it).count() == 0
+    assert split.exact_quantile(spark.createDataFrame([], "x long"), "x", 0.8) is None
+    h = scoring.score_histogram(spark.createDataFrame([], "p1 double"))
+    assert h.count() == 20 and h.agg(F.sum("count")).first()[0] == 0
+    summ = numeric_summary(spark.createDataFrame([], "a int")).first()
+    assert summ["count"] == 0 and summ["mean"] is None
