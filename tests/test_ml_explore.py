@@ -166,3 +166,14 @@ def test_sampled_histogram_option(spark):
     assert sum(full.values()) == 20000 and set(full.values()) == {1000}
     samp = score_histogram(df, sample_fraction=0.05, seed=42).collect()
     assert len(samp) == 20 and 700 < sum(r["count"] for r in samp) < 1300
+
+
+def test_generic_string_only_and_null_numeric(spark):
+    rows = [(["a", "b", "c"][i % 3], None if i % 10 == 0 else float(i % 4), "yes" if i % 3 == 0 else "no")
+            for i in range(240)]
+    df = spark.createDataFrame(rows, "s string, x double, target string")
+    only_str = M.train_generic(df.drop("x"), "target", model_type="lr")
+    assert only_str.num_cols == [] and only_str.cat_cols == ["s"]
+    assert only_str.metrics["auroc"] > 0.9          # target is a function of s
+    with_null = M.train_generic(df, "target", model_type="lr")   # null x filled with 0, no assembler error
+    assert with_null.test_preds.filter("p1 is null").count() == 0
