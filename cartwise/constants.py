@@ -47,3 +47,5 @@ PREDICTION_EXPORT_CAP = 100000
 HIST_BINS = 20
 HIST_SAMPLE_FRACTION = 0.05
 LABEL_COL_GENERIC = "__label"
+DEFAULT_NUMERIC_FEATURES = 10     # first N numeric columns used when none are chosen
+DEFAULT_CATEGORICAL_FEATURES = 5  # first N string columns used when none are chosen

@@ -177,3 +177,11 @@ def test_generic_string_only_and_null_numeric(spark):
     assert only_str.metrics["auroc"] > 0.9          # target is a function of s
     with_null = M.train_generic(df, "target", model_type="lr")   # null x filled with 0, no assembler error
     assert with_null.test_preds.filter("p1 is null").count() == 0
+
+
+def test_generic_default_feature_choice(spark):
+    cols = ", ".join([f"n{i} double" for i in range(12)] + [f"s{i} string" for i in range(6)] + ["target string"])
+    row = tuple([float(i) for i in range(12)] + ["a"] * 6 + ["x"])
+    rows = [row, tuple(list(row[:-1]) + ["y"])] * 20
+    m = M.train_generic(spark.createDataFrame(rows, cols), "target", model_type="lr")
+    assert m.num_cols == [f"n{i}" for i in range(10)] and m.cat_cols == [f"s{i}" for i in range(5)]
