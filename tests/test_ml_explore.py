@@ -185,3 +185,15 @@ def test_generic_default_feature_choice(spark):
     rows = [row, tuple(list(row[:-1]) + ["y"])] * 20
     m = M.train_generic(spark.createDataFrame(rows, cols), "target", model_type="lr")
     assert m.num_cols == [f"n{i}" for i in range(10)] and m.cat_cols == [f"s{i}" for i in range(5)]
+
+
+def test_app_score_table_and_export(spark, feature_rows, scratch):
+    from cartwise.plans.app import export, score_table
+    m = M.train_generic(feature_rows, "label", num_cols=list(SAMPLE_COLS), cat_cols=[], model_type="lr")
+    scored = score_table(m, feature_rows.drop("label"), k=2)
+    assert scored.score_col == "p1" and scored.topk.columns == ["session_id", "itemid", "score"]
+    assert scored.topk.groupBy("session_id").count().filter("count > 2").count() == 0
+    assert scored.histogram.agg(F.sum("count")).first()[0] == feature_rows.count()
+    export(scored, scratch, cap=7)
+    assert spark.read.option("header", True).csv(os.path.join(scratch, "predictions")).count() == 7
+    assert spark.read.option("header", True).csv(os.path.join(scratch, "topk")).count() == scored.topk.count()
