@@ -14,7 +14,7 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", app_name="cartwise-tests", shuffle_partitions=4)
+    s = build_session("local[*]", app_name="cartwise-tests", shuffle_partitions=8)
     yield s
     s.stop()
 
