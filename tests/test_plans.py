@@ -111,3 +111,34 @@ def test_batch_job_on_warehouse_and_csv(spark, scratch):
                 f.write(f"{1435460400000 + j},{item},categoryid,{100 + item % 2}\n")
     m2 = main(["--data-dir", d, "--out", os.path.join(scratch, "gold2"), "--models", "lr"], spark=spark)
     assert set(m2) == {"lr"}
+
+
+def test_hot_item_join_is_split_by_aqe(spark):
+    from pyspark.sql import functions as F
+    from cartwise.operators import features, sessions
+    n = 40000
+    ev = spark.range(n).select(
+        (F.col("id") % 997).alias("visitorid"), F.lit("view").alias("event"),
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise((F.col("id") % 300).cast("int")).alias("itemid"),
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("id") * 7919) % (30 * 86400)).alias("ts"))
+    items = spark.range(300).select(F.col("id").cast("int").alias("itemid"), (F.col("id") % 7).alias("categoryid"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        xy = features.training_frame(sessions.sessionize(ev), items)
+        xy.collect()
+        final = xy._jdf.queryExecution().executedPlan().toString()
+        skew_joins = [ln for ln in final.splitlines()
+                      if "SortMergeJoin(skew=true)" in ln or "isSkewJoin=true" in ln]
+        assert any("itemid" in ln for ln in skew_joins), "hot-item join was not split"
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
