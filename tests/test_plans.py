@@ -113,14 +113,16 @@ def test_batch_job_on_warehouse_and_csv(spark, scratch):
     assert set(m2) == {"lr"}
 
 
-def test_hot_item_join_is_split_by_aqe(spark):
+def test_hot_visitor_and_hot_item_joins_are_split_by_aqe(spark):
     from pyspark.sql import functions as F
-    from cartwise.operators import features, sessions
+    from cartwise.plans.intent import build_training_frame
     n = 40000
+    hot = F.col("id") % 3 == 0          # a third of the events: one visitor, one session per event
     ev = spark.range(n).select(
-        (F.col("id") % 997).alias("visitorid"), F.lit("view").alias("event"),
+        F.when(hot, F.lit(0)).otherwise(F.col("id") % 997).alias("visitorid"), F.lit("view").alias("event"),
         F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise((F.col("id") % 300).cast("int")).alias("itemid"),
-        F.timestamp_seconds(F.lit(1704067200) + (F.col("id") * 7919) % (30 * 86400)).alias("ts"))
+        F.timestamp_seconds(F.lit(1704067200) + F.when(hot, F.col("id") * 3600)
+                            .otherwise((F.col("id") * 7919) % (30 * 86400))).alias("ts"))
     items = spark.range(300).select(F.col("id").cast("int").alias("itemid"), (F.col("id") % 7).alias("categoryid"))
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
@@ -130,12 +132,14 @@ def test_hot_item_join_is_split_by_aqe(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        xy = features.training_frame(sessions.sessionize(ev), items)
+        xy = build_training_frame(ev, items, cut_lineage=False)
         xy.collect()
         final = xy._jdf.queryExecution().executedPlan().toString()
         skew_joins = [ln for ln in final.splitlines()
                       if "SortMergeJoin(skew=true)" in ln or "isSkewJoin=true" in ln]
-        assert any("itemid" in ln for ln in skew_joins), "hot-item join was not split"
+        assert any("[itemid" in ln for ln in skew_joins), "hot-item join was not split"
+        assert any("[visitorid" in ln and "session_seq" not in ln for ln in skew_joins), \
+            "hot-visitor join was not split"
     finally:
         for k, v in old.items():
             if v is None:
