@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartwise.constants import KEPT_EVENTS
 from cartwise.operators.clean import clean_events
 from cartwise.operators.items import items_wide, union_properties
+from cartwise.plans.materialize import materialize
 from cartwise.sources.tables import events_from_log, item_property_parts
 
 
@@ -37,7 +38,11 @@ class Inputs:
 
     @cached_property
     def items(self) -> DataFrame:
-        return items_wide(self.props)
+        """The item dimension, written once as a table: joins that read it
+        get a plain shuffle on this side, so AQE can split a hot item on the
+        other side when the dimension is too large to broadcast (an
+        aggregate's output feeding a join directly cannot be split)."""
+        return materialize(items_wide(self.props), "items")
 
 
 def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:

@@ -146,3 +146,29 @@ def test_hot_visitor_and_hot_item_joins_are_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_item_event_join_is_split_with_written_dimension(spark):
+    from pyspark.sql import functions as F
+    from cartwise.operators import features, items as I
+    from cartwise.plans.materialize import materialize
+    ev = spark.range(40000).select(
+        (F.col("id") % 997).alias("visitorid"), F.lit("view").alias("event"),
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise((F.col("id") % 300).cast("int")).alias("itemid"),
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("id") * 7919) % (30 * 86400)).alias("ts"))
+    props = spark.range(300).select(F.lit(1704067200000).alias("timestamp"), F.col("id").cast("int").alias("itemid"),
+                                    F.lit("categoryid").alias("property"), (F.col("id") % 7).cast("string").alias("value"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = features.enrich_events(ev, materialize(I.items_wide(props), "items"))
+        df.collect()
+        assert "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
