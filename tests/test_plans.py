@@ -21,8 +21,10 @@ def test_event_filter_reaches_the_scan(spark):
 
 
 def test_scans_are_pruned(spark):
-    p = plan_of(load_inputs(spark, SMALL).items)
+    from cartwise.operators.items import items_wide
+    p = plan_of(items_wide(load_inputs(spark, SMALL).props))
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int,p_retailprice:double>" in p
+    assert "p_name" not in p
     p = plan_of(load_inputs(spark, SMALL).events.select("visitorid", "ts"))
     assert "value" not in p.split("ReadSchema:")[1].split("\n")[0]
 
