@@ -17,11 +17,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     Later consumers scan the table - with column pruning and filter pushdown,
     which an RDD checkpoint does not give - instead of recomputing the
     lineage, and a lost executor costs a re-read, not a recompute. Without a
-    configured folder the frame is persisted to memory and disk instead.
+    configured folder the frame is persisted to memory and disk instead
+    (computed right away, so callers may release its inputs).
     """
     base = checkpoint_dir(df.sparkSession)
     if not base:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.count()            # eager, like the write: inputs may be released next
+        return kept
     path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

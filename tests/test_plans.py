@@ -174,3 +174,14 @@ def test_hot_item_event_join_is_split_with_written_dimension(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_materialize_without_checkpoint_folder_persists_eagerly(spark, monkeypatch):
+    import cartwise.plans.materialize as mat
+    monkeypatch.setattr(mat, "checkpoint_dir", lambda s: None)
+    df = mat.materialize(spark.range(50), "t")
+    assert df.is_cached and df.count() == 50
+    df.unpersist()
+    monkeypatch.undo()
+    written = mat.materialize(spark.range(50), "t")
+    assert not written.is_cached and "/tables/t-" in written.inputFiles()[0]
