@@ -2,8 +2,7 @@
 
 On a cluster the session comes from spark-submit and already names
 ``spark.checkpoint.dir`` (a shared folder); the library only reads it.
-``build_session`` is for tests, the bench and local runs: it fills in a
-checkpoint folder only when none is configured.
+``ensure_checkpoint_dir`` makes one up only for a ``local`` master, as in tests.
 """
 
 from __future__ import annotations
@@ -49,7 +48,6 @@ def build_session(master: str | None = None, app_name: str = "cartwise",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -88,13 +86,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return d or None
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the configured checkpoint folder; set one only where it is unset
-    (local runs and tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session. Where none is configured, a
+    ``local`` master gets a temporary one; any other master is refused, since
+    a folder of one machine is not seen by the others."""
     d = checkpoint_dir(spark)
     if d:
         return d
-    fallback = fallback or tempfile.mkdtemp(prefix="cartwise-ckpt-",
-                                            dir=os.environ.get("CARTWISE_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share "
+                           f"(master {master} has none)")
+    spark.sparkContext.setCheckpointDir(
+        tempfile.mkdtemp(prefix="cartwise-ckpt-", dir=os.environ.get("CARTWISE_SCRATCH", "/tmp")))
+    return spark.sparkContext.getCheckpointDir()

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.config import checkpoint_dir
+from cartwise.config import ensure_checkpoint_dir
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path for ``name`` under the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -16,15 +20,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
     Later consumers scan the table - with column pruning and filter pushdown,
     which an RDD checkpoint does not give - instead of recomputing the
-    lineage, and a lost executor costs a re-read, not a recompute. Without a
-    configured folder the frame is persisted to memory and disk instead
-    (computed right away, so callers may release its inputs).
+    lineage, and a lost executor costs a re-read, not a recompute. There is
+    one behaviour: a session of a cluster that names no folder is refused
+    (``config.ensure_checkpoint_dir``). ``drop_tables`` removes what a job
+    has written.
     """
-    base = checkpoint_dir(df.sparkSession)
-    if not base:
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.count()            # eager, like the write: inputs may be released next
-        return kept
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables of this session's checkpoint folder, to be called
+    when the job's results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, ""))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
