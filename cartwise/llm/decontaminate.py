@@ -99,16 +99,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           min_share: float = MIN_SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per (document, leaked item): the id, ``text_key`` (hash of the
     text), item_id, n_matched and n_windows, share, and kind: ``copy`` when
-    all placeholder values agree, else ``reparameterised``."""
+    alignments whose placeholder values all agree hold ``min_share`` of the
+    windows, else ``reparameterised``."""
     bench = benchmark_windows(benchmark, item_col, item_text_col, window)
-    if bench.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        bench = F.broadcast(bench)
+    few = bench.limit(broadcast_windows + 1).count() <= broadcast_windows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # outer: an inner explode makes Catalyst infer a filter that repeats the whole expression
     places = (_with_windows(texts, window)
               .select("id", F.xxhash64("text").alias("text_key"), "words",
                       F.posexplode_outer("windows").alias("doc_at", "hash")))
-    hits = places.join(bench, "hash").select(
+    if few:
+        met = places.join(F.broadcast(bench), "hash")
+    else:       # shuffle hashes alone, and fetch the words of documents with a match afterwards
+        keys = places.drop("words").join(bench, "hash")
+        held = texts.select(F.col("id").alias("held_id"), F.xxhash64("text").alias("held_key"),
+                            words_of(F.col("text")).alias("words"))
+        met = keys.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key")))
+    hits = met.select(
         "id", "text_key", "item_id", "item_key", "item_at", "n_windows", (F.col("doc_at") - F.col("item_at")).alias("shift"),
         F.filter(F.zip_with("item_words", F.slice("words", F.col("doc_at") + 1, window),
                             lambda i, d: F.struct(i.alias("item"), d.alias("doc"))),

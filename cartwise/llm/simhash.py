@@ -271,12 +271,11 @@ def near_links(codes: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE
 
 # --- documents ------------------------------------------------------------------
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per input row: the id column, ``fingerprint`` (long) and
-    ``component_id``, the smallest id that its links reach."""
-    rows = materialize(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                                    shingle=shingle).select("id", "fingerprint"), "fingerprints")
+def _groups(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """One row per input row: id, text_key (hash of the text), fingerprint,
+    root (the component's least fingerprint) and component_id."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    rows = materialize(fingerprints(texts, shingle=shingle).select("id", "text_key", "fingerprint"), "fingerprints")
     distinct = materialize(rows.groupBy("fingerprint").agg(F.min("id").alias("first_id"))
                            .withColumnRenamed("fingerprint", "code"), "distinct-fingerprints")
     roots = materialize(connected_components(near_links(distinct.select("code"), max_bits), "simhash"), "roots")
@@ -284,30 +283,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = materialize(roots.join(distinct, roots["node"] == distinct["code"])
                          .select("code", "root", "first_id"), "linked")
     least = materialize(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "least-ids")
-    named = linked.join(least, "root").select("code", "component_id")
+    named = linked.join(least, "root").select("code", "root", "component_id")
     alone = distinct.join(linked.select("code"), "code", "left_anti") \
-        .select("code", F.col("first_id").alias("component_id"))
+        .select("code", F.col("code").alias("root"), F.col("first_id").alias("component_id"))
     components = materialize(named.unionByName(alone), "fingerprint-components")
-    return rows.join(components, rows["fingerprint"] == components["code"]) \
+    return rows.join(components, rows["fingerprint"] == components["code"]).drop("code")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per input row: the id column, ``fingerprint`` (long) and
+    ``component_id``, the smallest id that its links reach."""
+    return _groups(df, id_col, text_col, shingle, max_bits) \
         .select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one whose id
-    is the component's. Should that id be repeated inside its group, one of
-    its rows stays, the one with the least content hash."""
-    groups = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))) \
-        .groupBy(F.col(id_col).alias("kept_id"), "component_id").agg(
-            F.min("fingerprint").alias("kept_code"), F.count("*").alias("n"))
-    kept = materialize(kept.select("kept_id", "kept_code", "n"), "kept-ids")
-    once, again = kept.filter("n = 1"), kept.filter("n > 1")
-    same = df[id_col].eqNullSafe(F.col("kept_id"))
-    out = df.join(once, same, "left_semi")
+    is the component's. Should several rows of the group have that id, the
+    one with the least hash of its text stays, then of all its columns."""
+    candidates = _groups(df, id_col, text_col, shingle, max_bits) \
+        .filter(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = candidates.groupBy("root", "id", "text_key").agg(F.count("*").alias("n")) \
+        .groupBy("root").agg(F.min_by(F.struct(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"), "n"),
+                                      "text_key").alias("kept"))
+    kept = materialize(kept.select("kept.*"), "kept-ids")
+    same = df[id_col].eqNullSafe(F.col("kept_id")) & (F.xxhash64(df[text_col]) == F.col("kept_key"))
+    once = df.join(kept.filter("n = 1"), same, "left_semi")
+    again = kept.filter("n > 1")
     if again.isEmpty():
-        return out
-    rest = df.join(again, same, "left_semi").withColumn("_order", F.xxhash64(*df.columns))
-    first = Window.partitionBy(id_col).orderBy("_order")
-    return out.unionByName(rest.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-                           .select(*df.columns))
+        return once
+    first = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*df.columns))
+    rest = df.join(again, same, "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return once.unionByName(rest.select(*df.columns))
