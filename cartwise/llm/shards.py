@@ -74,12 +74,12 @@ def new_map(sizes: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 def rebalance(old: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
     """The next version of ``old`` for the sizes of today and ``n_shards``.
 
-    A shard keeps its slots, largest first, while they fit its even share;
-    only the others (and those of shards that are no more) move, each to the
+    A shard keeps its slots, smallest first, while they fit its even share;
+    only the others, few and large (and those of shards that are no more) move, each to the
     shard with the least bytes."""
     have = old.join(sizes, "slot")
     share = F.sum("bytes").over(Window.partitionBy()) / n_shards
-    filled = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "slot")
+    filled = F.sum("bytes").over(Window.partitionBy("shard").orderBy("bytes", "slot")
                                  .rowsBetween(Window.unboundedPreceding, 0))
     stays = (F.col("shard") < n_shards) & (filled <= share)
     marked = have.withColumn("stays", stays)
