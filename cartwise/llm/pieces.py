@@ -7,8 +7,10 @@ no piece fall back to their UTF-8 bytes.
 
 A text is cut before every run of spaces. The cut is exact for a vocabulary
 in which the space mark never follows another character inside a piece
-(``SpaceCutError`` otherwise): then no merge crosses it. Cut chunks repeat,
-so each worker keeps a bounded table chunk -> ids. Every chunk that the
+(``SpaceCutError`` otherwise): then no merge crosses it. A chunk is cut again
+between letters and other characters, if the vocabulary has no piece in which
+the two meet. Cut chunks repeat, so each worker keeps a bounded table
+chunk -> ids. Every chunk that the
 agenda encodes is also encoded by the sentencepiece library, batch by batch,
 and every decoded text is compared with the library's ``decode(ids)``; a
 difference fails the task.
@@ -22,6 +24,8 @@ replaced, all others are kept.
 from __future__ import annotations
 
 import heapq
+import re
+from array import array
 from functools import partial
 
 import numpy as np
@@ -38,6 +42,9 @@ TABLE_SIZE = 300_000
 #: Chunks up to this many symbols keep the agenda in a flat list, longer ones in a heap.
 FLAT_AGENDA = 48
 NO_PAIR = 1 << 30
+LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
+PART = re.compile(f"{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}]+|{SPACE}+")
+MIXED = re.compile(f"[{LETTERS}][^{LETTERS}]|[^{LETTERS}{SPACE}][{LETTERS}]")
 
 
 class SpaceCutError(ValueError):
@@ -74,7 +81,7 @@ class Merger:
                 raise SpaceCutError(piece)
         order = {s: r for r, s in enumerate(sorted({-library.get_score(i) for i in self.id_of.values()}))}
         self.rank = {p: order[-library.get_score(i)] for p, i in self.id_of.items()}
-        self.pairs: dict[tuple[str, str], int] = {}
+        self.cuts_parts = not any(map(MIXED.search, self.id_of))
 
     def _rank(self, left: str, right: str) -> int:
         return self.rank.get(left + right, NO_PAIR)
@@ -140,22 +147,36 @@ class Merger:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+class PartTable(dict):
+    """Part of a chunk -> its ids as packed int32."""
+
+    def __init__(self, merger: Merger):
+        super().__init__()
+        self.merger = merger
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > TABLE_SIZE:
+            self.clear()
+        packed = self[part] = array("i", self.merger.encode_chunk(part)).tobytes()
+        return packed
+
+
 class ChunkTable(dict):
-    """chunk -> its ids as packed int32; a missing chunk is queued for the
-    batch's library check while the agenda encodes it."""
+    """Chunk -> its ids as packed int32; a missing chunk is encoded part by
+    part and queued for the batch's library check."""
 
     def __init__(self, merger: Merger):
         super().__init__()
-        self.merger, self.fresh, self.older = merger, [], {}
+        self.merger, self.parts, self.fresh, self.older = merger, PartTable(merger), [], {}
 
     def __missing__(self, chunk: str) -> bytes:
         if (known := self.older.get(chunk)) is not None:
             self[chunk] = known
             return known
-        ids = self.merger.encode_chunk(SPACE + chunk.replace(" ", SPACE))
-        packed = np.array(ids, dtype=np.int32).tobytes()
-        self[chunk] = packed
-        self.fresh.append((chunk, ids))
+        marked = SPACE + chunk.replace(" ", SPACE)
+        parts = PART.findall(marked) if self.merger.cuts_parts else [marked]
+        packed = self[chunk] = b"".join(map(self.parts.__getitem__, parts))
+        self.fresh.append((chunk, packed))
         if len(self.fresh) >= 20_000:
             self.check()
         return packed
@@ -163,12 +184,11 @@ class ChunkTable(dict):
     def check(self) -> None:
         if self.fresh:
             # a chunk is one space and the text that the library puts it before
-            for (chunk, ids), theirs in zip(self.fresh, self.merger.library.encode(
+            for (chunk, packed), theirs in zip(self.fresh, self.merger.library.encode(
                     [c for c, _ in self.fresh], num_threads=1)):
-                if ids != theirs:
-                    if chunk == "":     # the bare space before further spaces: no text for the library
-                        continue
-                    raise LibraryMismatch(f"{chunk!r}: {ids} against {theirs}")
+                # an empty chunk, the bare space before further spaces, is no text for the library
+                if chunk and packed != array("i", theirs).tobytes():
+                    raise LibraryMismatch(f"{chunk!r}: the library gives {theirs}")
             self.fresh = []
         if len(self) > TABLE_SIZE:
             self.older = dict(self)
