@@ -27,6 +27,7 @@ FILL_ZERO_COLS = ("u_events", "u_views", "u_adds", "u_txn",
                   "duration_min", "views", "adds", "unique_items")
 SPLIT_QUANTILE = 0.8
 SPLIT_RELATIVE_ERROR = 0.001
+SESSION_COLS = ("views", "adds", "distinct_products", "session_hour")   # session-level intent model
 NEG_TO_POS_RATIO = 3.0
 SEED = 42
 THRESHOLD = 0.5
@@ -42,10 +43,6 @@ RF_SUBSAMPLING = 0.8
 
 # --- fixed values (app surface) -----------------------------------------------
 DEFAULT_VIEW = "dataset"
-SQL_RESULT_CAP = 1000
-PREDICTION_EXPORT_CAP = 100000
 HIST_BINS = 20
 HIST_SAMPLE_FRACTION = 0.05
 LABEL_COL_GENERIC = "__label"
-DEFAULT_NUMERIC_FEATURES = 10     # first N numeric columns used when none are chosen
-DEFAULT_CATEGORICAL_FEATURES = 5  # first N string columns used when none are chosen

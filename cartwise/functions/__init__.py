@@ -7,6 +7,7 @@ from cartwise.functions.expressions import (
     count_if,
     epoch_ms_to_ts,
     hash_keep,
+    key_hash,
     minutes_between,
     prob_max,
     safe_double,
@@ -17,6 +18,6 @@ from cartwise.functions.expressions import (
 
 __all__ = [
     "class_probability", "clean_price", "count_if", "epoch_ms_to_ts", "hash_keep",
-    "minutes_between", "prob_max", "safe_double", "safe_int", "session_key",
+    "key_hash", "minutes_between", "prob_max", "safe_double", "safe_int", "session_key",
     "whole_seconds",
 ]

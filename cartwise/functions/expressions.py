@@ -36,8 +36,9 @@ def session_key(visitor, seq) -> Column:
 
 
 def safe_int(c) -> Column:
-    """String -> int; bad strings become null instead of failing (ANSI safe)."""
-    return _c(c).try_cast("int")
+    """String -> int, a decimal fraction cut off (``5.7`` is 5); bad strings
+    become null instead of failing (ANSI safe)."""
+    return F.regexp_replace(_c(c), r"^(\s*[+-]?[0-9]+)\.[0-9]*(\s*)$", "$1$2").try_cast("int")
 
 
 def safe_double(c) -> Column:
@@ -59,9 +60,19 @@ def prob_max(prob_arr) -> Column:
     return F.array_max(_c(prob_arr))
 
 
+HASH_BITS = 60
+
+
+def key_hash(cols: list[str], seed: int) -> Column:
+    """The first ``HASH_BITS`` bits of md5 over the columns as text, joined by
+    ``|`` (null: empty), and the seed: a number that any engine can recompute."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def hash_keep(cols: list[str], fraction: float, seed: int) -> Column:
-    """Layout-independent Bernoulli keep flag: the same rows survive whatever
-    the number of input partitions (unlike ``DataFrame.sample``)."""
-    scale = 1_000_000
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(scale)) < F.lit(
-        int(round(fraction * scale)))
+    """Layout-independent keep flag with probability ``fraction``: the same
+    rows survive whatever the number of input partitions (unlike
+    ``DataFrame.sample``)."""
+    return key_hash(cols, seed) < F.lit(round(fraction * (1 << HASH_BITS))).cast("long")

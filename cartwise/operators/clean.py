@@ -21,15 +21,21 @@ def with_ts(df: DataFrame, epoch_col: str = "timestamp") -> DataFrame:
     return df
 
 
+def _required(df: DataFrame, required: Sequence[str]) -> Sequence[str]:
+    absent = [c for c in required if c not in df.columns]
+    if absent:
+        raise ValueError(f"required columns are absent: {', '.join(absent)}")
+    return required
+
+
 def clean_events(events_raw: DataFrame, kept: Sequence[str] = KEPT_EVENTS,
                  required: Sequence[str] = EVENT_REQUIRED) -> DataFrame:
     """Timestamp conversion, drop rows missing a required column, keep only
     the listed event types. Both filters are simple predicates, so Catalyst
     pushes them into the scan."""
     df = with_ts(events_raw)
-    req = [c for c in required if c in df.columns]
     cond = F.col("event").isin(*kept)
-    for c in req:
+    for c in _required(df, required):
         cond = cond & F.col(c).isNotNull()
     return df.filter(cond)
 
@@ -37,9 +43,8 @@ def clean_events(events_raw: DataFrame, kept: Sequence[str] = KEPT_EVENTS,
 def dropped_row_count(events_raw: DataFrame, required: Sequence[str] = EVENT_REQUIRED) -> DataFrame:
     """One-row report: rows dropped for a missing required column."""
     df = with_ts(events_raw)
-    req = [c for c in required if c in df.columns]
     missing = F.lit(False)
-    for c in req:
+    for c in _required(df, required):
         missing = missing | F.col(c).isNull()
     return df.agg(F.count(F.when(missing, 1)).alias("dropped_nulls"), F.count(F.lit(1)).alias("rows"))
 

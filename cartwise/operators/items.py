@@ -34,10 +34,12 @@ def latest_properties(props: DataFrame) -> DataFrame:
             .select("itemid", "property", F.col("_l.value").alias("value")))
 
 
-def property_counts(latest: DataFrame, n: int = 30) -> DataFrame:
-    """Property keys by number of items, most frequent first (top ``n``)."""
-    return (latest.groupBy("property").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), F.asc("property")).limit(n))
+def property_counts(latest: DataFrame, n: int | None = None) -> DataFrame:
+    """Property keys by number of items, most frequent first; the first ``n``
+    of them where the caller asks for a preview."""
+    counts = (latest.groupBy("property").agg(F.count(F.lit(1)).alias("count"))
+              .orderBy(F.desc("count"), F.asc("property")))
+    return counts if n is None else counts.limit(n)
 
 
 def pivot_properties(latest: DataFrame, keys: Sequence[str] = PIVOT_KEYS) -> DataFrame:
@@ -46,29 +48,25 @@ def pivot_properties(latest: DataFrame, keys: Sequence[str] = PIVOT_KEYS) -> Dat
     return latest.groupBy("itemid").pivot("property", list(keys)).agg(F.first("value"))
 
 
+#: pivot key -> how its text becomes a value; other keys stay text
+CONVERTERS = {"categoryid": safe_int, "available": safe_int, "price": clean_price}
+
+
 def cast_item_columns(wide: DataFrame) -> DataFrame:
-    """``categoryid``/``available`` -> int, ``price`` -> digits and dots -> double.
-    Every cast is a try-cast: dirty strings become null (ANSI mode stays on)."""
-    out = wide
-    if "categoryid" in out.columns:
-        out = out.withColumn("categoryid", safe_int("categoryid"))
-    if "available" in out.columns:
-        out = out.withColumn("available", safe_int("available"))
-    if "price" in out.columns:
-        out = out.withColumn("price", clean_price("price"))
-    return out
+    """Type the known pivot columns. Every cast is a try-cast: dirty strings
+    become null (ANSI mode stays on)."""
+    return wide.select(*[CONVERTERS[c](c).alias(c) if c in CONVERTERS else F.col(c) for c in wide.columns])
 
 
 def items_wide(props: DataFrame, keys: Sequence[str] = PIVOT_KEYS) -> DataFrame:
     """Latest value of each pivot key per item, typed, in one aggregate.
 
     Same answer as ``cast_item_columns(pivot_properties(latest_properties(p)))``
-    restricted to ``keys``, but one shuffle instead of two, and the property
-    filter is pushed into the scan.
+    restricted to ``keys``, but one shuffle instead of two. Items that hold
+    none of the keys stay, with nulls.
     """
     keys = list(keys)
-    wide = (with_ts(props).filter(F.col("property").isin(*keys))
-            .groupBy("itemid")
+    wide = (with_ts(props).groupBy("itemid")
             .agg(*[F.max(F.when(F.col("property") == k, F.struct("ts", "value"))).alias(f"_{k}")
                    for k in keys])
             .select("itemid", *[F.col(f"_{k}.value").alias(k) for k in keys]))

@@ -44,14 +44,6 @@ def label_candidates(sessionised: DataFrame, user_col: str = "visitorid",
                     (F.col("n_txns") > 0).cast("int").alias("label"))
 
 
-def label_candidates_by_join(sessionised: DataFrame, user_col: str = "visitorid") -> DataFrame:
-    """The same labels written as candidates LEFT JOIN purchased pairs,
-    missing label -> 0. Kept for tests and as the readable definition."""
-    return (candidates(sessionised, user_col)
-            .join(purchased_pairs(sessionised), ["session_id", "itemid"], "left")
-            .fillna({"label": 0}))
-
-
 def session_intent(session_feats: DataFrame) -> DataFrame:
     """Session-level purchase intent: 1 when the session has a transaction."""
     return session_feats.select("session_id", (F.col("txns") > 0).cast("int").alias("purchase_intent"))

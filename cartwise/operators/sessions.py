@@ -7,26 +7,23 @@ a new session when gap > gap_minutes; the session number is the running count
 of openings ordered by ts with tied instants sharing one number.
 
 Plan for scale. The rule only looks at whole seconds, so every event of a
-visitor within one second has gap 0 to its predecessor and shares the session
-of the first event of that second. Sessions are therefore a function of the
-*distinct (visitor, second)* pairs:
-
-1. ``secs`` = distinct (visitor, second) - an aggregate that de-duplicates
-   map-side, so a bot firing millions of events per second contributes one
-   row per second;
-2. window over (visitor, time bucket of ``bucket_seconds``) ordered by second:
-   gap to the previous second in the bucket, running count of openings. A
-   window group holds at most ``bucket_seconds`` rows, whatever the skew;
-3. per-(visitor, bucket) summary (first/last second, openings inside) - this
-   aggregate reuses the window's partitioning, no new shuffle - then a window
-   per visitor over the summary (one row per non-empty bucket: bounded by the
-   visitor's time span) gives whether each bucket's first second opens a
-   session and how many sessions opened before it;
-4. the session number of each (visitor, second) joins back to the events on
-   (visitor, second). A hot key there is a plain equi-join key, which AQE
-   splits as a skewed partition.
-
-Result equals the single-window rule for every bucket size (tests check it).
+visitor within one second shares the session of that second's first event,
+and sessions are a function of the distinct (visitor, second) pairs:
+
+1. one map-side-combined aggregate per (visitor, time bucket) holds the
+   bucket's distinct seconds as a set: at most ``bucket_seconds`` numbers,
+   whatever the number of events;
+2. array functions find the seconds of the bucket that open a session inside
+   it; a window per visitor over the bucket rows (one row per non-empty
+   bucket, so bounded by the visitor's time span) tells whether the bucket's
+   first second opens one, and how many sessions opened before it;
+3. a bucket row then carries its opening seconds and the number of the session
+   that it begins in. It is joined to the events on (visitor, bucket), and an
+   event's session number is that number plus the openings up to its second.
+   A hot key there is a plain equi-join key, which AQE splits.
+
+Events are never windowed and cross the network once, in the join. The result
+equals the rule for every bucket size (tests check it against SQL).
 """
 
 from __future__ import annotations
@@ -40,65 +37,48 @@ from cartwise.functions import count_if, session_key, whole_seconds
 DEFAULT_BUCKET_SECONDS = 3600
 
 
-def session_numbers(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
-                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                    user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
-    """``(visitor, _sec, session_seq)``: the session number of every distinct
-    whole second in which the visitor has an event."""
-    gap = F.lit(float(gap_minutes))
-    # Null visitor/time rows have no session (cleaning drops them). Stating it
-    # here keeps both uses of ``secs`` identical after filter inference, so the
-    # de-duplicating shuffle is planned once and reused.
-    secs = (events.select(user_col, whole_seconds(ts_col).alias("_sec"))
-            .filter(F.col(user_col).isNotNull() & F.col("_sec").isNotNull())
-            .distinct()
-            # non-nullable bucket key (the second is non-null): no null filter
-            # gets inferred from the join below, which would break the reuse
-            .withColumn("_bkt", F.coalesce(F.floor(F.col("_sec") / F.lit(int(bucket_seconds))), F.lit(0))))
-
-    w_in = Window.partitionBy(user_col, "_bkt").orderBy("_sec")
-    prev = F.lag("_sec").over(w_in)
-    secs = secs.withColumn("_open_in", F.when(prev.isNotNull() & ((F.col("_sec") - prev) / F.lit(60.0) > gap), 1)
-                           .otherwise(0))
-    secs = secs.withColumn("_run_in", F.sum("_open_in").over(w_in))
-
-    w_b = Window.partitionBy(user_col).orderBy("_bkt")
-    prev_last = F.lag("_last").over(w_b)
-    summary = (secs.groupBy(user_col, "_bkt")
-               .agg(F.min("_sec").alias("_first"), F.max("_sec").alias("_last"),
-                    F.sum("_open_in").alias("_opens_in"))
-               .withColumn("_open_first",
-                           F.when(prev_last.isNull() | ((F.col("_first") - prev_last) / F.lit(60.0) > gap), 1)
-                           .otherwise(0)))
-    before = F.sum(F.col("_open_first") + F.col("_opens_in")).over(
-        w_b.rowsBetween(Window.unboundedPreceding, -1))
-    summary = summary.select(user_col, "_bkt",
-                             (F.coalesce(before, F.lit(0)) + F.col("_open_first")).alias("_base"))
-    return (secs.join(summary, [user_col, "_bkt"], "inner")
-            .select(user_col, "_sec", (F.col("_base") + F.col("_run_in")).cast("long").alias("session_seq")))
+def _bucket(second, bucket_seconds: int):
+    # the second is never null here; saying so keeps null filters out of the join
+    return F.coalesce(F.floor(second / F.lit(int(bucket_seconds))), F.lit(0))
+
+
+def session_openings(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
+                     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                     user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
+    """``(visitor, _bkt, _base, _openings)``: per non-empty bucket, the number
+    of sessions that opened before its first opening second, and those
+    seconds in order."""
+    def opens(later, earlier):
+        return (later - earlier) / F.lit(60.0) > F.lit(float(gap_minutes))
+
+    second = whole_seconds(ts_col)
+    buckets = (events.filter(F.col(user_col).isNotNull() & F.col(ts_col).isNotNull())
+               .groupBy(user_col, _bucket(second, bucket_seconds).alias("_bkt"))
+               .agg(F.array_sort(F.collect_set(second)).alias("_secs")))
+    inside = F.filter("_secs", lambda s, i: (i > 0) & opens(s, F.get("_secs", i - 1)))
+    per_visitor = Window.partitionBy(user_col).orderBy("_bkt")
+    first, last = F.get("_secs", F.lit(0)), F.element_at("_secs", -1)
+    rows = buckets.select(user_col, "_bkt", first.alias("_first"), last.alias("_last"), inside.alias("_inside"))
+    previous = F.lag("_last").over(per_visitor)
+    rows = rows.withColumn("_openings", F.when(
+        previous.isNull() | opens(F.col("_first"), previous),
+        F.concat(F.array("_first"), "_inside")).otherwise(F.col("_inside")))
+    before = F.sum(F.size("_openings")).over(per_visitor.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(user_col, "_bkt", F.coalesce(before, F.lit(0)).alias("_base"), "_openings")
 
 
 def sessionize(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
                bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
-    """Add ``session_seq`` (long, from 1) and ``session_id`` (``visitor-seq``)."""
-    nums = session_numbers(events, gap_minutes, bucket_seconds, user_col, ts_col)
-    ev = events.withColumn("_sec", whole_seconds(ts_col))
-    out = ev.join(nums, [user_col, "_sec"], "inner").drop("_sec")
-    return out.withColumn("session_id", session_key(user_col, "session_seq"))
-
-
-def sessionize_single_window(events: DataFrame, gap_minutes: float = SESSION_GAP_MINUTES,
-                             user_col: str = "visitorid", ts_col: str = "ts") -> DataFrame:
-    """The rule as one window per visitor. Used by tests as the reference
-    answer; fine when no visitor is heavy."""
-    w = Window.partitionBy(user_col).orderBy(ts_col)
-    prev = F.lag(ts_col).over(w)
-    gap = F.when(prev.isNull(), F.lit(1e9)).otherwise(
-        (whole_seconds(ts_col) - whole_seconds(prev)) / F.lit(60.0))
-    out = events.withColumn("_new", F.when(gap > F.lit(float(gap_minutes)), 1).otherwise(0))
-    out = out.withColumn("session_seq", F.sum("_new").over(w).cast("long"))
-    return out.withColumn("session_id", session_key(user_col, "session_seq")).drop("_new")
+    """Add ``session_seq`` (long, from 1) and ``session_id`` (``visitor-seq``).
+    Rows without a visitor or time have no session and are dropped."""
+    openings = session_openings(events, gap_minutes, bucket_seconds, user_col, ts_col)
+    second = whole_seconds(ts_col)
+    placed = events.filter(F.col(ts_col).isNotNull()) \
+        .withColumn("_bkt", _bucket(second, bucket_seconds)).join(openings, [user_col, "_bkt"])
+    begun = F.size(F.filter("_openings", lambda o: o <= second))
+    return (placed.withColumn("session_seq", (F.col("_base") + begun).cast("long"))
+            .select(*events.columns, "session_seq", session_key(user_col, "session_seq").alias("session_id")))
 
 
 def session_item_rollup(sessionised: DataFrame, user_col: str = "visitorid") -> DataFrame:

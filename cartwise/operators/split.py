@@ -7,15 +7,17 @@
   bucket counts, and a 64-bit range closes in a handful of passes;
 * negative down-sampling by a key hash, so the kept rows do not depend on
   the partition layout;
-* random split (``randomSplit``) for generic tables.
+* random split by a key hash for generic tables.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from cartwise.constants import (NEG_TO_POS_RATIO, SEED, SPLIT_QUANTILE, SPLIT_RELATIVE_ERROR,
                                 TEST_RATIO)
@@ -95,7 +97,17 @@ def downsample_negatives(train: DataFrame, ratio: float = NEG_TO_POS_RATIO, seed
     return train.filter(keep), frac
 
 
-def random_split(df: DataFrame, test_ratio: float = TEST_RATIO, seed: int = SEED):
-    """``(train, test)`` by ``randomSplit([1 - r, r], seed)``."""
-    train, test = df.randomSplit([1.0 - test_ratio, test_ratio], seed=seed)
-    return train, test
+def random_split_flag(df: DataFrame, test_ratio: float = TEST_RATIO, seed: int = SEED,
+                      key_cols: Sequence[str] | None = None) -> DataFrame:
+    """``is_test`` (0/1) by a hash of the key columns (default: all columns of
+    a plain type) and the seed, the same for any layout of ``df``. Rows with
+    equal keys fall on the same side."""
+    keys = list(key_cols or [f.name for f in df.schema if isinstance(f.dataType, AtomicType)])
+    return df.withColumn("is_test", hash_keep(keys, test_ratio, seed).cast("int"))
+
+
+def random_split(df: DataFrame, test_ratio: float = TEST_RATIO, seed: int = SEED,
+                 key_cols: Sequence[str] | None = None):
+    """``(train, test)`` by ``random_split_flag``."""
+    flagged = random_split_flag(df, test_ratio, seed, key_cols)
+    return tuple(flagged.filter(F.col("is_test") == t).drop("is_test") for t in (0, 1))

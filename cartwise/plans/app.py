@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.constants import PREDICTION_EXPORT_CAP, TOP_K
+from cartwise.constants import TOP_K
 from cartwise.ml.model import GenericModel
 from cartwise.ml.score import score
 from cartwise.operators import scoring
@@ -48,8 +48,9 @@ def score_view(spark: SparkSession, model: GenericModel, view: str, **kw) -> Sco
     return score_table(model, spark.table(view), **kw)
 
 
-def export(scored: Scored, out_dir: str, cap: int | None = PREDICTION_EXPORT_CAP) -> None:
-    """Top-K (all rows) and predictions (first ``cap`` rows) as CSV."""
+def export(scored: Scored, out_dir: str, cap: int | None = None) -> None:
+    """Top-K and predictions as CSV, all rows, written by all tasks; ``cap``
+    limits the predictions where the caller wants a small download."""
     if scored.topk is not None:
         sinks.export_csv(scored.topk, f"{out_dir}/topk")
     sinks.export_csv(scored.preds, f"{out_dir}/predictions", limit=cap)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwise.constants import HIST_SAMPLE_FRACTION
 from cartwise.operators import explore, features, items, labels, reports, scoring, sessions, split
 from cartwise.operators.clean import drop_empty_rows
 from cartwise.plans.inputs import load_inputs
@@ -23,6 +24,11 @@ def _us(c: str, alias: str | None = None):
     return F.unix_micros(F.col(c)).alias(alias or f"{c}_us")
 
 
+def _as_double(df, *cols):
+    """Nullable integers as double: engines hand their nulls over alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 def _sessionised(spark, sf_dir, gap=30):
     return sessions.sessionize(load_inputs(spark, sf_dir).events, gap_minutes=gap)
 
@@ -52,12 +58,12 @@ def q_property_counts(spark, sf_dir):
 
 
 def q_items_wide(spark, sf_dir):
-    return load_inputs(spark, sf_dir).items
+    return _as_double(items.items_wide(load_inputs(spark, sf_dir).props), "categoryid", "available")
 
 
 def q_items_pivot(spark, sf_dir):
     latest = items.latest_properties(load_inputs(spark, sf_dir).props)
-    return items.cast_item_columns(items.pivot_properties(latest))
+    return _as_double(items.cast_item_columns(items.pivot_properties(latest)), "categoryid", "available")
 
 
 def _sessionize_query(gap):
@@ -81,7 +87,7 @@ def q_session_features_12h(spark, sf_dir):
 def q_enriched_events(spark, sf_dir):
     inp = load_inputs(spark, sf_dir)
     s = sessions.sessionize(inp.events)
-    return features.enrich_events(s, inp.items).select(
+    return _as_double(features.enrich_events(s, inp.items), "categoryid", "available").select(
         "session_id", "itemid", "event", _us("ts"), "categoryid", "available", "price")
 
 
@@ -117,7 +123,7 @@ TRAINING_COLS = ["session_id", "visitorid", "itemid", "label", "views", "adds",
 
 
 def q_training_frame(spark, sf_dir):
-    return _xy(spark, sf_dir).select(*TRAINING_COLS)
+    return _as_double(_xy(spark, sf_dir), "categoryid").select(*TRAINING_COLS)
 
 
 def q_temporal_split(spark, sf_dir):
@@ -137,7 +143,7 @@ def q_purchase_funnel(spark, sf_dir):
 def q_category_conversion(spark, sf_dir):
     inp = load_inputs(spark, sf_dir)
     lab = labels.label_candidates(sessions.sessionize(inp.events, gap_minutes=GAP_12H))
-    return reports.category_conversion(lab, inp.items)
+    return _as_double(reports.category_conversion(lab, inp.items), "categoryid")
 
 
 def q_activity_by_hour(spark, sf_dir):
@@ -150,20 +156,57 @@ def stand_in_score(df: DataFrame) -> DataFrame:
     return df.withColumn("p1", (F.col("itemid") * F.lit(7919) % F.lit(1000)) / F.lit(1000.0))
 
 
+def _scored_pairs(spark, sf_dir):
+    """The labelled pairs with the stand-in score: all that ranking, confusion
+    counts, metrics and histogram read."""
+    pairs = labels.label_candidates(_sessionised(spark, sf_dir, GAP_12H))
+    return stand_in_score(pairs.select("session_id", "itemid", "label"))
+
+
 def q_top_k_per_session(spark, sf_dir):
-    return scoring.top_k(stand_in_score(_xy(spark, sf_dir)), k=5)
+    return scoring.top_k(_scored_pairs(spark, sf_dir), k=5)
 
 
 def q_confusion_matrix(spark, sf_dir):
-    return scoring.confusion_matrix(stand_in_score(_xy(spark, sf_dir)))
+    return scoring.confusion_matrix(_scored_pairs(spark, sf_dir))
 
 
 def q_binary_metrics(spark, sf_dir):
-    return scoring.binary_metrics(scoring.confusion_matrix(stand_in_score(_xy(spark, sf_dir))))
+    return scoring.binary_metrics(scoring.confusion_matrix(_scored_pairs(spark, sf_dir)))
 
 
 def q_score_histogram(spark, sf_dir):
-    return scoring.score_histogram(stand_in_score(_xy(spark, sf_dir)))
+    return scoring.score_histogram(_scored_pairs(spark, sf_dir))
+
+
+def q_score_histogram_sampled(spark, sf_dir):
+    return scoring.score_histogram(_scored_pairs(spark, sf_dir), sample_fraction=HIST_SAMPLE_FRACTION) \
+        .select("bin", "count")
+
+
+def q_probabilities(spark, sf_dir):
+    """A probability vector from the stand-in score, through the vector
+    operators: p1, p_max, flattened vectors, and ``ensure_p1`` from p_buy."""
+    from pyspark.ml.functions import array_to_vector
+    p1 = F.col("p1")
+    preds = _scored_pairs(spark, sf_dir).select(
+        "session_id", "itemid", array_to_vector(F.array(1 - p1, p1)).alias("probability"))
+    flat = scoring.flatten_vectors(scoring.ensure_p1(scoring.add_probabilities(preds)))
+    by_rank = scoring.ensure_p1(flat.select("session_id", "itemid", "p_max", "probability", F.col("p1").alias("p_buy"))
+                                .withColumnRenamed("probability", "elements"))
+    return by_rank.select("session_id", "itemid", "p1", "p_max", F.get("elements", F.lit(0)).alias("first_element"),
+                          "p_buy")
+
+
+def q_model_metrics(spark, sf_dir):
+    """AUROC, AUPRC, accuracy and F1 of the stand-in score as a prediction."""
+    from cartwise.ml import model as M
+    from cartwise.plans.materialize import materialize
+    preds = materialize(_scored_pairs(spark, sf_dir).select(
+        F.col("label").cast("double").alias("label"), "p1",
+        (F.col("p1") >= 0.5).cast("double").alias("prediction")), "stand-in-predictions")
+    found = M.evaluate_binary(preds, raw_col="p1") | M.evaluate_multiclass(preds, "label")
+    return spark.range(1).select(*[F.round(F.lit(v), 9).alias(k) for k, v in found.items()])
 
 
 def q_numeric_summary(spark, sf_dir):
@@ -174,9 +217,7 @@ def q_numeric_summary(spark, sf_dir):
 
 
 def q_class_count(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.filter(F.col("o_orderstatus").isNotNull()).agg(
-        F.countDistinct("o_orderstatus").alias("n_classes"))
+    return explore.class_count(table(spark, sf_dir, "orders"), "o_orderstatus")
 
 
 def q_drop_empty_rows(spark, sf_dir):
@@ -194,7 +235,7 @@ def q_sql_view(spark, sf_dir):
                                   "GROUP BY o_orderpriority")
 
 
-# --- model-backed queries (checked by rows: fitting is not SQL) -------------
+# --- fitted models: facts that hold for any fit, with the exact cut-off -------
 
 def _intent_inputs(spark, sf_dir):
     from cartwise.plans.intent import build_training_frame
@@ -202,49 +243,63 @@ def _intent_inputs(spark, sf_dir):
     return inp, build_training_frame(inp.events, inp.items)
 
 
+def _ranked(top, score_col="p_buy"):
+    """Per session: how many items were ranked, and whether every score is a
+    probability."""
+    p = F.col(score_col)
+    return top.groupBy("session_id").agg(
+        F.count("*").alias("n_ranked"), F.bool_and(p.isNotNull() & p.between(0.0, 1.0)).alias("p_in_range"))
+
+
 def q_downsample_negatives(spark, sf_dir):
     _, xy = _intent_inputs(spark, sf_dir)
-    train, _, _ = split.temporal_split(xy)
+    train, _, _ = split.temporal_split(xy, relative_error=0.0)
     bal, _ = split.downsample_negatives(train)
     return bal.select("session_id", "itemid", "label")
 
 
 def q_random_split(spark, sf_dir):
-    _, test = split.random_split(table(spark, sf_dir, "orders"))
-    return test.select("o_orderkey", "o_orderstatus")
+    return split.random_split_flag(table(spark, sf_dir, "orders"), key_cols=["o_orderkey"]) \
+        .select("o_orderkey", "o_orderstatus", "is_test")
 
 
-def q_score_logistic(spark, sf_dir):
+def _scored_run(spark, sf_dir, classifier=None, name="lr"):
     from cartwise.plans.intent import run_intent
     inp, xy = _intent_inputs(spark, sf_dir)
-    return run_intent(inp.events, inp.items, xy=xy).topk
+    return run_intent(inp.events, inp.items, classifier=classifier, xy=xy, name=name, relative_error=0.0)
+
+
+def q_score_logistic(spark, sf_dir):
+    return _ranked(_scored_run(spark, sf_dir).topk)
 
 
 def q_score_forest(spark, sf_dir):
     from cartwise.ml.model import forest
-    from cartwise.plans.intent import run_intent
-    inp, xy = _intent_inputs(spark, sf_dir)
-    return run_intent(inp.events, inp.items, classifier=forest(), xy=xy, name="rf").topk
+    return _ranked(_scored_run(spark, sf_dir, forest(), "rf").topk)
 
 
 def q_score_saved_model(spark, sf_dir):
-    from cartwise.config import ensure_checkpoint_dir
+    import uuid
+
     from cartwise.ml import model as M
     from cartwise.ml.score import score_from_saved
-    import uuid
+    from cartwise.plans.materialize import scratch_path
     _, xy = _intent_inputs(spark, sf_dir)
-    train, test, _ = split.temporal_split(xy)
-    path = f"{ensure_checkpoint_dir(spark)}/models/lr-{uuid.uuid4().hex}"
+    train, test, _ = split.temporal_split(xy, relative_error=0.0)
+    path = scratch_path(spark, f"models/lr-{uuid.uuid4().hex}")
     M.save(M.train_intent(train), path)
-    return scoring.top_k(score_from_saved(path, test))
+    return _ranked(scoring.top_k(score_from_saved(path, test)))
 
 
 def q_train_multiclass(spark, sf_dir):
     from cartwise.ml.model import train_generic
     m = train_generic(table(spark, sf_dir, "orders"), "o_orderstatus",
                       num_cols=["o_totalprice", "o_custkey"], cat_cols=["o_orderpriority"],
-                      model_type="lr")
-    return m.test_preds.select("o_orderkey", "o_orderstatus", "prediction", "p_max")
+                      model_type="lr", split_cols=["o_orderkey"])
+    n = float(m.n_classes)
+    return m.test_preds.select(
+        "o_orderkey", "o_orderstatus", F.col("p_max").between(1 / n, 1.0).alias("p_max_ok"),
+        F.col("prediction").between(0.0, n - 1).alias("class_ok"))
 
 
 def q_train_binary(spark, sf_dir):
@@ -252,21 +307,86 @@ def q_train_binary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     data = table(spark, sf_dir, "labels").join(docs, "doc_id", "inner")
     m = train_generic(data, "quality", num_cols=["n_chars", "toxic"], cat_cols=["lang", "source"],
-                      model_type="lr")
-    return m.test_preds.select("doc_id", "quality", "prediction", "p1")
+                      model_type="lr", split_cols=["doc_id"])
+    likely = (F.col("p1") > 0.5).cast("double")
+    return m.test_preds.select("doc_id", "quality", F.col("p1").between(0.0, 1.0).alias("p_in_range"),
+                               (F.col("prediction") == likely).alias("class_ok"))
 
 
 def q_app_score_view(spark, sf_dir):
     """The any-table flow on the training frame: train a generic binary
-    logistic model on ``label``, register the frame as a view, score the view
-    and rank items per session by ``p1``."""
+    logistic model on ``label`` with all its features, register the frame as a
+    view, score the view and rank items per session by ``p1``."""
+    from cartwise.constants import CAT_COLS, NUM_COLS
     from cartwise.ml.model import train_generic
     from cartwise.plans.app import score_view
     xy = _xy(spark, sf_dir, gap=30, cut_lineage=True)
-    m = train_generic(xy, "label", num_cols=["views", "adds", "unique_items", "duration_min",
-                                             "u_events", "i_views"], cat_cols=[], model_type="lr")
+    m = train_generic(xy, "label", num_cols=NUM_COLS, cat_cols=CAT_COLS, model_type="lr",
+                      split_cols=["session_id", "itemid"])
     explore.register(xy.drop("label"), "dataset")
-    return score_view(spark, m, "dataset").topk
+    return _ranked(score_view(spark, m, "dataset").topk, "score")
+
+
+def q_session_intent_model(spark, sf_dir):
+    """Session-level intent: four features, logistic regression on the 80%
+    side of the split, saved, loaded, applied to every session."""
+    import uuid
+
+    from cartwise.ml import model as M
+    from cartwise.ml.score import score, score_from_saved
+    from cartwise.plans.materialize import materialize, scratch_path
+    feats = sessions.session_features(_sessionised(spark, sf_dir))
+    rows = split.random_split_flag(
+        feats.select("session_id", "views", "adds", "distinct_products", "session_hour",
+                     (F.col("txns") > 0).cast("int").alias("purchase_intent")), key_cols=["session_id"])
+    rows = materialize(rows, "session-intent-rows")
+    model = M.train_session_intent(rows.filter("is_test = 0"))
+    path = scratch_path(spark, f"models/session-intent-{uuid.uuid4().hex}")
+    M.save(model, path)
+    first = score(model, rows).select(*rows.columns, F.col("p1").alias("p_first"))
+    again = score_from_saved(path, first)
+    return again.select(*rows.columns, F.col("p1").between(0.0, 1.0).alias("p_in_range"),
+                        (F.col("p1") == F.col("p_first")).alias("reload_ok"))
+
+
+# --- the clickstream files: written by the sinks, read by the CSV sources ------
+
+def _csv_folder(spark):
+    import uuid
+
+    from cartwise.plans.materialize import scratch_path
+    return scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+
+
+def q_csv_clean_events(spark, sf_dir):
+    from cartwise.operators.clean import clean_events
+    from cartwise.sources import read_events, sinks
+    raw = load_inputs(spark, sf_dir).events_raw
+    path = f"{_csv_folder(spark)}/events.csv"
+    sinks.export_csv(raw.select(F.unix_millis("ts").alias("timestamp"), "visitorid", "event", "itemid",
+                                "transactionid"), path)
+    return clean_events(read_events(spark, path)).select("visitorid", "event", "itemid", _us("ts"))
+
+
+def q_csv_items_wide(spark, sf_dir):
+    from cartwise.sources import item_property_parts, read_item_properties, sinks
+    folder = _csv_folder(spark)
+    paths = [f"{folder}/part{i}.csv" for i in (1, 2)]
+    for part, path in zip(item_property_parts(spark, sf_dir), paths):
+        sinks.export_csv(part.select("timestamp", "itemid", "property", "value"), path)
+    return _as_double(items.items_wide(items.union_properties(read_item_properties(spark, paths))),
+                      "categoryid", "available")
+
+
+def q_csv_any_table(spark, sf_dir):
+    """Nations under regions as a category tree, through the any-table reader
+    and the category source."""
+    from cartwise.sources import read_any, read_categories, sinks
+    path = f"{_csv_folder(spark)}/category_tree.csv"
+    nation = table(spark, sf_dir, "nation")
+    sinks.export_csv(nation.select(F.col("n_nationkey").alias("categoryid"), F.col("n_regionkey").alias("parentid")), path)
+    tree = read_any(spark, path).join(read_categories(spark, path), ["categoryid", "parentid"])
+    return tree.groupBy(F.col("parentid").cast("int").alias("parentid")).agg(F.count("*").alias("children"))
 
 
 def q_row_count(spark, sf_dir):
@@ -283,11 +403,6 @@ def q_candidates(spark, sf_dir):
     return labels.candidates(_sessionised(spark, sf_dir, GAP_12H))
 
 
-def q_labeled_by_join(spark, sf_dir):
-    return labels.label_candidates_by_join(_sessionised(spark, sf_dir, GAP_12H)).select(
-        "session_id", "visitorid", "itemid", "label")
-
-
 QUERIES: dict[str, Query] = {
     "event_counts": q_event_counts,
     "time_range": q_time_range,
@@ -332,5 +447,11 @@ QUERIES: dict[str, Query] = {
     "row_count": q_row_count,
     "ingest_nulls": q_ingest_nulls,
     "candidates": q_candidates,
-    "labeled_by_join": q_labeled_by_join,
+    "score_histogram_sampled": q_score_histogram_sampled,
+    "probabilities": q_probabilities,
+    "model_metrics": q_model_metrics,
+    "session_intent_model": q_session_intent_model,
+    "csv_clean_events": q_csv_clean_events,
+    "csv_items_wide": q_csv_items_wide,
+    "csv_any_table": q_csv_any_table,
 }

@@ -22,6 +22,7 @@ from cartwise.operators.clean import clean_events
 from cartwise.operators.items import items_wide, union_properties
 from cartwise.plans.inputs import load_inputs
 from cartwise.plans.intent import run_models
+from cartwise.plans.materialize import drop_tables
 from cartwise.sources.readers import read_events, read_item_properties
 
 EVENTS_FILE = "events.csv"
@@ -62,6 +63,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
                for name, run in runs.items()}
     rows = [dict(model=name, **m) for name, m in metrics.items()]
     spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").json(os.path.join(a.out, "metrics"))
+    drop_tables(spark)          # the results are written
     return metrics
 
 

@@ -17,20 +17,20 @@ clean AS (
   WHERE event IN ('view', 'addtocart', 'transaction')
     AND visitorid IS NOT NULL AND itemid IS NOT NULL AND ts IS NOT NULL)"""
 
-PROPS = """
+PROPS = r"""
 props AS (
-  SELECT CAST(p_partkey AS INTEGER) AS itemid, 'categoryid' AS property,
-         CAST(p_size AS VARCHAR) AS value, CAST(1704067200000 AS BIGINT) AS tms FROM part
+  SELECT CAST(p_partkey AS INTEGER) AS itemid, CASE WHEN p_size = 2 THEN '888' ELSE 'categoryid' END AS property,
+         CAST(p_size AS VARCHAR) || CASE WHEN p_size = 1 THEN '.7' ELSE '' END AS value, CAST(1704067200000 AS BIGINT) AS tms FROM part
   UNION ALL
-  SELECT CAST(p_partkey AS INTEGER), 'available',
+  SELECT CAST(p_partkey AS INTEGER), CASE WHEN p_size = 2 THEN '888' ELSE 'available' END,
          CASE WHEN p_type = 'ECONOMY' THEN '0' ELSE '1' END, 1704067200000 FROM part
   UNION ALL
-  SELECT CAST(p_partkey AS INTEGER), 'price',
+  SELECT CAST(p_partkey AS INTEGER), CASE WHEN p_size = 2 THEN '888' ELSE 'price' END,
          CASE WHEN p_brand = 'Brand#13' THEN 'n/a'
               ELSE 'n' || CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) END,
          1704067200000 FROM part
   UNION ALL
-  SELECT CAST(p_partkey AS INTEGER), 'price',
+  SELECT CAST(p_partkey AS INTEGER), CASE WHEN p_size = 2 THEN '888' ELSE 'price' END,
          'n' || CAST(CAST(p_retailprice + 1 AS DECIMAL(10,2)) AS VARCHAR),
          1704067200000 + CAST(p_size - 25 AS BIGINT) * 86400000
   FROM part),
@@ -41,7 +41,8 @@ lat AS (
     FROM props) WHERE rn = 1),
 wide AS (
   SELECT itemid,
-         TRY_CAST(max(CASE WHEN property = 'categoryid' THEN value END) AS INTEGER) AS categoryid,
+         TRY_CAST(regexp_replace(max(CASE WHEN property = 'categoryid' THEN value END),
+                                 '^(\s*[+-]?[0-9]+)\.[0-9]*(\s*)$', '\1\2') AS INTEGER) AS categoryid,
          TRY_CAST(max(CASE WHEN property = 'available' THEN value END) AS INTEGER) AS available,
          TRY_CAST(regexp_replace(max(CASE WHEN property = 'price' THEN value END),
                                  '[^0-9.]', '', 'g') AS DOUBLE) AS price
@@ -113,6 +114,20 @@ xy AS (
 xys AS (SELECT *, CAST(itemid * 7919 % 1000 AS DOUBLE) / 1000.0 AS p1 FROM xy)"""
 
 
+PAIRS = """
+xys AS (SELECT *, CAST(itemid * 7919 % 1000 AS DOUBLE) / 1000.0 AS p1 FROM lab)"""
+
+
+def key_hash(*cols: str, seed: int = 42) -> str:
+    """The first 60 bits of md5 over the columns as text and the seed."""
+    parts = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
+    return f"CAST('0x' || substr(md5({parts} || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+def share(fraction: str) -> str:
+    return f"CAST(round(({fraction}) * 1152921504606846976.0) AS BIGINT)"
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(p.strip("\n") for p in parts) + "\n"
 
@@ -121,6 +136,40 @@ def _xy(gap: int = 720) -> str:
     return _with(EV, PROPS, sess(gap), SF, LAB, UF, XY)
 
 
+def _pairs() -> str:
+    return _with(EV, sess(720), LAB, PAIRS)
+
+
+def _slice(gap: int) -> str:
+    """The training frame and its exact 80% cut-off."""
+    return _xy(gap).rstrip() + (",\ncut AS (SELECT quantile_disc(session_start_ts, 0.8) AS q FROM xy),\n"
+                                "test AS (SELECT * FROM xy WHERE session_start_ts > (SELECT q FROM cut)),\n"
+                                "train AS (SELECT * FROM xy WHERE session_start_ts <= (SELECT q FROM cut))\n")
+
+
+RANKED = ("SELECT session_id, least(5, count(*)) AS n_ranked, true AS p_in_range FROM {0} "
+          "GROUP BY session_id")
+
+METRICS = """
+byscore AS (SELECT p1, sum(label) AS pos, count(*) - sum(label) AS neg FROM xys GROUP BY p1),
+curve AS (
+  SELECT p1, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+         (SELECT sum(pos) FROM byscore) AS np, (SELECT sum(neg) FROM byscore) AS nn
+  FROM byscore WINDOW w AS (ORDER BY p1 DESC)),
+steps AS (
+  SELECT CAST(pos AS DOUBLE) / np AS d_recall, CAST(neg AS DOUBLE) / nn AS d_fpr,
+         CAST(tp AS DOUBLE) / np + CAST(tp - pos AS DOUBLE) / np AS recalls,
+         CAST(tp AS DOUBLE) / (tp + fp)
+         + coalesce(lag(CAST(tp AS DOUBLE) / (tp + fp)) OVER (ORDER BY p1 DESC), CAST(tp AS DOUBLE) / (tp + fp))
+           AS precisions
+  FROM curve),
+cells AS (SELECT label, CAST(p1 >= 0.5 AS INTEGER) AS pred, count(*) AS n FROM xys GROUP BY ALL),
+classes AS (
+  SELECT l.label, sum(n) FILTER (WHERE c.label = l.label AND c.pred = l.label) AS tp,
+         sum(n) FILTER (WHERE c.label = l.label) AS actual, sum(n) FILTER (WHERE c.pred = l.label) AS called
+  FROM (VALUES (0), (1)) l(label), cells c GROUP BY l.label)"""
+
+
 def _summary_sql(table: str, cols: list[str]) -> str:
     parts = []
     for c in cols:
@@ -138,16 +187,15 @@ ORACLE: dict[str, str] = {
         "SELECT count(*) FILTER (WHERE visitorid IS NULL OR event IS NULL OR itemid IS NULL OR ts IS NULL) "
         "AS dropped_nulls, count(*) AS rows FROM ev"),
     "candidates": _with(EV, sess(720)) + "SELECT DISTINCT session_id, visitorid, itemid FROM sx",
-    "labeled_by_join": _with(EV, sess(720), LAB) + "SELECT session_id, visitorid, itemid, label FROM lab",
     "event_counts": _with(EV) + "SELECT event, count(*) AS count FROM clean GROUP BY event",
     "time_range": _with(EV) + "SELECT epoch_us(min(ts)) AS min_ts_us, epoch_us(max(ts)) AS max_ts_us FROM clean",
     "clean_events": _with(EV) + "SELECT visitorid, event, itemid, epoch_us(ts) AS ts_us FROM clean",
     "union_properties": _with(PROPS) + "SELECT itemid, property, value, tms * 1000 AS ts_us FROM props",
     "latest_properties": _with(PROPS) + "SELECT itemid, property, value FROM lat",
     "property_counts": _with(PROPS) + ("SELECT property, count(*) AS count FROM lat GROUP BY property "
-                                       "ORDER BY count DESC, property LIMIT 30"),
-    "items_wide": _with(PROPS) + "SELECT itemid, categoryid, available, price FROM wide",
-    "items_pivot": _with(PROPS) + "SELECT itemid, categoryid, available, price FROM wide",
+                                       "ORDER BY count DESC, property"),
+    "items_wide": _with(PROPS) + "SELECT itemid, CAST(categoryid AS DOUBLE) AS categoryid, CAST(available AS DOUBLE) AS available, price FROM wide",
+    "items_pivot": _with(PROPS) + "SELECT itemid, CAST(categoryid AS DOUBLE) AS categoryid, CAST(available AS DOUBLE) AS available, price FROM wide",
     "sessionize_30m": _with(EV, sess(30)) + (
         "SELECT visitorid, session_seq, session_id, itemid, event, epoch_us(ts) AS ts_us FROM sx"),
     "sessionize_12h": _with(EV, sess(720)) + (
@@ -161,7 +209,8 @@ ORACLE: dict[str, str] = {
         "epoch_us(session_end) AS session_end_us, views, adds, txns, unique_items, distinct_products, "
         "duration_min, session_hour FROM sf"),
     "enriched_events": _with(EV, PROPS, sess(30)) + (
-        "SELECT sx.session_id, sx.itemid, sx.event, epoch_us(sx.ts) AS ts_us, w.categoryid, w.available, "
+        "SELECT sx.session_id, sx.itemid, sx.event, epoch_us(sx.ts) AS ts_us, CAST(w.categoryid AS DOUBLE) AS categoryid, "
+        "CAST(w.available AS DOUBLE) AS available, "
         "w.price FROM sx LEFT JOIN wide w ON sx.itemid = w.itemid"),
     "purchased_pairs": _with(EV, sess(720)) + (
         "SELECT DISTINCT session_id, itemid, 1 AS label FROM sx WHERE event = 'transaction'"),
@@ -172,7 +221,7 @@ ORACLE: dict[str, str] = {
     "training_frame": _xy() + (
         "SELECT session_id, visitorid, itemid, label, views, adds, unique_items, distinct_products, "
         "session_hour, duration_min, u_events, u_views, u_adds, u_txn, i_views, i_adds, i_txn, "
-        "categoryid, session_start_ts FROM xy"),
+        "CAST(categoryid AS DOUBLE) AS categoryid, session_start_ts FROM xy"),
     "temporal_split": _xy() + (
         "SELECT session_id, itemid, session_start_ts, "
         "CAST(session_start_ts > (SELECT quantile_disc(session_start_ts, 0.8) FROM xy) AS INTEGER) AS is_test "
@@ -187,19 +236,19 @@ ORACLE: dict[str, str] = {
         "count(*) FILTER (WHERE views > 0 AND adds > 0) AS carted, "
         "count(*) FILTER (WHERE views > 0 AND adds > 0 AND txns > 0) AS purchased FROM sf)"),
     "category_conversion": _with(EV, PROPS, sess(720), LAB) + (
-        "SELECT w.categoryid, count(*) AS pairs, CAST(sum(lab.label) AS BIGINT) AS purchases, "
+        "SELECT CAST(w.categoryid AS DOUBLE) AS categoryid, count(*) AS pairs, CAST(sum(lab.label) AS BIGINT) AS purchases, "
         "CAST(sum(lab.label) AS DOUBLE) / count(*) AS conversion_rate "
         "FROM lab LEFT JOIN wide w ON lab.itemid = w.itemid GROUP BY w.categoryid"),
     "activity_by_hour": _with(EV) + (
         "SELECT CAST(hour(ts) AS INTEGER) AS hour, event, count(*) AS events FROM clean GROUP BY ALL"),
-    "top_k_per_session": _xy() + (
+    "top_k_per_session": _pairs() + (
         "SELECT session_id, itemid, p_buy FROM (SELECT session_id, itemid, p1 AS p_buy, "
         "row_number() OVER (PARTITION BY session_id ORDER BY p1 DESC, itemid ASC) AS rk FROM xys) "
         "WHERE rk <= 5"),
-    "confusion_matrix": _xy() + (
+    "confusion_matrix": _pairs() + (
         "SELECT label, CAST(p1 >= 0.5 AS INTEGER) AS pred, count(*) AS count FROM xys "
         "GROUP BY ALL ORDER BY label, pred"),
-    "binary_metrics": _xy() + (
+    "binary_metrics": _pairs() + (
         "SELECT CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS accuracy, "
         "CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) END AS precision, "
         "CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) END AS recall FROM ("
@@ -207,7 +256,7 @@ ORACLE: dict[str, str] = {
         "count(*) FILTER (WHERE label = 0 AND p1 >= 0.5) AS fp, "
         "count(*) FILTER (WHERE label = 1 AND p1 < 0.5) AS fn, "
         "count(*) FILTER (WHERE label = 0 AND p1 < 0.5) AS tn FROM xys)"),
-    "score_histogram": _xy() + (
+    "score_histogram": _pairs() + (
         "SELECT b.bin, CAST(b.bin AS DOUBLE) / 20.0 AS bin_lo, CAST(b.bin + 1 AS DOUBLE) / 20.0 AS bin_hi, "
         "CAST(coalesce(c.count, 0) AS BIGINT) AS count "
         "FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) b LEFT JOIN ("
@@ -219,4 +268,40 @@ ORACLE: dict[str, str] = {
                         "WHERE NOT (l.quality IS NULL AND l.toxic IS NULL)"),
     "sql_view": ("SELECT o_orderpriority, count(*) AS n_orders, max(o_totalprice) AS max_price "
                  "FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority"),
+    "downsample_negatives": _slice(30).rstrip() + (
+        ",\nf AS (SELECT least(1.0, 3.0 * greatest(1, count(*) FILTER (WHERE label = 1)) "
+        "/ greatest(1, count(*) FILTER (WHERE label = 0))) AS frac FROM train) "
+        "SELECT session_id, itemid, label FROM train WHERE label = 1 OR "
+        f"{key_hash('session_id', 'itemid')} < {share('SELECT frac FROM f')}"),
+    "random_split": ("SELECT o_orderkey, o_orderstatus, "
+                     f"CAST({key_hash('o_orderkey')} < {share('0.2')} AS INTEGER) AS is_test FROM orders"),
+    "score_histogram_sampled": _pairs() + (
+        "SELECT b.bin, CAST(coalesce(c.count, 0) AS BIGINT) AS count "
+        "FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) b LEFT JOIN ("
+        "SELECT CAST(least(floor(p1 * 20), 19) AS INTEGER) AS bin, count(*) AS count "
+        f"FROM xys WHERE {key_hash('session_id', 'itemid')} < {share('0.05')} GROUP BY 1) c ON b.bin = c.bin"),
+    "probabilities": _pairs() + (
+        "SELECT session_id, itemid, p1, greatest(p1, 1 - p1) AS p_max, 1 - p1 AS first_element, p1 AS p_buy FROM xys"),
+    "model_metrics": _pairs().rstrip() + "," + METRICS + (
+        " SELECT round((SELECT sum(d_fpr * recalls / 2) FROM steps), 9) AS auroc, "
+        "round((SELECT sum(d_recall * precisions / 2) FROM steps), 9) AS auprc, "
+        "round((SELECT CAST(sum(n) FILTER (WHERE label = pred) AS DOUBLE) / sum(n) FROM cells), 9) AS accuracy, "
+        "round((SELECT sum(coalesce(2.0 * tp / (actual + called), 0) * actual) / sum(actual) FROM classes), 9) AS f1"),
+    "score_logistic": _slice(30) + RANKED.format("test"),
+    "score_forest": _slice(30) + RANKED.format("test"),
+    "score_saved_model": _slice(30) + RANKED.format("test"),
+    "app_score_view": _xy(30) + RANKED.format("xy"),
+    "train_multiclass": ("SELECT o_orderkey, o_orderstatus, true AS p_max_ok, true AS class_ok FROM orders "
+                         f"WHERE o_orderstatus IS NOT NULL AND {key_hash('o_orderkey')} < {share('0.2')}"),
+    "train_binary": ("SELECT l.doc_id, l.quality, true AS p_in_range, true AS class_ok "
+                     "FROM labels l JOIN documents d ON l.doc_id = d.doc_id "
+                     f"WHERE l.quality IS NOT NULL AND {key_hash('l.doc_id')} < {share('0.2')}"),
+    "session_intent_model": _with(EV, sess(30), SF) + (
+        "SELECT session_id, views, adds, distinct_products, session_hour, CAST(txns > 0 AS INTEGER) "
+        f"AS purchase_intent, CAST({key_hash('session_id')} < {share('0.2')} AS INTEGER) AS is_test, "
+        "true AS p_in_range, true AS reload_ok FROM sf"),
+    "csv_clean_events": _with(EV) + ("SELECT visitorid, event, itemid, epoch_us(ts) // 1000 * 1000 AS ts_us "
+                                     "FROM (SELECT * REPLACE (CAST(visitorid AS VARCHAR) AS visitorid) FROM clean)"),
+    "csv_items_wide": _with(PROPS) + "SELECT itemid, CAST(categoryid AS DOUBLE) AS categoryid, CAST(available AS DOUBLE) AS available, price FROM wide",
+    "csv_any_table": ("SELECT CAST(n_regionkey AS INTEGER) AS parentid, count(*) AS children FROM nation GROUP BY 1"),
 }

@@ -1,4 +1,7 @@
-"""Input layouts of the clickstream files (fixed schemas: no inference job)."""
+"""Input layouts of the clickstream files (fixed schemas: no inference job).
+
+Fixed values: column names, order and types must equal those of the files.
+"""
 
 from pyspark.sql import types as T
 

@@ -20,11 +20,15 @@ EVENT_TYPE_MAP = (("view", "view"), ("click", "addtocart"), ("purchase", "transa
 #   part 2: price = "n" + (price + 1) at PROPS_T0_MS + (p_size - 25) days, so
 #     sizes above 25 carry a newer price, below 25 an older one, and size 25 a
 #     same-instant tie (settled by the larger value).
+#   Items of BARE_SIZE hold none of the pivot keys, only another property;
+#   the categoryid of FRACTION_SIZE items has a fraction (cut by the cast).
 PROPS_T0_MS = 1704067200000
 DAY_MS = 86400000
 PIVOT_SIZE = 25
 NO_PRICE_BRAND = "Brand#13"
 UNAVAILABLE_TYPE = "ECONOMY"
+BARE_SIZE, BARE_PROPERTY = 2, "888"
+FRACTION_SIZE, FRACTION = 1, ".7"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,21 +76,26 @@ def item_property_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     part = table(spark, sf_dir, "part")
     price0 = F.when(F.col("p_brand") == NO_PRICE_BRAND, F.lit("n/a")).otherwise(
         F.concat(F.lit("n"), F.col("p_retailprice").cast("decimal(10,2)").cast("string")))
+    category = F.concat(F.col("p_size").cast("string"),
+                        F.when(F.col("p_size") == FRACTION_SIZE, F.lit(FRACTION)).otherwise(F.lit("")))
+
+    def key(name):
+        return F.when(F.col("p_size") == BARE_SIZE, F.lit(BARE_PROPERTY)).otherwise(F.lit(name))
+
     available = F.when(F.col("p_type") == UNAVAILABLE_TYPE, F.lit("0")).otherwise(F.lit("1"))
     p1 = part.select(
         F.lit(PROPS_T0_MS).alias("timestamp"),
         F.col("p_partkey").cast("int").alias("itemid"),
         F.inline(F.array(
-            F.struct(F.lit("categoryid").alias("property"),
-                     F.col("p_size").cast("string").alias("value")),
-            F.struct(F.lit("available").alias("property"), available.alias("value")),
-            F.struct(F.lit("price").alias("property"), price0.alias("value")),
+            F.struct(key("categoryid").alias("property"), category.alias("value")),
+            F.struct(key("available").alias("property"), available.alias("value")),
+            F.struct(key("price").alias("property"), price0.alias("value")),
         )),
     )
     p2 = part.select(
         (F.lit(PROPS_T0_MS) + (F.col("p_size") - PIVOT_SIZE).cast("long") * F.lit(DAY_MS)).alias("timestamp"),
         F.col("p_partkey").cast("int").alias("itemid"),
-        F.lit("price").alias("property"),
+        key("price").alias("property"),
         F.concat(F.lit("n"), (F.col("p_retailprice") + 1).cast("decimal(10,2)").cast("string")).alias("value"),
     )
     return p1, p2

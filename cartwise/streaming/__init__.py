@@ -56,6 +56,4 @@ def write_stream(df: DataFrame, path: str, name: str, mode: str = "append", fmt:
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/streams/{name}")
     if trigger_once:
         w = w.trigger(availableNow=True)
-    if fmt == "memory":
-        return w.format("memory").queryName(name).start()
     return w.format(fmt).start(path)

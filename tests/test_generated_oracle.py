@@ -13,7 +13,7 @@ import pytest
 import __spark_entry__ as E
 
 QUERIES = ["clean_events", "sessionize_30m", "sessionize_12h", "session_features", "session_features_12h",
-           "enriched_events", "purchased_pairs", "candidates", "labeled_candidates", "labeled_by_join",
+           "enriched_events", "purchased_pairs", "candidates", "labeled_candidates",
            "user_features", "item_features", "training_frame", "temporal_split", "session_intent",
            "purchase_funnel", "category_conversion", "activity_by_hour", "top_k_per_session",
            "confusion_matrix", "score_histogram", "items_wide", "items_pivot", "latest_properties"]

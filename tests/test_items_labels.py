@@ -1,3 +1,4 @@
+import pytest
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -54,8 +55,6 @@ def test_repeat_purchase_and_label_equivalence(spark):
     s = sessions.sessionize(spark.createDataFrame(rows, EV))
     lab = sorted((r.session_id, r.itemid, r.label) for r in labels.label_candidates(s).collect())
     assert lab == [("u-1", 1, 1), ("u-1", 2, 0), ("w-1", 3, 0)]
-    by_join = sorted((r.session_id, r.itemid, r.label) for r in labels.label_candidates_by_join(s).collect())
-    assert lab == by_join
     assert labels.purchased_pairs(s).count() == 1
 
 
@@ -137,3 +136,26 @@ def test_empty_frames_flow_through(spark):
     assert h.count() == 20 and h.agg(F.sum("count")).first()[0] == 0
     summ = numeric_summary(spark.createDataFrame([], "a int")).first()
     assert summ["count"] == 0 and summ["mean"] is None
+
+
+def test_items_without_pivot_keys_stay(spark):
+    props = spark.createDataFrame([(1, 1, "categoryid", "5.7"), (1, 2, "888", "x"), (1, 3, "available", " 1 "),
+                                   (1, 4, "categoryid", "-3.9"), (1, 5, "categoryid", "1.2.3")], PROPS)
+    wide = {r.itemid: (r.categoryid, r.available, r.price) for r in items.items_wide(props).collect()}
+    pivot = {r.itemid: (r.categoryid, r.available, r.price) for r in items.cast_item_columns(
+        items.pivot_properties(items.latest_properties(props))).collect()}
+    assert wide == pivot == {1: (5, None, None), 2: (None, None, None), 3: (None, 1, None), 4: (-3, None, None),
+                             5: (None, None, None)}
+
+
+def test_property_counts_has_no_cap(spark):
+    props = spark.range(45).selectExpr("1L as timestamp", "cast(id as int) as itemid",
+                                       "concat('k', id) as property", "'v' as value")
+    counts = items.property_counts(items.latest_properties(props))
+    assert counts.count() == 45
+    assert items.property_counts(items.latest_properties(props), n=30).count() == 30
+
+
+def test_missing_required_column_is_refused(spark):
+    with pytest.raises(ValueError, match="itemid"):
+        clean_events(spark.createDataFrame([(1, "v", "view")], "timestamp long, visitorid string, event string"))

@@ -3,32 +3,24 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from cartwise.constants import NUM_COLS
 from cartwise.ml import model as M
 from cartwise.ml.score import recover_predictions, score, score_from_saved, score_view
 from cartwise.operators import explore
 from cartwise.sources import read_any, read_events, read_item_properties, sinks, validate
 
-SAMPLE_COLS = ("views adds unique_items duration_min u_events u_views u_adds u_txn "
-               "i_views i_adds i_txn").split()
-
-
 @pytest.fixture(scope="module")
 def feature_rows(spark):
-    """Feature rows in the app's sample layout (ten rows, five of each label),
-    replicated so the classifier has something to fit."""
-    base = [
-        (1, 101, 3, 0, 2, 5, 4, 3, 0, 1, 10, 0, 1, 1016, 0), (1, 102, 1, 1, 1, 3, 2, 1, 1, 0, 5, 1, 0, 809, 1),
-        (1, 103, 2, 0, 1, 2, 3, 2, 0, 1, 4, 0, 1, 570, 0), (2, 104, 5, 2, 3, 10, 6, 5, 2, 0, 20, 5, 0, 1691, 1),
-        (2, 105, 1, 0, 1, 1, 1, 1, 0, 0, 2, 0, 0, 536, 0), (3, 106, 4, 1, 2, 6, 4, 4, 1, 0, 15, 2, 0, 231, 1),
-        (3, 107, 2, 0, 1, 2, 2, 2, 0, 0, 6, 0, 0, 542, 0), (4, 108, 3, 0, 2, 4, 3, 3, 0, 0, 9, 0, 0, 1146, 0),
-        (4, 109, 1, 0, 1, 1, 1, 1, 0, 0, 3, 0, 0, 1140, 1), (5, 110, 5, 3, 3, 12, 7, 5, 3, 0, 25, 3, 0, 1479, 1),
-    ]
-    cols = ["session_id", "itemid", *SAMPLE_COLS, "categoryid", "label"]
-    df = spark.createDataFrame(base, cols)
-    return (df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))   # 20 copies per row
-            .withColumn("session_id", F.concat_ws("-", F.col("session_id").cast("string"), F.col("rep").cast("string")))
-            .withColumn("duration_min", F.col("duration_min").cast("double") + F.col("rep") / 100.0)
-            .drop("rep"))
+    """Labelled feature rows: counts from a hash of the row number, the label
+    from a noisy rule over them."""
+    rows = spark.range(200).select(
+        F.concat_ws("-", (F.col("id") % 90).cast("string"), F.lit("1")).alias("session_id"),
+        (F.col("id") + 100).cast("int").alias("itemid"),
+        *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(9)).cast("double" if c == "duration_min" else "int").alias(c)
+          for c in NUM_COLS],
+        (F.col("id") % 11 + 500).cast("int").alias("categoryid"))
+    noise = F.pmod(F.xxhash64("itemid"), F.lit(5)) == 0
+    return rows.withColumn("label", ((F.col("adds") + F.col("u_txn") > 8) != noise).cast("int"))
 
 
 def test_logistic_pipeline_probabilities_and_save_load(spark, feature_rows, scratch):
@@ -82,10 +74,17 @@ def test_generic_binary_p1_class(spark):
     assert set(m.metrics) == {"auroc", "auprc"}
 
 
-def test_generic_refuses_id_like_category(spark):
-    df = spark.createDataFrame([(f"id{i}", i % 2) for i in range(300)], "s string, target int")
-    with pytest.raises(ValueError, match="too many distinct"):
-        M.train_generic(df, "target", num_cols=[], cat_cols=["s"], max_categories=100)
+@pytest.mark.parametrize("encoder", ["index", "hash"])
+def test_generic_takes_a_column_of_many_values(spark, encoder):
+    df = spark.createDataFrame([(f"id{i}", float(i), i % 2) for i in range(300)], "s string, x double, target int")
+    m = M.train_generic(df, "target", num_cols=["x"], cat_cols=["s"], model_type="lr", encoder=encoder)
+    assert 0 < m.test_preds.count() < 300 and m.test_preds.filter("p1 is null").count() == 0
+    learned = [st for st in m.scorer.stages if hasattr(st, "labelsArray")]
+    assert bool(learned) == (encoder == "index")        # hashing learns no list of values
+    unseen = score(m.scorer, df.withColumn("s", F.lit("unseen")))
+    assert unseen.filter("p1 is null").count() == 0
+    with pytest.raises(ValueError, match="encoder"):
+        M.train_generic(df, "target", cat_cols=["s"], encoder="other")
 
 
 def test_generic_no_feature_raises(spark):
@@ -106,12 +105,19 @@ def test_read_any_and_validate(spark, scratch):
         read_any(spark, "   ")
     ok, _ = validate(spark, pq)
     bad, msg = validate(spark, os.path.join(scratch, "missing.csv"))
-    assert ok and not bad and msg.startswith("Failed")
+    assert ok and not bad and "missing.csv" in msg
+    assert read_any(spark, csv_dir, schema="i int, s string, d double").dtypes == df.dtypes
+    os.rename(pq, os.path.join(scratch, "plain"))
+    assert read_any(spark, os.path.join(scratch, "plain")).count() == 2          # a folder is Parquet
+    with open(os.path.join(scratch, "broken.parquet"), "w") as f:
+        f.write("i,s\n1,a\n")
+    with pytest.raises(Exception):                                               # never read as CSV instead
+        read_any(spark, os.path.join(scratch, "broken.parquet")).count()
 
 
 def test_explore_surface(spark):
     df = spark.createDataFrame([(1, "a", 2.5), (2, "b", None), (3, None, 4.5)], "i int, s string, d double")
-    assert explore.infer_feature_columns(df, exclude=["i"]) == (["d"], ["s"])
+    assert explore.numeric_columns(df, exclude=["i"]) == ["d"] and explore.string_columns(df) == ["s"]
     summ = {r.column: r for r in explore.numeric_summary(df).collect()}
     assert summ["i"]["count"] == 3 and summ["i"]["mean"] == 2.0 and summ["d"]["max"] == 4.5
     assert explore.numeric_summary(df.select("s")).columns == ["msg"]
@@ -120,7 +126,11 @@ def test_explore_surface(spark):
     assert explore.head(explore.run_sql(spark, explore.default_sql()), 2).count() == 2
     explore.run_sql(spark, "CREATE OR REPLACE TEMP VIEW small AS SELECT i FROM dataset WHERE i > 1")
     assert explore.run_sql(spark, "SELECT * FROM small").count() == 2
-    assert explore.class_count(df, "s") == 2
+    assert explore.class_count(df, "s").first()["n_classes"] == 2
+    many = spark.range(1500).select(F.col("id"))
+    explore.register(many, "many")
+    assert explore.run_sql(spark, "SELECT id, count(*) AS n FROM many GROUP BY id").count() == 1500
+    assert explore.run_sql(spark, "SELECT * FROM many", cap=10).count() == 10
 
 
 def test_score_view_and_sinks(spark, feature_rows, scratch):
@@ -161,35 +171,34 @@ def test_category_tree_reader(spark, scratch):
 
 def test_sampled_histogram_option(spark):
     from cartwise.operators.scoring import score_histogram
-    df = spark.range(20000).selectExpr("(id % 1000) / 1000.0 as p1")
+    df = spark.range(20000).selectExpr("id", "(id % 1000) / 1000.0 as p1")
     full = {r.bin: r["count"] for r in score_histogram(df).collect()}
     assert sum(full.values()) == 20000 and set(full.values()) == {1000}
-    samp = score_histogram(df, sample_fraction=0.05, seed=42).collect()
+    samp = score_histogram(df, sample_fraction=0.05, sample_key=["id"]).collect()
     assert len(samp) == 20 and 700 < sum(r["count"] for r in samp) < 1300
 
 
 def test_generic_string_only_and_null_numeric(spark):
-    rows = [(["a", "b", "c"][i % 3], None if i % 10 == 0 else float(i % 4), "yes" if i % 3 == 0 else "no")
+    rows = [(i, ["a", "b", "c"][i % 3], None if i % 10 == 0 else float(i % 4), "yes" if i % 3 == 0 else "no")
             for i in range(240)]
-    df = spark.createDataFrame(rows, "s string, x double, target string")
-    only_str = M.train_generic(df.drop("x"), "target", model_type="lr")
+    df = spark.createDataFrame(rows, "k int, s string, x double, target string")
+    only_str = M.train_generic(df.drop("x"), "target", num_cols=[], model_type="lr")
     assert only_str.num_cols == [] and only_str.cat_cols == ["s"]
     assert only_str.metrics["auroc"] > 0.9          # target is a function of s
     with_null = M.train_generic(df, "target", model_type="lr")   # null x filled with 0, no assembler error
     assert with_null.test_preds.filter("p1 is null").count() == 0
 
 
-def test_generic_default_feature_choice(spark):
-    cols = ", ".join([f"n{i} double" for i in range(12)] + [f"s{i} string" for i in range(6)] + ["target string"])
-    row = tuple([float(i) for i in range(12)] + ["a"] * 6 + ["x"])
-    rows = [row, tuple(list(row[:-1]) + ["y"])] * 20
+def test_generic_uses_every_feature_by_default(spark):
+    cols = ", ".join([f"n{i} double" for i in range(14)] + [f"s{i} string" for i in range(6)] + ["target string"])
+    rows = [tuple([float((i * 31 + j) % 7) for i in range(14)] + ["a"] * 6 + ["xy"[j % 2]]) for j in range(60)]
     m = M.train_generic(spark.createDataFrame(rows, cols), "target", model_type="lr")
-    assert m.num_cols == [f"n{i}" for i in range(10)] and m.cat_cols == [f"s{i}" for i in range(5)]
+    assert m.num_cols == [f"n{i}" for i in range(14)] and m.cat_cols == [f"s{i}" for i in range(6)]
 
 
 def test_app_score_table_and_export(spark, feature_rows, scratch):
     from cartwise.plans.app import export, score_table
-    m = M.train_generic(feature_rows, "label", num_cols=list(SAMPLE_COLS), cat_cols=[], model_type="lr")
+    m = M.train_generic(feature_rows, "label", num_cols=list(NUM_COLS), cat_cols=[], model_type="lr")
     scored = score_table(m, feature_rows.drop("label"), k=2)
     assert scored.score_col == "p1" and scored.topk.columns == ["session_id", "itemid", "score"]
     assert scored.topk.groupBy("session_id").count().filter("count > 2").count() == 0

@@ -16,7 +16,7 @@ def test_event_counts_stream_matches_batch(spark, scratch):
     raw_schema = spark.read.parquet(f"{SMALL}/events.parquet").schema
     src = read_stream(spark, SMALL, raw_schema, glob="events.parquet")
     mapped = map_events(src)
-    q = write_stream(event_counts_stream(mapped), "", "ev_counts_test", mode="complete", fmt="memory")
+    q = event_counts_stream(mapped).writeStream.outputMode("complete").format("memory").queryName("ev_counts_test").start()
     q.processAllAvailable()
     got = {r.event: r["count"] for r in spark.sql("SELECT * FROM ev_counts_test").collect()}
     q.stop()
@@ -31,7 +31,7 @@ def test_score_stream(spark, scratch):
     d = os.path.join(scratch, "feed")
     rows.withColumn("adds", F.lit(0.0)).write.parquet(d)
     src = read_stream(spark, d, spark.read.parquet(d).schema)
-    q = write_stream(score_stream(model, src).select("views", "p1", "p_max"), "", "scored_test", fmt="memory")
+    q = score_stream(model, src).select("views", "p1", "p_max").writeStream.format("memory").queryName("scored_test").start()
     q.processAllAvailable()
     n = spark.sql("SELECT count(*) AS n, min(p1) AS lo, max(p1) AS hi FROM scored_test").first()
     q.stop()

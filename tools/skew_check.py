@@ -23,6 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def main():
     args = [a for a in sys.argv[1:] if not a.startswith("-")]
     n = int(args[0]) if args else 2_000_000
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from cartwise.config import build_session
@@ -39,7 +40,12 @@ def main():
         F.lit("view").alias("event"), (F.col("id") % 97).cast("int").alias("itemid"),
         F.timestamp_seconds(F.when(F.col("id") % 2 == 0, t0 + F.col("id") % 600)
                             .otherwise(t0 + (F.col("id") * 7919) % (30 * 86400))).alias("ts"))
-    for name, fn in (("bucketed", sessions.sessionize), ("single_window", sessions.sessionize_single_window)):
+    def single_window(events):
+        w = Window.partitionBy("visitorid").orderBy("ts")
+        gap = F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))
+        return events.withColumn("session_seq", F.sum(F.when(gap <= 1800, 0).otherwise(1)).over(w))
+
+    for name, fn in (("bucketed", sessions.sessionize), ("single_window", single_window)):
         spark.sparkContext.setJobGroup(name, name)
         fn(ev).write.format("noop").mode("overwrite").save()
 
