@@ -48,6 +48,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     ap.add_argument("--rf-depth", type=int, default=None)
     a = ap.parse_args(argv)
 
+    own_session = spark is None
     spark = spark or SparkSession.builder.appName("cartwise-intent").getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if a.data_dir:
@@ -63,7 +64,8 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
                for name, run in runs.items()}
     rows = [dict(model=name, **m) for name, m in metrics.items()]
     spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").json(os.path.join(a.out, "metrics"))
-    drop_tables(spark)          # the results are written
+    if own_session:             # the results are written; a caller's session may hold other tables
+        drop_tables(spark)
     return metrics
 
 
