@@ -54,7 +54,8 @@ def words_of(text: Column) -> Column:
     """Lower-cased words; names carry ``NAME_MARK`` in front."""
     plain = F.translate(F.coalesce(text, F.lit("")), NAME_MARK, " ")
     marked = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu}\p{L})", NAME_MARK)
-    cut = rf"(?:[^\p{{L}}\p{{M}}\p{{Nd}}{NAME_MARK}.,:/]|[.,:/](?!\p{{Nd}})|(?<!\p{{Nd}})[.,:/])+"
+    # no group under a +: Java's matcher would recurse along a long run of separators
+    cut = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NAME_MARK}.,:/]+|[.,:/](?!\p{{Nd}})|(?<!\p{{Nd}})[.,:/]"
     return F.filter(F.split(F.lower(marked), cut), lambda w: w != "")
 
 

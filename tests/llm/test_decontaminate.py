@@ -30,6 +30,11 @@ def test_copies_and_other_values(spark, bench, limit):
                    (10, 1): "copy"} | {k: v for k, v in got.items() if k == (3, 1)}
 
 
+def test_long_runs_of_separators(spark, bench):
+    runs = ["-" * 200_000, "." * 200_000, ", " * 100_000, "1.2.3," * 30_000, "\n" * 100_000 + ITEM, f"{ITEM}{'/' * 99_999}"]
+    assert found(spark, bench, runs) == {(4, 1): "copy", (5, 1): "copy"}
+
+
 def test_slots_must_be_consistent(spark, bench):
     broken = ITEM.replace("If Alice", "If Bob").replace("does Alice", "does Carl").replace("3", "7")
     assert found(spark, bench, [broken]) == {}
