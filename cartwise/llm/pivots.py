@@ -14,10 +14,12 @@ blocks and handled pair of blocks by pair of blocks, so no task holds a whole
 hot list. Equal vectors are collapsed first and counted by their number. A
 list reports links counted per vector and a spanning forest, never all pairs.
 
-The pivots are the vectors with the least content hashes, ``pivot_count`` of
-them: four times the root of the number of distinct vectors, 16 at least and
-``MAX_PIVOTS`` at most. They, and only they, reach the driver and are
-broadcast. All vectors are indexed. The index is approximate: a link whose
+The pivots are taken from the vectors with the least content hashes,
+``pivot_count`` of them: four times the root of the number of distinct
+vectors, 16 at least and ``MAX_PIVOTS`` at most. Of those that are closer to
+each other than a cosine of ``PIVOT_COSINE`` one is kept: many pivots inside
+one dense group would rank at random there. They, and only they, reach the
+driver and are broadcast. All vectors are indexed. The index is approximate: a link whose
 two vectors share too few pivots is missed (recall is measured in the tests
 and in the README); no pair below the threshold is linked.
 
@@ -48,6 +50,7 @@ THRESHOLD = 0.98
 PIVOTS_KEPT = 12
 MIN_SHARED = 3
 MAX_PIVOTS = 4_096
+PIVOT_COSINE = 0.8
 LIST_ROWS = 512
 
 
@@ -69,8 +72,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _describe(batches, pivots, kept: int, shared: int):
-    """(label, size, list, node, copies, names, vector) per list entered."""
+def spread_out(vectors: np.ndarray, cosine: float = PIVOT_COSINE) -> np.ndarray:
+    """The vectors without those that are close to an earlier one kept."""
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    kept = np.ones(len(units), bool)
+    for i in range(len(units)):
+        if kept[i]:
+            kept[i + 1:] &= units[i + 1:] @ units[i] < cosine
+    return vectors[kept]
+
+
+def _describe(batches, pivots, kept: int):
+    """Each vector with ``names``: its nearest pivots, in pivot order."""
     units = {size: _matrix(pa.array(rows.tolist(), pa.list_(pa.float64()))) for size, rows in pivots.value.items()}
     for b in batches:
         sizes = pc.list_value_length(b.column("vector")).to_numpy(zero_copy_only=False)
@@ -79,16 +92,10 @@ def _describe(batches, pivots, kept: int, shared: int):
             near = _matrix(part.column("vector")) @ units[int(size)].T
             k = min(kept, near.shape[1])
             names = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1).astype(np.int32)
-            enter = max(1, k - shared + 1)
-            at = np.repeat(np.arange(part.num_rows), enter)
-            lists = pa.array(names[:, :enter].ravel())
-            held = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(at) + 1, k, dtype=np.int32)),
-                                            pa.array(names[at].ravel()))
-            rows = part.take(pa.array(at))
+            ends = np.arange(0, k * part.num_rows + 1, k, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("label"), pa.array(np.full(len(at), size, np.int32)), lists, rows.column("node"),
-                 rows.column("copies"), held, rows.column("vector")],
-                names=["label", "size", "list", "node", "copies", "names", "vector"])
+                [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(names.ravel()))],
+                names=[*part.schema.names, "names"])
 
 
 def _cell_links(names, units, own_list, left, right, shared, threshold):
@@ -173,12 +180,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     for size, n in sizes.items():
         least = distinct.filter(F.size("vector") == size).orderBy(F.xxhash64("node"), "node") \
             .limit(pivot_count(n)).select("vector").collect()
-        pivots[size] = np.array([r["vector"] for r in least])
+        pivots[size] = spread_out(np.array([r["vector"] for r in least]))
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(pivots)
-    entered = map_batches(
-        distinct.select("label", "node", "copies", "vector"), partial(_describe, pivots=held, kept=kept, shared=shared),
-        "label string, size int, list int, node long, copies long, names array<int>, vector array<double>")
+    # written, so that the distances to the pivots are computed once
+    described = materialize(map_batches(
+        distinct.select("label", "node", "copies", "vector"), partial(_describe, pivots=held, kept=kept),
+        "label string, node long, copies long, vector array<double>, names array<int>"), "pivot-names")
+    enter = F.greatest(F.size("names") - (shared - 1), F.lit(1))
+    entered = described.select("label", F.size("vector").alias("size"), "node", "copies", "names", "vector",
+                               F.explode(F.slice("names", F.lit(1), enter)).alias("list"))
     place = ["label", "size", "list"]
     long_lists = entered.groupBy(*place).count().filter(F.col("count") > 1) \
         .select(*place, F.ceil(F.col("count") / list_rows).cast("int").alias("blocks"))
