@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Bytes of input that a batch function sees at once.
+SLICE_BYTES = 4 << 20
+
 
 def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow(fn, schema)`` for workers that may not have been
@@ -23,6 +26,26 @@ def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes (a row at least), so that
+    results leave the worker in small pieces however long the texts are."""
+    rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+_HELD: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """``make()``, kept for the further tasks of this worker process. A worker
+    holds the state of one operator at a time: another key lets go of it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
     """The column's strings one at a time (null: empty), so that only the
     Arrow batch and one Python string are in memory."""
@@ -46,11 +69,12 @@ def add_columns(df: DataFrame, fields: list[T.StructField],
 
     def run(batches):
         fn = make()
-        for b in batches:
-            made = fn(b)
-            cols = [b.column(i) for i in keep_at] + made
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c
-                 for i, c in enumerate(cols)], names=arrow.names)
+        for batch in batches:
+            for b in slices(batch):
+                cols = [b.column(i) for i in keep_at] + fn(b)
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c
+                     for i, c in enumerate(cols)], names=arrow.names)
+        pa.default_memory_pool().release_unused()
 
     return map_batches(df, run, out_schema)

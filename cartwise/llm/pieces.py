@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cartwise.llm.batches import add_columns, texts_of
+from cartwise.llm.batches import add_columns, texts_of, worker_state
 
 SPACE = "▁"
 #: Entries of a worker's chunk table; a full table becomes the older generation,
@@ -213,20 +213,14 @@ def _chunks(text: str) -> list[str]:
     return out
 
 
-_READY: dict[bytes, ChunkTable] = {}
-
-
 def _table(model: bytes) -> ChunkTable:
-    """One table per worker process and vocabulary; tasks of a worker share it."""
-    if model not in _READY:
-        import sentencepiece
-        _READY.clear()
-        _READY[model] = ChunkTable(Merger(sentencepiece.SentencePieceProcessor(model_proto=model)))
-    return _READY[model]
+    import sentencepiece
+
+    return ChunkTable(Merger(sentencepiece.SentencePieceProcessor(model_proto=model)))
 
 
 def _encode_batches(model, text_at: int):
-    table = _table(model.value)
+    table = worker_state(("pieces", model.value), partial(_table, model.value))
     merger = table.merger
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwise.llm.batches import add_columns, map_batches, texts_of
+from cartwise.llm.batches import add_columns, map_batches, texts_of, worker_state
 from cartwise.llm.components import connected_components
 from cartwise.plans.materialize import materialize
 
@@ -75,6 +75,7 @@ def _fingerprint(text: str, shingle: int, digest) -> int:
 def _fingerprint_batches(shingle: int, text_at: int):
     import xxhash
 
+    worker_state("simhash", dict)       # lets go of another operator's tables
     digest = partial(xxhash.xxh64_intdigest, seed=SEED)
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
