@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwise.llm.batches import add_columns, map_batches, texts_of
+from cartwise.llm.batches import add_columns, map_batches, texts_of, worker_state
 
 #: Rows (about) that the frequent pre-tokens are read off, and how many are kept.
 SAMPLE_ROWS = 2_000
@@ -147,23 +147,19 @@ def frequent_lengths(df: DataFrame, text_col: str, vocabulary: bytes, rows: int
     sample = df.select(text_col).filter(F.col(text_col).isNotNull() & chosen)
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
     counts = map_batches(sample, partial(_count_words, vocabulary=held), "word string, n long")
-    top = (counts.groupBy("word").agg(F.sum("n").alias("n"))
+    top = (counts.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
            .orderBy(F.desc("n"), "word").limit(keep).collect())
     library = _library(vocabulary)
     return {r["word"]: len(library.encode(r["word"], add_special_tokens=False).ids)
             for r in top if "\n" not in r["word"]}
 
 
-_READY: dict[int, tuple[Cutter, Lengths]] = {}
-
-
 def _count_batches(vocabulary, frequent, text_at: int):
-    key = hash((vocabulary.value, frequent.value))
-    if key not in _READY:           # one per worker process; tasks of a worker share it
+    def tables():
         library = _library(vocabulary.value)
-        _READY.clear()
-        _READY[key] = Cutter(library), Lengths(library, unpack(*frequent.value))
-    cutter, lengths = _READY[key]
+        return Cutter(library), Lengths(library, unpack(*frequent.value))
+
+    cutter, lengths = worker_state(("token counts", vocabulary.value, frequent.value), tables)
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         counts = []
