@@ -3,7 +3,8 @@
 Texts are lower-cased. For each language a raw-content zstandard dictionary is cut from a bounded
 sample of labelled training texts. A text is compressed, block by block, once
 with every dictionary; the language whose dictionary gives the fewest bytes
-is predicted. Blocks keep long texts decidable: without them only the first
+is predicted. Short texts are repeated to fill a block that can be compressed
+at all. Blocks keep long texts decidable: without them only the first
 few kilobytes would feel the dictionary.
 
 ``score`` is the margin of the best over the second-best language, as a
@@ -33,14 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwise.llm.batches import add_columns, texts_of
+from cartwise.llm.batches import add_columns, texts_of, worker_state
 
 UNDETERMINED = "und"
 SAMPLES = 512
 PIECE_CHARS = 256
 #: zstandard level and bytes per block.
-LEVEL = 3
-BLOCK = 2048
+LEVEL = 6
+BLOCK = 1024
+#: A shorter text is repeated to this many bytes: zstandard stores tiny inputs as they are, for any dictionary.
+FILL = 256
 #: A margin of this share of the second-best size counts as certain.
 FULL_MARGIN = 0.10
 #: Under this margin a prediction is rejected.
@@ -62,19 +65,25 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang",
     text = F.col(text_col)
     rows = training.filter(F.col(lang_col).isNotNull() & text.isNotNull() & (F.length(F.trim(text)) > 0)) \
         .select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("h"), text.alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang")
+             .agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return {}
+    # about four times the wanted number of different texts per language reach the ranking
+    near = F.lit(False)
+    for lang, n in sizes.items():
+        share = min(1.0, 4 * samples / max(n, 1))
+        near = near | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 40)) <= int(share * (1 << 40))))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = (rows.groupBy("lang", "h").agg(F.lit(1).alias("one"))
+    last = (rows.filter(near).groupBy("lang", "h").agg(F.lit(1).alias("one"))
             .withColumn("r", rank).filter(F.col("r") <= samples)
             .groupBy("lang").agg(F.max("h").alias("last")))
-    # one (language, hash) pair per language, so the side is as small as the set of languages
     bounds = {r["lang"]: r["last"] for r in last.collect()}
-    if not bounds:
-        return {}
     chosen = F.lit(False)
     for lang, h in bounds.items():
         chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - piece_chars, F.lit(1))).cast("int") + 1
-    pieces = (rows.filter(chosen).groupBy("lang", "h")
+    pieces = (rows.filter(near & chosen).groupBy("lang", "h")
               .agg(F.min(F.substring("text", start, F.lit(piece_chars))).alias("piece")))
     out: dict[str, list] = {}
     for r in pieces.collect():
@@ -97,6 +106,8 @@ def _classify(content: dict[str, bytes], min_margin: float, text_at: int):
         if not coders or not LETTER.search(text):
             return UNDETERMINED, 0.0, True
         data = text.lower().encode()
+        if len(data) < FILL:
+            data = (data + b" ") * (FILL // len(data) + 1)
         blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(c(b)) for b in blocks) for c in coders]
         best = min(sizes)
@@ -123,7 +134,8 @@ def classify(df: DataFrame, content: dict[str, bytes], text_col: str = "text",
 
 
 def _classify_task(held, min_margin, text_at):
-    return _classify(held.value, min_margin, text_at)
+    return worker_state(("language", min_margin, text_at, *held.value.items()),
+                        partial(_classify, held.value, min_margin, text_at))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
