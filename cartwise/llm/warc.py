@@ -57,9 +57,13 @@ def sha1_base32(data: bytes) -> str:
 
 
 def _file(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that Spark and pyarrow both know (local,
+    hdfs, s3, gs); their names for it differ a little."""
     scheme, colon, rest = path.partition(":")
     if colon and scheme == "file":
         path = "/" + rest.lstrip("/")
+    elif colon and scheme == "s3a":
+        path = f"s3:{rest}"
     return pafs.FileSystem.from_uri(path)
 
 
