@@ -243,6 +243,13 @@ def _intent_inputs(spark, sf_dir):
     return inp, build_training_frame(inp.events, inp.items)
 
 
+def _new_folder(spark, name):
+    import uuid
+
+    from cartwise.plans.materialize import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def _ranked(top, score_col="p_buy"):
     """Per session: how many items were ranked, and whether every score is a
     probability."""
@@ -263,10 +270,11 @@ def q_random_split(spark, sf_dir):
         .select("o_orderkey", "o_orderstatus", "is_test")
 
 
-def _scored_run(spark, sf_dir, classifier=None, name="lr"):
+def _scored_run(spark, sf_dir, classifier=None, name="lr", out_dir=None):
     from cartwise.plans.intent import run_intent
     inp, xy = _intent_inputs(spark, sf_dir)
-    return run_intent(inp.events, inp.items, classifier=classifier, xy=xy, name=name, relative_error=0.0)
+    return run_intent(inp.events, inp.items, classifier=classifier, xy=xy, name=name, relative_error=0.0,
+                      out_dir=out_dir)
 
 
 def q_score_logistic(spark, sf_dir):
@@ -274,21 +282,24 @@ def q_score_logistic(spark, sf_dir):
 
 
 def q_score_forest(spark, sf_dir):
+    """Ranked from the top-K table that the job writes."""
     from cartwise.ml.model import forest
-    return _ranked(_scored_run(spark, sf_dir, forest(), "rf").topk)
+    folder = _new_folder(spark, "forest")
+    _scored_run(spark, sf_dir, forest(), "rf", out_dir=folder)
+    return _ranked(spark.read.parquet(f"{folder}/purchase_intent_top5_rf"))
 
 
 def q_score_saved_model(spark, sf_dir):
-    import uuid
-
-    from cartwise.ml import model as M
-    from cartwise.ml.score import score_from_saved
-    from cartwise.plans.materialize import scratch_path
-    _, xy = _intent_inputs(spark, sf_dir)
-    train, test, _ = split.temporal_split(xy, relative_error=0.0)
-    path = scratch_path(spark, f"models/lr-{uuid.uuid4().hex}")
-    M.save(M.train_intent(train), path)
-    return _ranked(scoring.top_k(score_from_saved(path, test)))
+    """The job writes its top-K table and pipeline; the test slice is scored
+    again with the saved pipeline and counted beside the written table."""
+    from cartwise.ml.score import recover_predictions
+    folder = _new_folder(spark, "saved-model")
+    run = _scored_run(spark, sf_dir, out_dir=folder)
+    test = run.xy.filter(F.col("session_start_ts") > run.cutoff)
+    again = recover_predictions(test=test, saved_path=f"{folder}/models/lr_pipeline")
+    written = spark.read.parquet(f"{folder}/purchase_intent_top5_lr")
+    return _ranked(scoring.top_k(again)).join(
+        written.groupBy("session_id").agg(F.count("*").alias("n_written")), "session_id")
 
 
 def q_train_multiclass(spark, sf_dir):
@@ -330,18 +341,16 @@ def q_app_score_view(spark, sf_dir):
 def q_session_intent_model(spark, sf_dir):
     """Session-level intent: four features, logistic regression on the 80%
     side of the split, saved, loaded, applied to every session."""
-    import uuid
-
     from cartwise.ml import model as M
     from cartwise.ml.score import score, score_from_saved
-    from cartwise.plans.materialize import materialize, scratch_path
+    from cartwise.plans.materialize import materialize
     feats = sessions.session_features(_sessionised(spark, sf_dir))
     rows = split.random_split_flag(
         feats.select("session_id", "views", "adds", "distinct_products", "session_hour",
                      (F.col("txns") > 0).cast("int").alias("purchase_intent")), key_cols=["session_id"])
     rows = materialize(rows, "session-intent-rows")
     model = M.train_session_intent(rows.filter("is_test = 0"))
-    path = scratch_path(spark, f"models/session-intent-{uuid.uuid4().hex}")
+    path = _new_folder(spark, "session-intent")
     M.save(model, path)
     first = score(model, rows).select(*rows.columns, F.col("p1").alias("p_first"))
     again = score_from_saved(path, first)
@@ -351,18 +360,11 @@ def q_session_intent_model(spark, sf_dir):
 
 # --- the clickstream files: written by the sinks, read by the CSV sources ------
 
-def _csv_folder(spark):
-    import uuid
-
-    from cartwise.plans.materialize import scratch_path
-    return scratch_path(spark, f"csv-{uuid.uuid4().hex}")
-
-
 def q_csv_clean_events(spark, sf_dir):
     from cartwise.operators.clean import clean_events
     from cartwise.sources import read_events, sinks
     raw = load_inputs(spark, sf_dir).events_raw
-    path = f"{_csv_folder(spark)}/events.csv"
+    path = f"{_new_folder(spark, "csv")}/events.csv"
     sinks.export_csv(raw.select(F.unix_millis("ts").alias("timestamp"), "visitorid", "event", "itemid",
                                 "transactionid"), path)
     return clean_events(read_events(spark, path)).select("visitorid", "event", "itemid", _us("ts"))
@@ -370,7 +372,7 @@ def q_csv_clean_events(spark, sf_dir):
 
 def q_csv_items_wide(spark, sf_dir):
     from cartwise.sources import item_property_parts, read_item_properties, sinks
-    folder = _csv_folder(spark)
+    folder = _new_folder(spark, "csv")
     paths = [f"{folder}/part{i}.csv" for i in (1, 2)]
     for part, path in zip(item_property_parts(spark, sf_dir), paths):
         sinks.export_csv(part.select("timestamp", "itemid", "property", "value"), path)
@@ -382,7 +384,7 @@ def q_csv_any_table(spark, sf_dir):
     """Nations under regions as a category tree, through the any-table reader
     and the category source."""
     from cartwise.sources import read_any, read_categories, sinks
-    path = f"{_csv_folder(spark)}/category_tree.csv"
+    path = f"{_new_folder(spark, "csv")}/category_tree.csv"
     nation = table(spark, sf_dir, "nation")
     sinks.export_csv(nation.select(F.col("n_nationkey").alias("categoryid"), F.col("n_regionkey").alias("parentid")), path)
     tree = read_any(spark, path).join(read_categories(spark, path), ["categoryid", "parentid"])

@@ -289,7 +289,8 @@ ORACLE: dict[str, str] = {
         "round((SELECT sum(coalesce(2.0 * tp / (actual + called), 0) * actual) / sum(actual) FROM classes), 9) AS f1"),
     "score_logistic": _slice(30) + RANKED.format("test"),
     "score_forest": _slice(30) + RANKED.format("test"),
-    "score_saved_model": _slice(30) + RANKED.format("test"),
+    "score_saved_model": _slice(30) + RANKED.format("test").replace(
+        " AS n_ranked,", " AS n_ranked, least(5, count(*)) AS n_written,"),
     "app_score_view": _xy(30) + RANKED.format("xy"),
     "train_multiclass": ("SELECT o_orderkey, o_orderstatus, true AS p_max_ok, true AS class_ok FROM orders "
                          f"WHERE o_orderstatus IS NOT NULL AND {key_hash('o_orderkey')} < {share('0.2')}"),
