@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cartwise.llm import decontaminate, language, licenses, pieces, pivots, shards, simhash, \
     token_counts, url_rules, warc
+from cartwise.llm.oracle import LLM_ORACLE
+
+__all__ = ["LLM_ORACLE", "LLM_QUERIES"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -92,5 +95,3 @@ def op10_url_filter(spark, sf_dir):
 LLM_QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_license_scan, op3_sentencepiece, op4_embedding_near_dedup, op5_language_id,
     op6_sharding, op7_token_counts, op8_simhash, op9_warc, op10_url_filter)}
-
-LLM_ORACLE: dict[str, str] = {}

@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.plans.materialize import materialize
+
 WINDOW = 5
 MIN_SHARE = 0.8
 MIN_LITERALS = 3
@@ -138,7 +140,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    found = leaks(docs, benchmark, id_col, text_col, **options) \
-        .select(F.col(id_col).alias("leaked_id"), "text_key").distinct()
+    # written first: a small table of leaks is then broadcast, and the documents are not shuffled
+    found = materialize(leaks(docs, benchmark, id_col, text_col, **options)
+                        .select(F.col(id_col).alias("leaked_id"), "text_key").distinct(), "leaked-documents")
     same = docs[id_col].eqNullSafe(F.col("leaked_id")) & (F.xxhash64(docs[text_col]) == F.col("text_key"))
     return docs.join(found, same, "left_anti")
