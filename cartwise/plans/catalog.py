@@ -235,6 +235,26 @@ def q_sql_view(spark, sf_dir):
                                   "GROUP BY o_orderpriority")
 
 
+def q_preview(spark, sf_dir):
+    """Default query, preview and a capped query over the registered view, the
+    schema tree's columns, and columns by type: how much each shows."""
+    orders = table(spark, sf_dir, "orders")
+    view = explore.register(orders, "preview_table")
+    first = explore.run_sql(spark, explore.default_sql(view))
+    capped = explore.run_sql(spark, f"SELECT o_orderkey FROM {view}", cap=1000)
+    shown = {"default": first, "head": explore.head(first, 10), "capped": capped,
+             "all": explore.run_sql(spark, f"SELECT * FROM {view}")}
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in shown.items()]
+    columns = {"columns": explore.schema_tree(orders).count("|--"), "numeric": len(explore.numeric_columns(orders)),
+               "string": len(explore.string_columns(orders))}
+    listed = orders.agg(F.lit(0)).select(F.explode(F.create_map(*[
+        F.lit(x) for name, n in columns.items() for x in (name, n)])).alias("what", "n"))
+    out = listed.withColumn("n", F.col("n").cast("long"))
+    for r in rows:
+        out = out.unionByName(r)
+    return out
+
+
 # --- fitted models: facts that hold for any fit, with the exact cut-off -------
 
 def _intent_inputs(spark, sf_dir):
@@ -383,12 +403,13 @@ def q_csv_items_wide(spark, sf_dir):
 def q_csv_any_table(spark, sf_dir):
     """Nations under regions as a category tree, through the any-table reader
     and the category source."""
-    from cartwise.sources import read_any, read_categories, sinks
+    from cartwise.sources import read_any, read_categories, sinks, validate
     path = f"{_new_folder(spark, "csv")}/category_tree.csv"
     nation = table(spark, sf_dir, "nation")
     sinks.export_csv(nation.select(F.col("n_nationkey").alias("categoryid"), F.col("n_regionkey").alias("parentid")), path)
     tree = read_any(spark, path).join(read_categories(spark, path), ["categoryid", "parentid"])
-    return tree.groupBy(F.col("parentid").cast("int").alias("parentid")).agg(F.count("*").alias("children"))
+    return tree.groupBy(F.col("parentid").cast("int").alias("parentid")).agg(F.count("*").alias("children")) \
+        .withColumn("readable", F.lit(validate(spark, path)[0]))
 
 
 def q_row_count(spark, sf_dir):
@@ -451,6 +472,7 @@ QUERIES: dict[str, Query] = {
     "candidates": q_candidates,
     "score_histogram_sampled": q_score_histogram_sampled,
     "probabilities": q_probabilities,
+    "preview": q_preview,
     "model_metrics": q_model_metrics,
     "session_intent_model": q_session_intent_model,
     "csv_clean_events": q_csv_clean_events,

@@ -304,5 +304,10 @@ ORACLE: dict[str, str] = {
     "csv_clean_events": _with(EV) + ("SELECT visitorid, event, itemid, epoch_us(ts) // 1000 * 1000 AS ts_us "
                                      "FROM (SELECT * REPLACE (CAST(visitorid AS VARCHAR) AS visitorid) FROM clean)"),
     "csv_items_wide": _with(PROPS) + "SELECT itemid, CAST(categoryid AS DOUBLE) AS categoryid, CAST(available AS DOUBLE) AS available, price FROM wide",
-    "csv_any_table": ("SELECT CAST(n_regionkey AS INTEGER) AS parentid, count(*) AS children FROM nation GROUP BY 1"),
+    "csv_any_table": ("SELECT CAST(n_regionkey AS INTEGER) AS parentid, count(*) AS children, true AS readable "
+                      "FROM nation GROUP BY 1"),
+    "preview": "\nUNION ALL\n".join(
+        f"SELECT '{what}' AS what, {n} AS n FROM orders" for what, n in (
+            ("default", "least(100, count(*))"), ("head", "least(10, count(*))"), ("capped", "least(1000, count(*))"),
+            ("all", "count(*)"), ("columns", "max(6)"), ("numeric", "max(3)"), ("string", "max(2)"))),
 }
