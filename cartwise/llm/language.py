@@ -26,7 +26,6 @@ columns named like the results are replaced, all others are kept.
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 import pyarrow as pa
@@ -48,7 +47,6 @@ FILL = 256
 FULL_MARGIN = 0.10
 #: Under this margin a prediction is rejected.
 MIN_MARGIN = 0.002
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -103,7 +101,7 @@ def _classify(content: dict[str, bytes], min_margin: float, text_at: int):
                                           write_checksum=False, write_dict_id=False).compress)
 
     def one(text: str):
-        if not coders or not LETTER.search(text):
+        if not coders or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         data = text.lower().encode()
         if len(data) < FILL:

@@ -29,12 +29,12 @@ def test_learning_sees_no_held_out_row(spark):
 def test_edge_rows(spark):
     rows = [(1, "the cat sat on the mat and the dog ran", "en", "s"), (2, "le chat et la souris dans le jardin", "fr", "s"),
             (3, None, "en", "s"), (4, "", None, "s"), (5, "123 !!", "en", "s"), (6, "the mat " * 20_000, None, "s"),
-            (7, "the cat", "en", "s"), (7, "the cat", "en", "s")]
+            (7, "the cat", "en", "s"), (7, "the cat", "en", "s"), (8, "² ½ Ⅷ _", "en", "s")]
     df = spark.createDataFrame(rows, SCHEMA)
     content = language.fit(df)
     assert sorted(content) == ["en", "fr"]
     got = {r["doc_id"]: r for r in language.classify(df, content).collect()}
-    for i in (3, 4, 5):
+    for i in (3, 4, 5, 8):
         assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
     assert (got[1]["lang_pred"], got[2]["lang_pred"]) == ("en", "fr")
     assert got[6]["lang_pred"] in content
