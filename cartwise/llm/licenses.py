@@ -30,6 +30,8 @@ from cartwise.llm.license_rules import STEMS, Rule, build_rules
 #: phrase -> label
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by",
                 "mit license": "mit"}
+#: Private-use character that marks matches.
+MARK = "\ue000"
 PLACE = "array<struct<start:int,stop:int,label:string,priority:int,weight:double>>"
 
 
@@ -49,21 +51,16 @@ def _rule_table(rules: list[Rule]) -> Column:
 
 
 def _places(line: Column, rule: Column) -> Column:
-    """Intervals [start, stop) of words that the rule matches. The line is
-    split at the matches; spaces before a match are the words before it."""
-    pieces = F.arrays_zip(F.split(line, rule["pattern"], -1).alias("before"),
-                          F.regexp_extract_all(line, rule["pattern"], F.lit(0)).alias("match"))
-
-    def step(acc, p):
-        start = acc["at"] + _spaces(p["before"])
-        stop = start + _spaces(p["match"])
-        found = F.struct(start.alias("start"), stop.alias("stop"), rule["label"].alias("label"),
-                         rule["priority"].alias("priority"), rule["weight"].alias("weight"))
-        return F.when(p["match"].isNull(), acc).otherwise(
-            F.struct(stop.alias("at"), F.array_append(acc["out"], found).alias("out")))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out"))
-    return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
+    """Intervals [start, stop) of words that the rule matches. A mark is put
+    before each match; as a match begins with a space, the mark ends the word
+    before it, and that word's number gives the start."""
+    line = F.translate(line, MARK, "\ue001")        # another word character
+    marked = F.split(F.regexp_replace(line, F.concat(F.lit("("), rule["pattern"], F.lit(")")), F.lit(f"{MARK}$1")), " ")
+    starts = F.filter(F.transform(marked, lambda w, i: F.when(F.endswith(w, F.lit(MARK)), i)),
+                      lambda i: i.isNotNull())
+    return F.zip_with(starts, F.regexp_extract_all(line, rule["pattern"], F.lit(0)), lambda s, m: F.struct(
+        s.alias("start"), (s + _spaces(m)).alias("stop"), rule["label"].alias("label"),
+        rule["priority"].alias("priority"), rule["weight"].alias("weight")))
 
 
 def _all_places(line: Column, rules: list[Rule]) -> Column:
@@ -71,20 +68,34 @@ def _all_places(line: Column, rules: list[Rule]) -> Column:
     return F.flatten(F.transform(table, lambda r: _places(line, r)))
 
 
-def _unsuppressed(places: Column) -> Column:
-    """Without the places that lie inside an earlier one of the order."""
-    order = F.array_sort(F.transform(places, lambda p: F.struct(
+def _ordered(places: Column) -> Column:
+    """By start, then longer first, then priority."""
+    return F.array_sort(F.transform(places, lambda p: F.struct(
         p["start"].alias("start"), (-p["stop"]).alias("back"), p["priority"].alias("priority"),
         p["label"].alias("label"), p["weight"].alias("weight"))))
 
-    def step(acc, p):
-        place = F.struct(p["start"].alias("start"), (-p["back"]).alias("stop"), p["label"].alias("label"),
-                         p["priority"].alias("priority"), p["weight"].alias("weight"))
-        return F.when(-p["back"] > acc["reach"], F.struct(
-            (-p["back"]).alias("reach"), F.array_append(acc["out"], place).alias("out"))).otherwise(acc)
 
-    begin = F.struct(F.lit(-1).alias("reach"), F.array().cast(PLACE).alias("out"))
-    return F.aggregate(order, begin, step, lambda acc: acc["out"])
+#: For the column ``_order``: the furthest stop up to each place. In step k
+#: every entry takes over the one 2^k places before it, so the work grows as
+#: n log n.
+REACH = """
+aggregate(
+  sequence(0, length(bin(size(_order)))),
+  transform(_order, p -> -p.back),
+  (acc, k) -> zip_with(
+    acc,
+    concat(array_repeat(-1, int(least(power(2, k), size(acc)))),
+           slice(acc, 1, int(greatest(size(acc) - power(2, k), 0)))),
+    (x, y) -> greatest(x, y)))"""
+
+#: The places that reach further than all before them.
+UNSUPPRESSED = """
+transform(
+  filter(zip_with(_order, concat(array(-1), slice(_reach, 1, greatest(size(_reach) - 1, 0))),
+                  (p, before) -> named_struct('p', p, 'kept', -p.back > before)),
+         x -> x.p is not null and x.kept),
+  x -> named_struct('start', x.p.start, 'stop', -x.p.back, 'label', x.p.label, 'priority', x.p.priority,
+                    'weight', x.p.weight))"""
 
 
 def scan(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None,
@@ -96,7 +107,7 @@ def scan(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None,
     gate = STEMS if rules is None else (stems or sorted({r.keyword for r in own}))
     phrases = BASE_PHRASES if base is None else base
     basic = [Rule(f" {p} ", f" {p}(?= )", label, 0, 1.0) for p, label in phrases.items()]
-    keep = [c for c in df.columns if c not in ("n_words", "base_places", "detections", "_line", "_gate")]
+    keep = [c for c in df.columns if c not in ("n_words", "base_places", "detections", "_line", "_gate", "_all", "_order", "_reach")]
     stem_found = F.lit(False)
     for s in [*gate, *({r.keyword for r in basic} if base is not None else [])]:
         stem_found = stem_found | F.contains("_line", F.lit(s))
@@ -107,7 +118,9 @@ def scan(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None,
             .select(*keep, (_spaces(line) - 1).cast("long").alias("n_words"),
                     F.when(F.col("_gate"), _all_places(line, basic)).otherwise(none).alias("base_places"),
                     F.when(F.col("_gate"), _all_places(line, own)).otherwise(none).alias("_all"))
-            .select(*keep, "n_words", "base_places", _unsuppressed(F.col("_all")).alias("detections")))
+            .select(*keep, "n_words", "base_places", _ordered(F.col("_all")).alias("_order"))
+            .select(*keep, "n_words", "base_places", "_order", F.expr(REACH).alias("_reach"))
+            .select(*keep, "n_words", "base_places", F.expr(UNSUPPRESSED).alias("detections")))
 
 
 def joined_labels(places: Column) -> Column:

@@ -62,17 +62,38 @@ def test_query_base_equals_brute_force(spark):
 
 
 def test_edge_rows(spark):
-    texts = [None, "", "!!", "cc by cc-by CC  BY", "Mit license", "mit licensed", "K İ É mit license " * 3000,
-             "x" * 60_000]
+    texts = [None, "", "!!", "cc by cc-by CC  BY", "Mit license", "mit licensed", "K İ É mit license " * 30_000,
+             "x" * 60_000, "foo\ue000 mit license \ue000 cc by"]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, detections int")
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
     for i, t in enumerate(texts):
         n, places = brute_base(t)
         assert got[i]["n_words"] == n
         assert sorted((p["start"], p["label"]) for p in got[i]["base_places"]) == sorted(places)
+    assert len(got[6]["detections"]) == 30_000
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_suppression_equals_brute_force(spark):
+    import random
+    R = license_rules.Rule
+    rng = random.Random(9)
+    words = "a b c d".split()
+    rules = [R(f" {w}", f" {w}(?: \\S+){{{n}}}(?= )", f"{w}{n}", rng.randint(0, 9), 0.5) for w in words for n in (1, 2, 4)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(df, rules=rules, stems=words).collect():
+        line = f" {' '.join(texts[r['doc_id']].split())} "
+        found = sorted((line[:m.start()].count(" "), -(line[:m.start()].count(" ") + m.group().count(" ")), q.priority,
+                        q.label) for q in rules for m in re.finditer(q.pattern, line))
+        kept, reach = [], -1
+        for start, back, _, label in found:
+            if -back > reach:
+                kept.append((start, -back, label))
+                reach = -back
+        assert [(d["start"], d["stop"], d["label"]) for d in r["detections"]] == kept
+
+
 def test_plan_is_one_native_map(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
