@@ -47,8 +47,8 @@ from cartwise.llm.simhash import forest_of
 from cartwise.plans.materialize import materialize
 
 THRESHOLD = 0.98
-PIVOTS_KEPT = 12
-MIN_SHARED = 3
+PIVOTS_KEPT = 8
+MIN_SHARED = 2
 MAX_PIVOTS = 4_096
 PIVOT_COSINE = 0.8
 LIST_ROWS = 512
@@ -168,8 +168,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """One row per input row: the id column, ``n_links`` (other vectors linked
     directly) and ``component_id`` (the smallest id reachable by links)."""
     vector, label = F.col(vector_col), F.col(label_col)
+    # floats travel as they are; the cosine is computed in double precision
+    floats = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if floats else "array<double>"
+    vector = vector if floats else vector.cast(kind)
     rows = df.select(F.col(id_col).alias("id"), label.cast("string").alias("label"),
-                     vector.cast("array<double>").alias("vector"), _usable(vector, label).alias("usable")) \
+                     vector.alias("vector"), _usable(vector, label).alias("usable")) \
         .withColumn("node", F.when(F.col("usable"), F.xxhash64("label", "vector")))
     ids = materialize(rows.select("id", "node"), "vector-ids")
     distinct = materialize(rows.filter("usable").groupBy("node", "label", "vector")
@@ -186,7 +190,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # written, so that the distances to the pivots are computed once
     described = materialize(map_batches(
         distinct.select("label", "node", "copies", "vector"), partial(_describe, pivots=held, kept=kept),
-        "label string, node long, copies long, vector array<double>, names array<int>"), "pivot-names")
+        f"label string, node long, copies long, vector {kind}, names array<int>"), "pivot-names")
     enter = F.greatest(F.size("names") - (shared - 1), F.lit(1))
     entered = described.select("label", F.size("vector").alias("size"), "node", "copies", "names", "vector",
                                F.explode(F.slice("names", F.lit(1), enter)).alias("list"))
