@@ -3,13 +3,19 @@ alone.
 
 Canonical form: words are runs of letters and digits, lower-cased; a number
 (digits with inner ``. , : /``) becomes the placeholder *number*, a word of
-``UNITS`` the placeholder *unit*, a capitalised word inside a sentence
-(after a lower-case letter, a digit or ``, ; :`` and a blank) the placeholder
-*name*. A benchmark question asked again with other numbers, names or units
-so has the same canonical form.
+``UNITS`` the placeholder *unit*. A name of an item (a capitalised word after
+a lower-case letter, a digit or ``, ; :`` and a blank) is met both as the word
+itself, in any letter case, and as the placeholder *name*, which any
+capitalised word of a document can fill. A benchmark question asked again with
+other numbers, names or units so has a canonical form in common with its item,
+and so has a copy in other letter case.
 
 Windows of ``window`` canonical words are hashed and joined, documents
-against benchmark items, by equality of the hash. A window must hold at least
+against benchmark items, by equality of the hash. A window has one hash with
+its names as words, and one for each set of its names as placeholders; the
+places of these (masks) are read from the benchmark first, and documents are
+hashed under a mask only where capitalised words stand at all its places. A
+window must hold at least
 ``MIN_LITERALS`` words that are no placeholder, unless its item has no such
 window. For every alignment of a document with an item, the values in the
 matched placeholders are compared: equal values of the item must stand for
@@ -52,20 +58,35 @@ UNITS = [
 ]
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased words; names carry ``NAME_MARK`` in front."""
+#: Where a capitalised word starts: any, and those that are names of an item.
+CAPITAL = r"(?=\p{Lu}\p{L})(?<![\p{L}\p{M}\p{Nd}])"
+NAME = r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu}\p{L})"
+
+
+def words_of(text: Column, mark: str = CAPITAL) -> Column:
+    """Lower-cased words; those that ``mark`` finds carry ``NAME_MARK`` in front."""
     plain = F.translate(F.coalesce(text, F.lit("")), NAME_MARK, " ")
-    marked = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu}\p{L})", NAME_MARK)
+    marked = F.regexp_replace(plain, mark, NAME_MARK)
     # no group under a +: Java's matcher would recurse along a long run of separators
     cut = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NAME_MARK}.,:/]+|[.,:/](?!\p{{Nd}})|(?<!\p{{Nd}})[.,:/]"
     return F.filter(F.split(F.lower(marked), cut), lambda w: w != "")
 
 
-def slot_type(word: Column) -> Column:
-    """number, unit or name for a placeholder's word, null for a literal."""
-    first = F.ascii(word)
-    return (F.when(first <= ord("9"), F.lit("number")).when(first == ord(NAME_MARK), F.lit("name"))
-            .when(word.isin(UNITS), F.lit("unit")))
+def is_marked(word: Column) -> Column:
+    return F.ascii(word) == ord(NAME_MARK)
+
+
+def bare(word: Column) -> Column:
+    return F.when(is_marked(word), F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
+def typed(word: Column) -> Column:
+    """number or unit for a bare word that is such a placeholder, else null."""
+    return F.when(F.ascii(word) <= ord("9"), F.lit("number")).when(word.isin(UNITS), F.lit("unit"))
+
+
+def is_slot(word: Column) -> Column:
+    return is_marked(word) | typed(word).isNotNull()
 
 
 def window_hashes(word_hashes: Column, window: int) -> Column:
@@ -77,24 +98,58 @@ def window_hashes(word_hashes: Column, window: int) -> Column:
                                    lambda i: F.xxhash64(F.slice(word_hashes, i, window)))))
 
 
-def _with_windows(df: DataFrame, window: int) -> DataFrame:
-    return (df.withColumn("words", words_of(F.col("text")))
-            .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.coalesce(slot_type(w), w))))
+def _masked(hashes: Column, on: Column) -> Column:
+    """Hash of a window with names at the places where ``on`` is true."""
+    return F.xxhash64(F.transform(hashes, lambda h, i: F.when(F.get(on, i), F.xxhash64(F.lit("name"))).otherwise(h)))
+
+
+def _with_windows(df: DataFrame, window: int, mark: str) -> DataFrame:
+    return (df.withColumn("words", words_of(F.col("text"), mark))
+            .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.coalesce(typed(bare(w)), bare(w)))))
             .withColumn("windows", window_hashes(F.col("hashes"), window)))
 
 
+def name_windows(masks: list[int], window: int) -> Column:
+    """(at, hash) of the windows of ``words`` that have capitalised words at
+    all places of a mask, with names there. A mask is taken where its first
+    place meets a capitalised word, so each window comes up once for it."""
+    places = [[i for i in range(window) if m >> i & 1] for m in masks]
+    known = F.array(*[F.struct(F.lit(p[0]).alias("first"), F.lit(p[-1]).alias("last"),
+                               F.array(*map(F.lit, p)).alias("places"),
+                               F.array(*[F.lit(i in p) for i in range(window)]).alias("on")) for p in places])
+    n, words = F.size("words"), F.col("words")
+    capitals = F.filter(F.transform(words, lambda w, i: F.when(is_marked(w), i)), lambda i: i.isNotNull())
+
+    def at_capital(c):
+        fits = F.filter(known, lambda m: (c >= m["first"]) & (c - m["first"] <= F.greatest(n - window, F.lit(0)))
+                        & (c - m["first"] + m["last"] < n)
+                        & F.forall(m["places"], lambda p: is_marked(F.get(words, c - m["first"] + p))))
+        return F.transform(fits, lambda m: F.struct(
+            (c - m["first"]).alias("at"),
+            _masked(F.slice("hashes", c - m["first"] + 1, window), m["on"]).alias("hash")))
+    return F.flatten(F.transform(capitals, at_capital))
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(hash, item_id, item_key, item_at, item_words, n_windows), telling windows only."""
+    """(hash, mask, item_id, item_key, item_at, item_words, n_windows), telling
+    windows only; one row for each set of a window's names as placeholders."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
     placed = F.transform("windows", lambda h, i: F.struct(
-        h.alias("hash"), i.alias("item_at"), F.slice("words", i + 1, window).alias("item_words")))
-    rows = (_with_windows(items, window)
+        i.alias("item_at"), F.slice("words", i + 1, window).alias("item_words"),
+        F.slice("hashes", i + 1, window).alias("item_hashes")))
+    rows = (_with_windows(items, window, NAME)
             .select("item_id", F.xxhash64("text").alias("item_key"), placed.alias("all"))
             .withColumn("telling", F.filter("all", lambda w: F.size(
-                F.filter(w["item_words"], lambda x: slot_type(x).isNull())) >= MIN_LITERALS))
+                F.filter(w["item_words"], lambda x: ~is_slot(x))) >= MIN_LITERALS))
             .withColumn("telling", F.when(F.size("telling") > 0, F.col("telling")).otherwise(F.col("all"))))
+    names = F.aggregate(F.transform("item_words", lambda w, i: F.when(is_marked(w), F.call_function(
+        "shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    subsets = F.filter(F.sequence(F.lit(0), names), lambda m: m.bitwiseAND(names) == m)
+    on = F.transform("item_words", lambda w, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)
     return (rows.select("item_id", "item_key", F.size("telling").alias("n_windows"), F.explode_outer("telling").alias("w"))
-            .filter(F.col("w.hash").isNotNull()).select("w.*", "item_id", "item_key", "n_windows").distinct())
+            .filter(F.col("w").isNotNull()).select("w.*", "item_id", "item_key", "n_windows")
+            .withColumn("mask", F.explode(subsets)).withColumn("hash", _masked(F.col("item_hashes"), on))
+            .drop("item_hashes").distinct())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -105,12 +160,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     alignments whose placeholder values all agree hold ``min_share`` of the
     windows, else ``reparameterised``."""
     bench = benchmark_windows(benchmark, item_col, item_text_col, window)
-    few = bench.limit(broadcast_windows + 1).count() <= broadcast_windows
+    seen = bench.agg(F.count("*"), F.collect_set("mask")).first()
+    few, masks = seen[0] <= broadcast_windows, sorted(m for m in seen[1] if m)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = name_windows(masks, window) if masks else F.array().cast("array<struct<at:int,hash:bigint>>")
     # outer: an inner explode makes Catalyst infer a filter that repeats the whole expression
-    places = (_with_windows(texts, window)
-              .select("id", F.xxhash64("text").alias("text_key"), "words",
-                      F.posexplode_outer("windows").alias("doc_at", "hash")))
+    places = (_with_windows(texts, window, CAPITAL)
+              .select("id", F.xxhash64("text").alias("text_key"), "words", "windows", named.alias("named"))
+              .select("id", "text_key", "words", F.size("windows").alias("n_plain"), F.col("named.at").alias("named_at"),
+                      F.posexplode_outer(F.concat("windows", F.col("named.hash"))).alias("place", "hash"))
+              .select("id", "text_key", "words", "hash", F.when(F.col("place") < F.col("n_plain"), F.col("place"))
+                      .otherwise(F.get("named_at", F.col("place") - F.col("n_plain"))).alias("doc_at")))
     if few:
         met = places.join(F.broadcast(bench), "hash")
     else:       # shuffle hashes alone, and fetch the words of documents with a match afterwards
@@ -121,8 +181,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = met.select(
         "id", "text_key", "item_id", "item_key", "item_at", "n_windows", (F.col("doc_at") - F.col("item_at")).alias("shift"),
         F.filter(F.zip_with("item_words", F.slice("words", F.col("doc_at") + 1, window),
-                            lambda i, d: F.struct(i.alias("item"), d.alias("doc"))),
-                 lambda p: slot_type(p["item"]).isNotNull()).alias("slots"))
+                            lambda i, d: F.struct(i.alias("item"), bare(d).alias("doc"))),
+                 lambda p: is_slot(p["item"])).alias("slots"))
+    hits = hits.withColumn("slots", F.transform("slots", lambda p: F.struct(bare(p["item"]).alias("item"), p["doc"].alias("doc"))))
     aligned = hits.groupBy("id", "text_key", "item_id", "item_key", "n_windows", "shift").agg(
         F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     n_slots = F.size("slots")

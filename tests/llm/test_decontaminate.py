@@ -40,6 +40,34 @@ def test_slots_must_be_consistent(spark, bench):
     assert found(spark, bench, [broken]) == {}
 
 
+def test_letter_case_and_wrapping(spark):
+    item = "In the old harbour, Alice met Bob, and Carla paid 7 coins, then every sailor went home before the storm"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("Alice", "Dora").replace("7", "9").upper()
+    texts = [item.upper(), item.lower(), item.replace(" ", "\n  "), f"So: {item.title()}", other, f"{item.upper()} END"]
+    got = found(spark, bench, texts)
+    assert got == {(i, 1): "reparameterised" if i == 4 else "copy" for i in range(6)}
+    assert got == found(spark, bench, texts, broadcast_windows=0)
+
+
+def test_query_finds_all_windows_of_larger_table(spark):
+    """Containment of windows, by a join of its own, on the larger table."""
+    from pyspark.sql import functions as F
+    sf = "/root/testdata/sf0.1"
+
+    def windows(table, key):
+        words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
+        at = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(
+            F.slice("w", i, 5), " "))
+        rows = spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).alias(key), words.alias("w"))
+        return rows.filter(F.size("w") >= 5).select(key, F.explode(at).alias("x"), F.size("w").alias("n"))
+    items = windows("benchmark", "item_id").groupBy("item_id", "x", "n").agg(F.count("*").alias("times"))
+    met = items.join(windows("documents", "doc_id").select("doc_id", "x").distinct(), "x").groupBy("doc_id", "item_id")
+    brute = met.agg((F.sum("times") / (F.first("n") - 4)).alias("share")).filter("share >= 0.8").collect()
+    got = catalog.op1_benchmark_decontamination(spark, sf).collect()
+    assert brute and {(r["doc_id"], r["item_id"]) for r in got} == {(r["doc_id"], r["item_id"]) for r in brute}
+
+
 def test_repeated_null_and_empty(spark, bench):
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, None), (3, "fine")],
                                  "doc_id long, text string")
