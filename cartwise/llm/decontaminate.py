@@ -15,13 +15,15 @@ against benchmark items, by equality of the hash. A window has one hash with
 its names as words, and one for each set of its names as placeholders; the
 places of these (masks) are read from the benchmark first, and documents are
 hashed under a mask only where capitalised words stand at all its places. A
-window must hold at least
-``MIN_LITERALS`` words that are no placeholder, unless its item has no such
-window. For every alignment of a document with an item, the values in the
-matched placeholders are compared: equal values of the item must stand for
-equal values of the document, different ones for different ones. Alignments
-that break this are no evidence. An item has leaked into a document when the
-alignments left hold at least ``min_share`` of the item's windows.
+window whose placeholders differ must hold at least ``MIN_LITERALS`` words
+that are none (a telling window), unless its item has no such window; a window
+that is equal word by word needs none. For every alignment of a document with
+an item, the values in the matched placeholders are compared: each value of
+the item stands for the document's value that most of its places have (the
+first in the item among equals), and the windows with another one are no
+evidence unless they are equal word by word. An item has leaked into a
+document when the alignments hold at least ``min_share`` of the item's telling
+windows, or word by word of all its windows.
 
 The documents' windows are not shuffled where the benchmark's windows are few
 enough to broadcast (counted first; ``BROADCAST_WINDOWS``), otherwise both
@@ -47,6 +49,8 @@ MIN_LITERALS = 3
 #: Benchmarks with more windows than this are joined by shuffle (about 150 bytes a window).
 BROADCAST_WINDOWS = 100_000
 NAME_MARK = "\ue002"
+#: Mask of the windows that are hashed word by word.
+LITERAL = -1
 UNITS = [
     "mm", "cm", "dm", "km", "metre", "metres", "meter", "meters", "kilometre", "kilometres", "kilometer",
     "kilometers", "centimetre", "centimetres", "centimeter", "centimeters", "inch", "inches", "foot", "feet",
@@ -130,25 +134,51 @@ def name_windows(masks: list[int], window: int) -> Column:
     return F.flatten(F.transform(capitals, at_capital))
 
 
+def literal_windows(window: int) -> Column:
+    """(at, hash of the bare words) of the windows of ``words`` with fewer than
+    ``MIN_LITERALS`` words that are no number or unit."""
+    n, words = F.size("words"), F.col("words")
+    slots = F.filter(F.transform(words, lambda w, i: F.when(typed(bare(w)).isNotNull(), i)), lambda i: i.isNotNull())
+    around = F.transform(F.when(n >= window, slots).otherwise(F.array().cast("array<int>")), lambda i: F.sequence(
+        F.greatest(i - (window - 1), F.lit(0)), F.least(i, F.greatest(n - window, F.lit(0)))))
+    at = F.filter(F.array_distinct(F.flatten(around)), lambda i: F.size(F.filter(
+        F.slice(words, i + 1, window), lambda w: typed(bare(w)).isNull())) < MIN_LITERALS)
+    return F.transform(at, lambda i: F.struct(i.alias("at"), literal_hash(F.slice(words, i + 1, window)).alias("hash")))
+
+
+def literal_hash(words: Column) -> Column:
+    return F.xxhash64(F.lit("literal"), F.transform(words, bare))
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(hash, mask, item_id, item_key, item_at, item_words, n_windows), telling
-    windows only; one row for each set of a window's names as placeholders."""
+    """(hash, mask, item_id, item_key, item_at, item_words, telling, n_telling,
+    n_windows): one row for each set of a telling window's names as
+    placeholders (``mask``). Another window is met as it is only; where it has
+    so many numbers and units that its hash says little, its mask is
+    ``LITERAL`` and the hash that of its words."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
     placed = F.transform("windows", lambda h, i: F.struct(
         i.alias("item_at"), F.slice("words", i + 1, window).alias("item_words"),
         F.slice("hashes", i + 1, window).alias("item_hashes")))
+    def literals(words, slot):
+        return F.size(F.filter(words, lambda x: ~slot(x)))
     rows = (_with_windows(items, window, NAME)
             .select("item_id", F.xxhash64("text").alias("item_key"), placed.alias("all"))
-            .withColumn("telling", F.filter("all", lambda w: F.size(
-                F.filter(w["item_words"], lambda x: ~is_slot(x))) >= MIN_LITERALS))
-            .withColumn("telling", F.when(F.size("telling") > 0, F.col("telling")).otherwise(F.col("all"))))
+            .withColumn("n_telling", F.size(F.filter("all", lambda w: literals(w["item_words"], is_slot) >= MIN_LITERALS))))
     names = F.aggregate(F.transform("item_words", lambda w, i: F.when(is_marked(w), F.call_function(
         "shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, x: a + x)
     subsets = F.filter(F.sequence(F.lit(0), names), lambda m: m.bitwiseAND(names) == m)
+    plain = literals(F.col("item_words"), lambda x: typed(bare(x)).isNotNull()) >= MIN_LITERALS
     on = F.transform("item_words", lambda w, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)
-    return (rows.select("item_id", "item_key", F.size("telling").alias("n_windows"), F.explode_outer("telling").alias("w"))
-            .filter(F.col("w").isNotNull()).select("w.*", "item_id", "item_key", "n_windows")
-            .withColumn("mask", F.explode(subsets)).withColumn("hash", _masked(F.col("item_hashes"), on))
+    telling = (F.col("n_telling") == 0) | (literals(F.col("item_words"), is_slot) >= MIN_LITERALS)
+    return (rows.select("item_id", "item_key", "n_telling", F.size("all").alias("n_windows"), F.explode_outer("all").alias("w"))
+            .filter(F.col("w").isNotNull()).select("w.*", "item_id", "item_key", "n_telling", "n_windows")
+            .withColumn("telling", telling)
+            .withColumn("n_telling", F.when(F.col("n_telling") > 0, F.col("n_telling")).otherwise(F.col("n_windows")))
+            .withColumn("mask", F.explode(F.when(F.col("telling"), subsets)
+                                          .otherwise(F.array(F.when(plain, F.lit(0)).otherwise(F.lit(LITERAL))))))
+            .withColumn("hash", F.when(F.col("mask") == LITERAL, literal_hash(F.col("item_words")))
+                        .otherwise(_masked(F.col("item_hashes"), on)))
             .drop("item_hashes").distinct())
 
 
@@ -156,14 +186,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
           min_share: float = MIN_SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per (document, leaked item): the id, ``text_key`` (hash of the
-    text), item_id, n_matched and n_windows, share, and kind: ``copy`` when
-    alignments whose placeholder values all agree hold ``min_share`` of the
-    windows, else ``reparameterised``."""
+    text), item_id, n_matched and n_windows (of the telling windows, or of all
+    word by word where that share is larger), share, and kind: ``copy`` when
+    all matched windows are equal word by word, else ``reparameterised``."""
     bench = benchmark_windows(benchmark, item_col, item_text_col, window)
     seen = bench.agg(F.count("*"), F.collect_set("mask")).first()
-    few, masks = seen[0] <= broadcast_windows, sorted(m for m in seen[1] if m)
+    few, masks = seen[0] <= broadcast_windows, sorted(m for m in seen[1] if m > 0)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     named = name_windows(masks, window) if masks else F.array().cast("array<struct<at:int,hash:bigint>>")
+    if LITERAL in seen[1]:
+        named = F.concat(named, literal_windows(window))
     # outer: an inner explode makes Catalyst infer a filter that repeats the whole expression
     places = (_with_windows(texts, window, CAPITAL)
               .select("id", F.xxhash64("text").alias("text_key"), "words", "windows", named.alias("named"))
@@ -178,23 +210,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         held = texts.select(F.col("id").alias("held_id"), F.xxhash64("text").alias("held_key"),
                             words_of(F.col("text")).alias("words"))
         met = keys.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key")))
-    hits = met.select(
-        "id", "text_key", "item_id", "item_key", "item_at", "n_windows", (F.col("doc_at") - F.col("item_at")).alias("shift"),
-        F.filter(F.zip_with("item_words", F.slice("words", F.col("doc_at") + 1, window),
-                            lambda i, d: F.struct(i.alias("item"), bare(d).alias("doc"))),
-                 lambda p: is_slot(p["item"])).alias("slots"))
-    hits = hits.withColumn("slots", F.transform("slots", lambda p: F.struct(bare(p["item"]).alias("item"), p["doc"].alias("doc"))))
-    aligned = hits.groupBy("id", "text_key", "item_id", "item_key", "n_windows", "shift").agg(
-        F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    n_slots = F.size("slots")
-    consistent = aligned.filter((F.size(F.array_distinct("slots.item")) == n_slots)
-                                & (F.size(F.array_distinct("slots.doc")) == n_slots))
-    return (consistent.groupBy("id", "text_key", "item_id", "item_key", "n_windows")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n_matched"),
-                 F.bool_and(F.forall("slots", lambda p: p["item"] == p["doc"])).alias("same"))
-            .withColumn("share", F.col("n_matched") / F.col("n_windows"))
-            .filter(F.col("share") >= min_share)
-            .select(F.col("id").alias(id_col), "text_key", "item_id", "n_matched", "n_windows", "share",
+    pair = ["id", "text_key", "item_id", "item_key", "n_telling", "n_windows"]
+    pairs = F.zip_with(F.zip_with("item_words", F.slice("words", F.col("doc_at") + 1, window), lambda i, d: F.struct(
+        i.alias("word"), bare(i).alias("item"), bare(d).alias("doc"))), F.sequence(F.col("item_at"), F.col("item_at") + (
+            F.size("item_words") - 1)), lambda p, i: F.struct(i.alias("at"), p["item"].alias("item"), p["doc"].alias("doc"),
+                                                             is_slot(p["word"]).alias("slot")))
+    # no filter on pairs here: as a join condition it would part the join from the explode, which then buffers its rows
+    # an item's window with what is known of it in one number: place, telling, equal word by word
+    code = F.col("item_at") * 4 + F.col("telling").cast("int") * 2 + F.col("literal").cast("int")
+    hits = (met.withColumn("pairs", pairs)
+            .withColumn("literal", F.forall("pairs", lambda p: p["item"].eqNullSafe(p["doc"])))
+            .select(*pair, (F.col("doc_at") - F.col("item_at")).alias("shift"), code.alias("code"),
+                    F.filter("pairs", lambda p: p["slot"]).alias("slots"))
+            # all groupings below are finer than this
+            .repartition("id", "text_key", "item_id", "item_key"))
+    # per alignment and value of the item: the document's values, and the windows that hold another than the commonest
+    values = (hits.select(*pair, "shift", "code", F.explode_outer("slots").alias("slot"))
+              .groupBy(*pair, "shift", F.col("slot.item").alias("item"), F.col("slot.doc").alias("doc"))
+              .agg(F.size(F.collect_set("slot.at")).alias("n"), F.min("slot.at").alias("first"),
+                   F.collect_set("code").alias("codes")))
+    voted = (values.groupBy(*pair, "shift", "item")
+             .agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "doc"))["doc"].alias("best"),
+                  F.collect_list(F.struct("doc", "codes")).alias("all"))
+             .select(*pair, "shift", F.flatten("all.codes").alias("codes"),
+                     F.flatten(F.filter("all", lambda v: ~v["doc"].eqNullSafe(F.col("best")))["codes"]).alias("other")))
+    aligned = (voted.groupBy(*pair, "shift")
+               .agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"),
+                    F.flatten(F.collect_list("other")).alias("other"))
+               .select(*pair, F.filter(F.array_union(F.array_except("codes", "other"), F.filter(
+                   "codes", lambda c: c.bitwiseAND(1) == 1)), lambda c: c.bitwiseAND(3) != 0).alias("codes")))
+
+    def met_windows(bit):
+        kept = F.filter("codes", lambda c: c.bitwiseAND(bit) == bit)
+        return F.size(F.array_distinct(F.transform(kept, lambda c: F.call_function("shiftright", c, F.lit(2)))))
+    best = F.greatest(F.struct((met_windows(2) / F.col("n_telling")).alias("share"), met_windows(2).alias("n_matched"),
+                               F.col("n_telling").alias("n_windows")),
+                      F.struct((met_windows(1) / F.col("n_windows")).alias("share"), met_windows(1).alias("n_matched"),
+                               F.col("n_windows").alias("n_windows")))
+    return (aligned.groupBy(*pair).agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+            .select("id", "text_key", "item_id", best.alias("best"),
+                    F.forall("codes", lambda c: c.bitwiseAND(1) == 1).alias("same"))
+            .filter(F.col("best.share") >= min_share)
+            .select(F.col("id").alias(id_col), "text_key", "item_id", "best.n_matched", "best.n_windows", "best.share",
                     F.when(F.col("same"), F.lit("copy")).otherwise(F.lit("reparameterised")).alias("kind")))
 
 

@@ -68,6 +68,20 @@ def test_query_finds_all_windows_of_larger_table(spark):
     assert brute and {(r["doc_id"], r["item_id"]) for r in got} == {(r["doc_id"], r["item_id"]) for r in brute}
 
 
+def test_a_disagreeing_slot_costs_its_windows_only(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    item = " ".join(["12" if i in (10, 30) else w for i, w in enumerate(words)])
+    pair = item.replace("12", "3", 1).replace("12", "5")
+    sums = "add 3 and 4 and 5 and 6 and 7 and 8 and 9 and 10 and 11 and 12 then say what is the sum of it"
+    bench = spark.createDataFrame([(1, item), (2, pair.replace("word", "term")), (3, sums)], "item_id long, text string")
+    texts = [item.replace("12", "13", 1), f"{item.replace('12', '4', 1).replace('12', '7')} end",
+             pair.replace("word", "term").replace(" 3 ", " 4 ").replace(" 5 ", " 4 "), sums.replace("sum", "total"),
+             " ".join(f"{w} x" if i % 6 == 0 else w for i, w in enumerate(words))]
+    got = found(spark, bench, texts)
+    assert got == {(0, 1): "reparameterised", (1, 1): "reparameterised", (2, 2): "reparameterised", (3, 3): "reparameterised"}
+    assert got == found(spark, bench, texts, broadcast_windows=0)
+
+
 def test_repeated_null_and_empty(spark, bench):
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, None), (3, "fine")],
                                  "doc_id long, text string")
