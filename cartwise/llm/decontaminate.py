@@ -3,9 +3,10 @@ alone.
 
 Canonical form: words are runs of letters and digits, lower-cased; a number
 (digits with inner ``. , : /``) becomes the placeholder *number*, a word of
-``UNITS`` the placeholder *unit*. A name of an item (a capitalised word after
-a lower-case letter, a digit or ``, ; :`` and a blank) is met both as the word
-itself, in any letter case, and as the placeholder *name*, which any
+``UNITS`` the placeholder *unit*. A name (a capitalised word wherever it
+stands, but none of ``OPENERS``; an item without lower-case letters has none
+that can be told) is met both as the word itself, in any letter case, and as
+the placeholder *name*, which any such
 capitalised word of a document can fill. A benchmark question asked again with
 other numbers, names or units so has a canonical form in common with its item,
 and so has a copy in other letter case.
@@ -60,17 +61,25 @@ UNITS = [
     "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees", "celsius",
     "fahrenheit", "kelvin", "volt", "volts", "watt", "watts", "joule", "joules", "newton", "newtons",
 ]
+#: Words that are capitalised for their place alone, at the start of a text, sentence or line.
+OPENERS = [
+    "a", "an", "the", "this", "that", "these", "those", "there", "here", "it", "its", "he", "his", "him", "she", "her",
+    "they", "their", "them", "we", "our", "you", "your", "my", "me", "who", "whom", "whose", "what", "which", "when",
+    "where", "why", "how", "if", "then", "else", "and", "or", "but", "so", "because", "while", "as", "than", "in", "on",
+    "at", "by", "for", "from", "of", "to", "with", "without", "into", "after", "before", "between", "during", "is", "are",
+    "was", "were", "be", "been", "do", "does", "did", "has", "have", "had", "can", "could", "should", "would", "shall",
+    "must", "not", "no", "yes", "each", "every", "all", "some", "any", "both", "one", "two", "three", "now", "suppose",
+    "find", "given", "let", "question", "answer",
+]
+#: Where a capitalised word starts that can be a name.
+CAPITAL = (rf"(?=\p{{Lu}}\p{{L}})(?<![\p{{L}}\p{{M}}\p{{Nd}}])"
+           rf"(?!(?i:{'|'.join(OPENERS)})(?![\p{{L}}\p{{M}}\p{{Nd}}]))")
 
 
-#: Where a capitalised word starts: any, and those that are names of an item.
-CAPITAL = r"(?=\p{Lu}\p{L})(?<![\p{L}\p{M}\p{Nd}])"
-NAME = r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu}\p{L})"
-
-
-def words_of(text: Column, mark: str = CAPITAL) -> Column:
-    """Lower-cased words; those that ``mark`` finds carry ``NAME_MARK`` in front."""
+def words_of(text: Column) -> Column:
+    """Lower-cased words; those that can be names carry ``NAME_MARK`` in front."""
     plain = F.translate(F.coalesce(text, F.lit("")), NAME_MARK, " ")
-    marked = F.regexp_replace(plain, mark, NAME_MARK)
+    marked = F.regexp_replace(plain, CAPITAL, NAME_MARK)
     # no group under a +: Java's matcher would recurse along a long run of separators
     cut = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NAME_MARK}.,:/]+|[.,:/](?!\p{{Nd}})|(?<!\p{{Nd}})[.,:/]"
     return F.filter(F.split(F.lower(marked), cut), lambda w: w != "")
@@ -107,8 +116,8 @@ def _masked(hashes: Column, on: Column) -> Column:
     return F.xxhash64(F.transform(hashes, lambda h, i: F.when(F.get(on, i), F.xxhash64(F.lit("name"))).otherwise(h)))
 
 
-def _with_windows(df: DataFrame, window: int, mark: str) -> DataFrame:
-    return (df.withColumn("words", words_of(F.col("text"), mark))
+def _with_windows(df: DataFrame, window: int) -> DataFrame:
+    return (df.withColumn("words", words_of(F.col("text")))
             .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.coalesce(typed(bare(w)), bare(w)))))
             .withColumn("windows", window_hashes(F.col("hashes"), window)))
 
@@ -162,13 +171,18 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
         F.slice("hashes", i + 1, window).alias("item_hashes")))
     def literals(words, slot):
         return F.size(F.filter(words, lambda x: ~slot(x)))
-    rows = (_with_windows(items, window, NAME)
+    unmarked = F.transform("words", bare)
+    rows = (_with_windows(items, window)
+            .withColumn("words", F.when(F.col("text").rlike(r"\p{Ll}"), F.col("words")).otherwise(unmarked))
             .select("item_id", F.xxhash64("text").alias("item_key"), placed.alias("all"))
             .withColumn("n_telling", F.size(F.filter("all", lambda w: literals(w["item_words"], is_slot) >= MIN_LITERALS))))
     names = F.aggregate(F.transform("item_words", lambda w, i: F.when(is_marked(w), F.call_function(
         "shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    subsets = F.filter(F.sequence(F.lit(0), names), lambda m: m.bitwiseAND(names) == m)
-    plain = literals(F.col("item_words"), lambda x: typed(bare(x)).isNotNull()) >= MIN_LITERALS
+    # names alone tell nothing: one word or more stays
+    words_left = literals(F.col("item_words"), lambda x: typed(bare(x)).isNotNull())
+    subsets = F.filter(F.sequence(F.lit(0), names), lambda m: (m.bitwiseAND(names) == m) & (
+        (m == 0) | (F.bit_count(m) < words_left)))
+    plain = words_left >= MIN_LITERALS
     on = F.transform("item_words", lambda w, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)
     telling = (F.col("n_telling") == 0) | (literals(F.col("item_words"), is_slot) >= MIN_LITERALS)
     return (rows.select("item_id", "item_key", "n_telling", F.size("all").alias("n_windows"), F.explode_outer("all").alias("w"))
@@ -197,7 +211,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     if LITERAL in seen[1]:
         named = F.concat(named, literal_windows(window))
     # outer: an inner explode makes Catalyst infer a filter that repeats the whole expression
-    places = (_with_windows(texts, window, CAPITAL)
+    places = (_with_windows(texts, window)
               .select("id", F.xxhash64("text").alias("text_key"), "words", "windows", named.alias("named"))
               .select("id", "text_key", "words", F.size("windows").alias("n_plain"), F.col("named.at").alias("named_at"),
                       F.posexplode_outer(F.concat("windows", F.col("named.hash"))).alias("place", "hash"))

@@ -82,6 +82,23 @@ def test_a_disagreeing_slot_costs_its_windows_only(spark):
     assert got == found(spark, bench, texts, broadcast_windows=0)
 
 
+def test_names_at_sentence_starts(spark):
+    item = ("Alice has 3 apples. Alice buys 5 more at the market. Alice then gives 2 to a friend.\n"
+            "\"Alice must count them,\" says the friend")
+    short = "Marie wrote the first long novel"
+    bench = spark.createDataFrame([(1, item), (2, short), (3, item.replace("Alice", "Eve").replace("apples", "nuts").upper())],
+                                  "item_id long, text string")
+    texts = [item.replace("Alice", "Bob"), f"we ask: {item.replace('Alice', 'Bob').replace('5', '8')}", item.upper(),
+             f"it is said that {short} of all", "She said that Jane wrote the first long novel", "She wrote the first long novel",
+             "Then the man wrote the first short story", item.replace("Alice", "Eve").replace("apples", "nuts"),
+             "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT"]
+    got = found(spark, bench, texts)
+    other = "reparameterised"
+    assert {k: v for k, v in got.items() if k not in {(7, 1), (0, 3), (1, 3), (2, 3)}} == {
+        (0, 1): other, (1, 1): other, (2, 1): "copy", (3, 2): "copy", (4, 2): other, (7, 3): "copy"}
+    assert got == found(spark, bench, texts, broadcast_windows=0)
+
+
 def test_repeated_null_and_empty(spark, bench):
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, None), (3, "fine")],
                                  "doc_id long, text string")
