@@ -111,14 +111,10 @@ def window_hashes(word_hashes: Column, window: int) -> Column:
                                    lambda i: F.xxhash64(F.slice(word_hashes, i, window)))))
 
 
-def _masked(hashes: Column, on: Column) -> Column:
-    """Hash of a window with names at the places where ``on`` is true."""
-    return F.xxhash64(F.transform(hashes, lambda h, i: F.when(F.get(on, i), F.xxhash64(F.lit("name"))).otherwise(h)))
-
-
 def _with_windows(df: DataFrame, window: int) -> DataFrame:
     return (df.withColumn("words", words_of(F.col("text")))
-            .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.coalesce(typed(bare(w)), bare(w)))))
+            .withColumn("bare", F.transform("words", bare))
+            .withColumn("hashes", F.transform("bare", lambda w: F.xxhash64(F.coalesce(typed(w), w))))
             .withColumn("windows", window_hashes(F.col("hashes"), window)))
 
 
@@ -126,33 +122,44 @@ def name_windows(masks: list[int], window: int) -> Column:
     """(at, hash) of the windows of ``words`` that have capitalised words at
     all places of a mask, with names there. A mask is taken where its first
     place meets a capitalised word, so each window comes up once for it."""
-    places = [[i for i in range(window) if m >> i & 1] for m in masks]
-    known = F.array(*[F.struct(F.lit(p[0]).alias("first"), F.lit(p[-1]).alias("last"),
-                               F.array(*map(F.lit, p)).alias("places"),
-                               F.array(*[F.lit(i in p) for i in range(window)]).alias("on")) for p in places])
     n, words = F.size("words"), F.col("words")
     capitals = F.filter(F.transform(words, lambda w, i: F.when(is_marked(w), i)), lambda i: i.isNotNull())
+    by_shape: dict[tuple, list[list[int]]] = {}
+    for m in masks:
+        places = [i for i in range(window) if m >> i & 1]
+        by_shape.setdefault(tuple(p - places[0] for p in places[1:]), []).append(places)
+
+    def form(c, places):
+        at = c - places[0]
+        ends = zip([-1, *places], [*places, window])
+        kept = [F.slice("hashes", at + (a + 2), F.lit(b - a - 1)) for a, b in ends if b - a > 1]
+        fits = (at >= 0) & (at <= F.greatest(n - window, F.lit(0)))
+        return F.when(fits, F.struct(at.alias("at"), F.xxhash64(F.lit(sum(1 << p for p in places)), *kept).alias("hash")))
 
     def at_capital(c):
-        fits = F.filter(known, lambda m: (c >= m["first"]) & (c - m["first"] <= F.greatest(n - window, F.lit(0)))
-                        & (c - m["first"] + m["last"] < n)
-                        & F.forall(m["places"], lambda p: is_marked(F.get(words, c - m["first"] + p))))
-        return F.transform(fits, lambda m: F.struct(
-            (c - m["first"]).alias("at"),
-            _masked(F.slice("hashes", c - m["first"] + 1, window), m["on"]).alias("hash")))
-    return F.flatten(F.transform(capitals, at_capital))
+        out = []
+        for shape, masks_there in by_shape.items():
+            forms = F.array(*[form(c, p) for p in masks_there])
+            if shape:
+                met = is_marked(F.get(words, c + shape[0]))
+                for p in shape[1:]:
+                    met = met & is_marked(F.get(words, c + p))
+                forms = F.when(met, forms).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+            out.append(forms)
+        return F.concat(*out)
+    return F.filter(F.flatten(F.transform(capitals, at_capital)), lambda f: f.isNotNull())
 
 
 def literal_windows(window: int) -> Column:
     """(at, hash of the bare words) of the windows of ``words`` with fewer than
     ``MIN_LITERALS`` words that are no number or unit."""
-    n, words = F.size("words"), F.col("words")
-    slots = F.filter(F.transform(words, lambda w, i: F.when(typed(bare(w)).isNotNull(), i)), lambda i: i.isNotNull())
+    n = F.size("words")
+    slots = F.filter(F.transform("bare", lambda w, i: F.when(typed(w).isNotNull(), i)), lambda i: i.isNotNull())
     around = F.transform(F.when(n >= window, slots).otherwise(F.array().cast("array<int>")), lambda i: F.sequence(
         F.greatest(i - (window - 1), F.lit(0)), F.least(i, F.greatest(n - window, F.lit(0)))))
     at = F.filter(F.array_distinct(F.flatten(around)), lambda i: F.size(F.filter(
-        F.slice(words, i + 1, window), lambda w: typed(bare(w)).isNull())) < MIN_LITERALS)
-    return F.transform(at, lambda i: F.struct(i.alias("at"), literal_hash(F.slice(words, i + 1, window)).alias("hash")))
+        F.slice("bare", i + 1, window), lambda w: typed(w).isNull())) < MIN_LITERALS)
+    return F.transform(at, lambda i: F.struct(i.alias("at"), literal_hash(F.slice("words", i + 1, window)).alias("hash")))
 
 
 def literal_hash(words: Column) -> Column:
@@ -183,7 +190,8 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     subsets = F.filter(F.sequence(F.lit(0), names), lambda m: (m.bitwiseAND(names) == m) & (
         (m == 0) | (F.bit_count(m) < words_left)))
     plain = words_left >= MIN_LITERALS
-    on = F.transform("item_words", lambda w, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)
+    # a hash of an array goes on from the one before, so the documents' pieces between the names give the same
+    kept = F.filter("item_hashes", lambda h, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 0)
     telling = (F.col("n_telling") == 0) | (literals(F.col("item_words"), is_slot) >= MIN_LITERALS)
     return (rows.select("item_id", "item_key", "n_telling", F.size("all").alias("n_windows"), F.explode_outer("all").alias("w"))
             .filter(F.col("w").isNotNull()).select("w.*", "item_id", "item_key", "n_telling", "n_windows")
@@ -192,7 +200,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
             .withColumn("mask", F.explode(F.when(F.col("telling"), subsets)
                                           .otherwise(F.array(F.when(plain, F.lit(0)).otherwise(F.lit(LITERAL))))))
             .withColumn("hash", F.when(F.col("mask") == LITERAL, literal_hash(F.col("item_words")))
-                        .otherwise(_masked(F.col("item_hashes"), on)))
+                        .when(F.col("mask") == 0, F.xxhash64("item_hashes")).otherwise(F.xxhash64("mask", kept)))
             .drop("item_hashes").distinct())
 
 
