@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import decontaminate, language, licenses, pieces, pivots, shards, simhash, \
+from cartwise.llm import decontaminate, language, licenses, periodic, pieces, pivots, shards, simhash, \
     token_counts, url_rules, warc
 from cartwise.llm.oracle import LLM_ORACLE
 
@@ -92,6 +92,17 @@ def op10_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
+def op13_periodic_runs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", periodic.planted("doc_id", "text").alias("text"))
+    found = periodic.runs_of(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_license_scan, op3_sentencepiece, op4_embedding_near_dedup, op5_language_id,
-    op6_sharding, op7_token_counts, op8_simhash, op9_warc, op10_url_filter)}
+    op6_sharding, op7_token_counts, op8_simhash, op9_warc, op10_url_filter,
+    op13_periodic_runs)}
