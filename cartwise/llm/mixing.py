@@ -189,9 +189,11 @@ def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text"
     state = solve(by_size, aims, cap)
 
     # cells of more rows than are numbered together are cut by the hash
-    hot = by_size.filter(F.col("n") > cell_rows).select("key", "size", F.ceil(F.col("n") / cell_rows).alias("cuts"))
-    docs = docs.join(hot, ["key", "size"], "left").withColumn(
-        "bucket", F.coalesce(F.pmod("h", "cuts"), F.lit(0)).cast("long")).drop("cuts")
+    hot = materialize(by_size.filter(F.col("n") > cell_rows)
+                      .select("key", "size", F.ceil(F.col("n") / cell_rows).alias("cuts")), "mix-hot")
+    # written, so that what follows is dealt by the buckets too, not as this join may deal it
+    docs = materialize(docs.join(hot, ["key", "size"], "left").withColumn(
+        "bucket", F.coalesce(F.pmod("h", "cuts"), F.lit(0)).cast("long")).drop("cuts"), "mix-buckets")
     cells = docs.groupBy("key", "size", "bucket").agg(F.count("*").alias("n")).join(state, "key") \
         .withColumn("rate", _rate(cap)).withColumn("cap", F.lit(cap)) \
         .withColumn("whole", F.floor("rate")).withColumn("part", F.col("n") * (F.col("rate") - F.col("whole")))
