@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -14,15 +14,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 4 << 20
 
 
-def map_batches(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow(fn, schema)`` for workers that may not have been
-    started with this library on their path (a local session started
-    elsewhere). On a cluster the package is shipped with the job."""
+def ship_library(spark: SparkSession) -> None:
+    """Workers that may not have been started with this library on their path
+    (a local session started elsewhere) get it. On a cluster the package is
+    shipped with the job."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = df.sparkSession.sparkContext.environment
+    env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (paths, root) if p)
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow(fn, schema)`` with this library on the workers' path."""
+    ship_library(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.llm import decontaminate, language, licenses, mixing, periodic, pieces, pivots, shards, \
-    simhash, token_counts, url_rules, warc
+    simhash, spelling, token_counts, url_rules, warc
 from cartwise.llm.oracle import LLM_ORACLE
 
 __all__ = ["LLM_ORACLE", "LLM_QUERIES"]
@@ -92,6 +92,11 @@ def op10_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    words = spelling.damaged(spelling.words_of(read(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.vocabulary(words))
+
+
 def op12_source_mixing(spark, sf_dir):
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
@@ -111,4 +116,4 @@ def op13_periodic_runs(spark, sf_dir):
 LLM_QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_license_scan, op3_sentencepiece, op4_embedding_near_dedup, op5_language_id,
     op6_sharding, op7_token_counts, op8_simhash, op9_warc, op10_url_filter,
-    op12_source_mixing, op13_periodic_runs)}
+    op11_spelling_variants, op12_source_mixing, op13_periodic_runs)}

@@ -1,7 +1,8 @@
 """The queries that DuckDB can express as well: all pairs and reachability for
-the embeddings, digests and first pages for the archives, all pairs of equal
-words of a text for its runs. (A nullable integer is a double here, as in the
-frames that the results are compared in.)"""
+the embeddings, digests and first pages for the archives, words less one letter
+for the spelling variants, all pairs of equal words of a text for its runs. (A
+nullable integer is a double here, as in the frames that the results are
+compared in.)"""
 
 from __future__ import annotations
 
@@ -57,6 +58,37 @@ SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
        CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
        CAST(CASE WHEN p.page_id <> f.first THEN f.first END AS DOUBLE) AS refers_to
 FROM p JOIN f ON p.html = f.html JOIN b32 ON b32.h = sha1(p.html)""",
+    "op11_spelling_variants": """WITH RECURSIVE occurrences AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{6,}')) AS run FROM documents),"""
+    + crc32_of("SELECT DISTINCT doc_id || ':' || run AS s FROM occurrences") + """,
+cut AS (
+  SELECT run, h, CAST(h % length(run) AS BIGINT) AS k FROM occurrences JOIN crc ON s = doc_id || ':' || run),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, k) || substr(run, k + 2) ELSE run END AS word FROM cut),
+v AS (
+  SELECT word, count(*) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT *, unnest(range(CAST(length(word) AS BIGINT))) AS i FROM v)),
+near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS n FROM less a JOIN less b
+    ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, v.word, v.n FROM less l JOIN v ON v.word = l.rest
+  UNION SELECT v.word, l.word, l.n FROM less l JOIN v ON v.word = l.rest),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, arg_max(other, (n, -place)) AS other
+  FROM near JOIN (SELECT word AS other, row_number() OVER (ORDER BY encode(word)) AS place FROM v) USING (other)
+  GROUP BY word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN other END AS form,
+         CASE WHEN most >= 5 * v.n THEN most END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+path(word, goal) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT p.word, f.form FROM path p JOIN formed f ON f.word = p.goal WHERE f.form IS NOT NULL),
+ends AS (SELECT p.word, p.goal AS root FROM path p JOIN formed f ON f.word = p.goal WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, CAST(form_n AS DOUBLE) AS form_n FROM formed JOIN ends USING (word)""",
     "op13_periodic_runs": "WITH RECURSIVE" + crc32_of("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s FROM documents") + """,
 cut AS (
   SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws
