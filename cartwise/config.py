@@ -76,14 +76,12 @@ def scale_conf(largest_shuffle_bytes: int, total_cores: int,
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder named by the session, if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        spark.sparkContext.setCheckpointDir(d)
-    return d or None
+    """The shared checkpoint folder as the session's configuration names it,
+    the same in every application; without one, the folder set on the context."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)   # Spark's own checkpoints, in a folder of this application
+    return named or spark.sparkContext.getCheckpointDir() or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

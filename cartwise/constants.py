@@ -10,7 +10,6 @@ KEPT_EVENTS = ("view", "addtocart", "transaction")
 
 # --- fixed values (sessions) --------------------------------------------------
 SESSION_GAP_MINUTES = 30          # a gap strictly over 30 whole minutes opens a session
-FIRST_EVENT_GAP = 1e9             # gap given to a visitor's first event
 SESSION_KEY_SEP = "-"             # session_id = visitorid + "-" + session number
 
 # --- fixed values (item properties) ------------------------------------------

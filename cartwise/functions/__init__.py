@@ -8,9 +8,7 @@ from cartwise.functions.expressions import (
     epoch_ms_to_ts,
     hash_keep,
     key_hash,
-    minutes_between,
     prob_max,
-    safe_double,
     safe_int,
     session_key,
     whole_seconds,
@@ -18,6 +16,6 @@ from cartwise.functions.expressions import (
 
 __all__ = [
     "class_probability", "clean_price", "count_if", "epoch_ms_to_ts", "hash_keep",
-    "key_hash", "minutes_between", "prob_max", "safe_double", "safe_int", "session_key",
+    "key_hash", "prob_max", "safe_int", "session_key",
     "whole_seconds",
 ]

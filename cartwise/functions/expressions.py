@@ -20,11 +20,6 @@ def whole_seconds(c) -> Column:
     return F.unix_seconds(_c(c))
 
 
-def minutes_between(later, earlier) -> Column:
-    """Whole-second difference in minutes, as double."""
-    return (whole_seconds(later) - whole_seconds(earlier)) / F.lit(60.0)
-
-
 def count_if(cond: Column) -> Column:
     """Number of rows where ``cond`` is true (nulls not counted)."""
     return F.count(F.when(cond, F.lit(1)))
@@ -36,13 +31,10 @@ def session_key(visitor, seq) -> Column:
 
 
 def safe_int(c) -> Column:
-    """String -> int, a decimal fraction cut off (``5.7`` is 5); bad strings
-    become null instead of failing (ANSI safe)."""
-    return F.regexp_replace(_c(c), r"^(\s*[+-]?[0-9]+)\.[0-9]*(\s*)$", "$1$2").try_cast("int")
-
-
-def safe_double(c) -> Column:
-    return _c(c).try_cast("double")
+    """String -> int, a decimal fraction cut off (``5.7`` is 5, ``.5`` and
+    ``-.5`` are 0); bad strings become null instead of failing (ANSI safe)."""
+    # a 0 before the digits stands in for missing ones
+    return F.regexp_replace(_c(c), r"^(\s*[+-]?)([0-9]*)\.[0-9]*(\s*)$", "$1" "0" "$2").try_cast("int")
 
 
 def clean_price(c) -> Column:

@@ -65,6 +65,40 @@ def temporal_cutoff(xy: DataFrame, quantile: float = SPLIT_QUANTILE,
     return exact_quantile(xy, col, quantile)
 
 
+SKETCH_K = 8192     # a rank is off by about 0.0007 of the rows
+
+
+def start_sketches(df: DataFrame, by: Sequence[str] = (), col: str = "session_start_ts",
+                   k: int = SKETCH_K) -> DataFrame:
+    """(by..., n, sketch): a small mergeable quantile sketch of ``col`` per
+    partition of the log (say, per day). Kept as a table, it gives cut-offs of
+    any span of days without reading the log again; a new day adds its row."""
+    grouped = df.groupBy(*by) if by else df.groupBy()
+    return grouped.agg(F.count(col).alias("n"),
+                       F.kll_sketch_agg_bigint(F.col(col).cast("long"), k).alias("sketch"))
+
+
+def sketched_cutoff(sketches: DataFrame, quantile: float = SPLIT_QUANTILE, k: int = SKETCH_K) -> DataFrame:
+    """One row: n, cutoff - the quantile of all rows that the sketches cover,
+    from one merge of the sketches (null without rows)."""
+    merged = sketches.filter("n > 0").agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    return merged.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(
+        F.col("n") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(quantile)))).alias("cutoff"))
+
+
+def rank_error(df: DataFrame, cutoff: DataFrame, quantile: float = SPLIT_QUANTILE,
+               col: str = "session_start_ts") -> DataFrame:
+    """``cutoff``'s row with rank_error: how far, as a share of the rows, the
+    quantile's rank lies outside the ranks that the cut-off's value takes."""
+    one = df.crossJoin(F.broadcast(cutoff.select("cutoff")))     # a single row
+    ranks = one.agg(F.count(F.when(F.col(col) < F.col("cutoff"), 1)).alias("below"),
+                    F.count(F.when(F.col(col) <= F.col("cutoff"), 1)).alias("upto"), F.count(col).alias("rows"))
+    wanted = F.ceil(F.lit(quantile) * F.col("rows"))
+    off = F.greatest(F.col("below") + 1 - wanted, wanted - F.col("upto"), F.lit(0))
+    return cutoff.crossJoin(ranks).select("n", "cutoff", "rows", F.when(F.col("rows") > 0, off / F.col("rows"))
+                                          .alias("rank_error"))
+
+
 def temporal_split(xy: DataFrame, quantile: float = SPLIT_QUANTILE,
                    relative_error: float = SPLIT_RELATIVE_ERROR,
                    col: str = "session_start_ts"):

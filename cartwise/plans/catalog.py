@@ -255,7 +255,12 @@ def q_preview(spark, sf_dir):
     return out
 
 
-# --- fitted models: facts that hold for any fit, with the exact cut-off -------
+# --- fitted models: their scores beside the optimum that SQL finds by itself ----
+
+#: Fits go on until they stand at the optimum to this precision, so scores can be compared with any other solver's.
+OPTIMUM = {"tol": 1e-12, "maxIter": 1000}
+DECIMALS = 3
+
 
 def _intent_inputs(spark, sf_dir):
     from cartwise.plans.intent import build_training_frame
@@ -270,12 +275,8 @@ def _new_folder(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def _ranked(top, score_col="p_buy"):
-    """Per session: how many items were ranked, and whether every score is a
-    probability."""
-    p = F.col(score_col)
-    return top.groupBy("session_id").agg(
-        F.count("*").alias("n_ranked"), F.bool_and(p.isNotNull() & p.between(0.0, 1.0)).alias("p_in_range"))
+def _rounded(c, alias=None):
+    return F.round(c, DECIMALS).alias(alias or c)
 
 
 def q_downsample_negatives(spark, sf_dir):
@@ -291,46 +292,90 @@ def q_random_split(spark, sf_dir):
 
 
 def _scored_run(spark, sf_dir, classifier=None, name="lr", out_dir=None):
+    from cartwise.ml.model import logistic
     from cartwise.plans.intent import run_intent
     inp, xy = _intent_inputs(spark, sf_dir)
-    return run_intent(inp.events, inp.items, classifier=classifier, xy=xy, name=name, relative_error=0.0,
-                      out_dir=out_dir)
+    return run_intent(inp.events, inp.items, classifier=classifier or logistic(**OPTIMUM), xy=xy, name=name,
+                      relative_error=0.0, out_dir=out_dir)
 
 
 def q_score_logistic(spark, sf_dir):
-    return _ranked(_scored_run(spark, sf_dir).topk)
+    """The ranked items of the test slice with their scores."""
+    return _scored_run(spark, sf_dir).topk.select("session_id", "itemid", _rounded("p_buy"))
 
 
 def q_score_forest(spark, sf_dir):
-    """Ranked from the top-K table that the job writes."""
+    """From the top-K table that the job publishes: per session how many items
+    were ranked, and whether each has the score that the forest gave it."""
     from cartwise.ml.model import forest
+    from cartwise.sources import sinks
     folder = _new_folder(spark, "forest")
-    _scored_run(spark, sf_dir, forest(), "rf", out_dir=folder)
-    return _ranked(spark.read.parquet(f"{folder}/purchase_intent_top5_rf"))
+    run = _scored_run(spark, sf_dir, forest(), "rf", out_dir=folder)
+    top = sinks.read_published(spark, f"{folder}/purchase_intent_top5_rf")
+    p = F.col("p_buy")
+    return top.join(run.preds.select("session_id", "itemid", "p1"), ["session_id", "itemid"]).groupBy("session_id").agg(
+        F.count("*").alias("n_ranked"), F.bool_and((p == F.col("p1")) & p.between(0.0, 1.0)).alias("p_in_range"))
 
 
 def q_score_saved_model(spark, sf_dir):
-    """The job writes its top-K table and pipeline; the test slice is scored
-    again with the saved pipeline and counted beside the written table."""
-    from cartwise.ml.score import recover_predictions
+    """The job publishes its top-K table and saves its pipeline; the test slice
+    is scored again with the saved pipeline and set beside the table."""
+    from cartwise.ml.score import predictions_from
+    from cartwise.sources import sinks
     folder = _new_folder(spark, "saved-model")
     run = _scored_run(spark, sf_dir, out_dir=folder)
     test = run.xy.filter(F.col("session_start_ts") > run.cutoff)
-    again = recover_predictions(test=test, saved_path=f"{folder}/models/lr_pipeline")
-    written = spark.read.parquet(f"{folder}/purchase_intent_top5_lr")
-    return _ranked(scoring.top_k(again)).join(
-        written.groupBy("session_id").agg(F.count("*").alias("n_written")), "session_id")
+    again = predictions_from(f"{folder}/models/lr_pipeline", test)
+    written = sinks.read_published(spark, f"{folder}/purchase_intent_top5_lr")
+    return scoring.top_k(again).join(written.withColumnRenamed("p_buy", "p_written"), ["session_id", "itemid"], "full") \
+        .select("session_id", "itemid", _rounded("p_buy"), _rounded("p_written"))
+
+
+def q_fitted_metrics(spark, sf_dir):
+    """Metrics and confusion counts of the fitted logistic regression on the test slice."""
+    run = _scored_run(spark, sf_dir)
+    cells = {f"n{r['label']}{r['pred']}": r["count"] for r in run.confusion.collect()}
+    return spark.range(1).select(
+        *[F.round(F.lit(run.metrics[k]), 6).alias(k) for k in ("auroc", "auprc", "auprc_p1")],
+        *[F.lit(cells.get(k, 0)).cast("long").alias(k) for k in ("n00", "n01", "n10", "n11")])
+
+
+def _balanced(spark, sf_dir):
+    from cartwise.plans.materialize import materialize
+    _, xy = _intent_inputs(spark, sf_dir)
+    train, _, _ = split.temporal_split(xy, relative_error=0.0)
+    return materialize(split.downsample_negatives(train)[0], "balanced")
+
+
+def q_feature_vector(spark, sf_dir):
+    """The training rows' feature vectors as the classifiers see them, entry by entry."""
+    from cartwise.ml import model as M
+    from cartwise.ml.inspect import feature_entries
+    rows = _balanced(spark, sf_dir)
+    entries = feature_entries(M.train_intent(rows), rows, ["session_id", "itemid"])
+    return entries.select("session_id", "itemid", "feature", F.round("value", 6).alias("value"))
+
+
+def q_logistic_gradient(spark, sf_dir):
+    """Per feature, whether the likelihood's gradient vanishes at the fitted coefficients."""
+    from cartwise.ml import model as M
+    from cartwise.ml.inspect import logistic_gradient
+    rows = _balanced(spark, sf_dir)
+    found = logistic_gradient(M.train_intent(rows, M.logistic(**OPTIMUM)), rows)
+    return found.select("feature", (F.abs("gradient") < 1e-4).alias("stationary"))
+
+
+def _class_names(model, preds):
+    names = model.classes.select(F.col("idx").cast("double").alias("prediction"), F.col("value").alias("predicted"))
+    return preds.join(names, "prediction")
 
 
 def q_train_multiclass(spark, sf_dir):
     from cartwise.ml.model import train_generic
     m = train_generic(table(spark, sf_dir, "orders"), "o_orderstatus",
                       num_cols=["o_totalprice", "o_custkey"], cat_cols=["o_orderpriority"],
-                      model_type="lr", split_cols=["o_orderkey"])
-    n = float(m.n_classes)
-    return m.test_preds.select(
-        "o_orderkey", "o_orderstatus", F.col("p_max").between(1 / n, 1.0).alias("p_max_ok"),
-        F.col("prediction").between(0.0, n - 1).alias("class_ok"))
+                      model_type="lr", split_cols=["o_orderkey"], lr_params=OPTIMUM)
+    return _class_names(m, m.test_preds).select("o_orderkey", "o_orderstatus", "predicted", _rounded("p_max"))
 
 
 def q_train_binary(spark, sf_dir):
@@ -338,10 +383,37 @@ def q_train_binary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     data = table(spark, sf_dir, "labels").join(docs, "doc_id", "inner")
     m = train_generic(data, "quality", num_cols=["n_chars", "toxic"], cat_cols=["lang", "source"],
-                      model_type="lr", split_cols=["doc_id"])
-    likely = (F.col("p1") > 0.5).cast("double")
-    return m.test_preds.select("doc_id", "quality", F.col("p1").between(0.0, 1.0).alias("p_in_range"),
-                               (F.col("prediction") == likely).alias("class_ok"))
+                      model_type="lr", split_cols=["doc_id"], lr_params=OPTIMUM)
+    return _class_names(m, m.test_preds).select("doc_id", "quality", "predicted", _rounded("p1"))
+
+
+def q_forest_rule(spark, sf_dir):
+    """A forest on rows whose label is a rule over three columns, so that the
+    right class of every test row is known."""
+    from cartwise.ml.model import train_generic
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"),
+        F.round(F.col("l_discount").cast("double") * 100).alias("discount"), F.round(
+            F.col("l_tax").cast("double") * 100).alias("tax"))
+    high = (F.col("quantity") > 30) & (F.col("discount") >= 5)
+    low = (F.col("quantity") <= 12) & (F.col("tax") < 3)
+    m = train_generic(line.withColumn("dear", F.when(high | low, "yes").otherwise("no")), "dear",
+                      num_cols=["quantity", "discount", "tax"], cat_cols=[], split_cols=["l_orderkey", "l_linenumber"],
+                      rf_params={"num_trees": 40})
+    return _class_names(m, m.test_preds).select("l_orderkey", "l_linenumber", "predicted")
+
+
+def q_category_index(spark, sf_dir):
+    """The numbers of two columns' values, one of them with a value per row,
+    learned on four fifths of the rows and applied to all."""
+    from cartwise.ml.dictionary import DictionaryIndexer
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("row_key"))
+    rows = split.random_split_flag(line, key_cols=["row_key"])
+    model = DictionaryIndexer(inputCols=["l_partkey", "row_key"], outputCols=["part_idx", "key_idx"]) \
+        .fit(rows.filter("is_test = 0"))
+    return model.transform(rows).select("l_orderkey", "l_linenumber", "part_idx", "key_idx")
 
 
 def q_app_score_view(spark, sf_dir):
@@ -353,9 +425,9 @@ def q_app_score_view(spark, sf_dir):
     from cartwise.plans.app import score_view
     xy = _xy(spark, sf_dir, gap=30, cut_lineage=True)
     m = train_generic(xy, "label", num_cols=NUM_COLS, cat_cols=CAT_COLS, model_type="lr",
-                      split_cols=["session_id", "itemid"])
+                      split_cols=["session_id", "itemid"], lr_params=OPTIMUM)
     explore.register(xy.drop("label"), "dataset")
-    return _ranked(score_view(spark, m, "dataset").topk, "score")
+    return score_view(spark, m, "dataset").topk.select("session_id", "itemid", _rounded("score"))
 
 
 def q_session_intent_model(spark, sf_dir):
@@ -369,13 +441,37 @@ def q_session_intent_model(spark, sf_dir):
         feats.select("session_id", "views", "adds", "distinct_products", "session_hour",
                      (F.col("txns") > 0).cast("int").alias("purchase_intent")), key_cols=["session_id"])
     rows = materialize(rows, "session-intent-rows")
-    model = M.train_session_intent(rows.filter("is_test = 0"))
+    model = M.train_session_intent(rows.filter("is_test = 0"), **OPTIMUM)
     path = _new_folder(spark, "session-intent")
     M.save(model, path)
     first = score(model, rows).select(*rows.columns, F.col("p1").alias("p_first"))
     again = score_from_saved(path, first)
-    return again.select(*rows.columns, F.col("p1").between(0.0, 1.0).alias("p_in_range"),
-                        (F.col("p1") == F.col("p_first")).alias("reload_ok"))
+    return again.select(*rows.columns, _rounded("p1"), (F.col("p1") == F.col("p_first")).alias("reload_ok"))
+
+
+def q_approx_cutoff(spark, sf_dir):
+    """The time split's approximate cut-off from one sketch per day of the
+    training frame, and whether its rank is within a thousandth of the rows."""
+    from cartwise.constants import SPLIT_RELATIVE_ERROR
+    from cartwise.plans.materialize import materialize
+    xy = _xy(spark, sf_dir, cut_lineage=True)
+    day = F.floor(F.col("session_start_ts") / 86400).alias("day")
+    sketches = materialize(split.start_sketches(xy.select(day, "session_start_ts"), ["day"]), "start-sketches")
+    found = split.rank_error(xy, split.sketched_cutoff(sketches))
+    return found.select("n", "rows", (F.col("rank_error") <= SPLIT_RELATIVE_ERROR).alias("close"))
+
+
+def q_exact_areas(spark, sf_dir):
+    """Areas under the curves of a score with a value of its own in nearly
+    every row: a hash of the row, raised with the quantity."""
+    from cartwise.functions import key_hash
+    from cartwise.operators.curves import areas
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", F.explode(F.array(F.lit(1), F.lit(2))).alias("part"))
+    score = key_hash(["l_orderkey", "l_linenumber", "part"], 42) / F.lit(float(1 << 60)) + F.col("l_quantity") / 50
+    label = ((F.col("l_quantity") + 10 * F.col("part")) % 3 == 0).cast("int")
+    found = areas(line.select(score.alias("p1"), label.alias("label")))
+    return found.select(F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"), "n_scores")
 
 
 # --- the clickstream files: written by the sinks, read by the CSV sources ------
@@ -384,7 +480,7 @@ def q_csv_clean_events(spark, sf_dir):
     from cartwise.operators.clean import clean_events
     from cartwise.sources import read_events, sinks
     raw = load_inputs(spark, sf_dir).events_raw
-    path = f"{_new_folder(spark, "csv")}/events.csv"
+    path = f"{_new_folder(spark, 'csv')}/events.csv"
     sinks.export_csv(raw.select(F.unix_millis("ts").alias("timestamp"), "visitorid", "event", "itemid",
                                 "transactionid"), path)
     return clean_events(read_events(spark, path)).select("visitorid", "event", "itemid", _us("ts"))
@@ -404,7 +500,7 @@ def q_csv_any_table(spark, sf_dir):
     """Nations under regions as a category tree, through the any-table reader
     and the category source."""
     from cartwise.sources import read_any, read_categories, sinks, validate
-    path = f"{_new_folder(spark, "csv")}/category_tree.csv"
+    path = f"{_new_folder(spark, 'csv')}/category_tree.csv"
     nation = table(spark, sf_dir, "nation")
     sinks.export_csv(nation.select(F.col("n_nationkey").alias("categoryid"), F.col("n_regionkey").alias("parentid")), path)
     tree = read_any(spark, path).join(read_categories(spark, path), ["categoryid", "parentid"])
@@ -462,6 +558,13 @@ QUERIES: dict[str, Query] = {
     "downsample_negatives": q_downsample_negatives,
     "random_split": q_random_split,
     "score_logistic": q_score_logistic,
+    "fitted_metrics": q_fitted_metrics,
+    "feature_vector": q_feature_vector,
+    "logistic_gradient": q_logistic_gradient,
+    "category_index": q_category_index,
+    "forest_rule": q_forest_rule,
+    "approx_cutoff": q_approx_cutoff,
+    "exact_areas": q_exact_areas,
     "score_forest": q_score_forest,
     "score_saved_model": q_score_saved_model,
     "train_multiclass": q_train_multiclass,

@@ -59,13 +59,15 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     rf_kw = {k: v for k, v in (("num_trees", a.rf_trees), ("max_depth", a.rf_depth)) if v}
     makers = {"lr": lambda: M.logistic(), "rf": lambda: M.forest(**rf_kw)}
     classifiers = {m: makers[m]() for m in a.models.split(",") if m}
-    runs = run_models(events, items, classifiers, gap_minutes=a.gap_minutes, k=a.k, out_dir=a.out)
-    metrics = {name: dict(run.metrics, cutoff=float(run.cutoff), neg_fraction=run.neg_fraction)
-               for name, run in runs.items()}
-    rows = [dict(model=name, **m) for name, m in metrics.items()]
-    spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").json(os.path.join(a.out, "metrics"))
-    if own_session:             # the results are written; a caller's session may hold other tables
-        drop_tables(spark)
+    try:
+        runs = run_models(events, items, classifiers, gap_minutes=a.gap_minutes, k=a.k, out_dir=a.out)
+        metrics = {name: dict(run.metrics, cutoff=float(run.cutoff), neg_fraction=run.neg_fraction)
+                   for name, run in runs.items()}
+        rows = [dict(model=name, **m) for name, m in metrics.items()]
+        spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").json(os.path.join(a.out, "metrics"))
+    finally:
+        if own_session:         # written or failed; a caller's session may hold other tables
+            drop_tables(spark)
     return metrics
 
 

@@ -10,8 +10,9 @@ from cartwise.config import ensure_checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for ``name`` under the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    """A path for ``name`` under this application's tables in the shared
+    checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -31,7 +32,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Remove the tables of this session's checkpoint folder, to be called
-    when the job's results are written."""
+    """Remove this application's tables from the shared folder, to be called
+    when the job's results are written or have failed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, ""))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,9 @@ oracle. Column names and types match the Spark results."""
 
 from __future__ import annotations
 
+from cartwise.constants import NUM_COLS, SESSION_COLS
+from cartwise.plans.oracle_fit import design, fitted
+
 EV = """
 ev AS (
   SELECT user_id AS visitorid,
@@ -150,6 +153,69 @@ def _slice(gap: int) -> str:
 RANKED = ("SELECT session_id, least(5, count(*)) AS n_ranked, true AS p_in_range FROM {0} "
           "GROUP BY session_id")
 
+
+def _class_numbers(value: str, source: str) -> str:
+    """Classes numbered by falling frequency, ties by value."""
+    return (f"classes AS (SELECT CAST({value} AS VARCHAR) AS value, row_number() OVER (ORDER BY count(*) DESC, "
+            f"CAST({value} AS VARCHAR)) - 1 AS k FROM {source} WHERE {value} IS NOT NULL GROUP BY 1)")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _zeros(cols) -> str:
+    return ", ".join(f"coalesce({c}, 0) AS {c}" for c in cols)
+
+
+def _fit(source: str, numeric, categories, classes: int = 2) -> str:
+    """CTEs from src to scored: the optimum's probabilities."""
+    return f"{source},{design('src', numeric, categories)},{fitted(classes)}\n"
+
+
+def _balanced_src() -> str:
+    """src: the training frame's rows; the balanced rows of the time split are for training."""
+    return _recursive(_slice(30)).rstrip() + (
+        ",\nf AS (SELECT least(1.0, 3.0 * greatest(1, count(*) FILTER (WHERE label = 1)) "
+        "/ greatest(1, count(*) FILTER (WHERE label = 0))) AS frac FROM train),\n"
+        "src AS MATERIALIZED (SELECT session_id || '|' || itemid AS id, session_id, itemid, label, label AS k, "
+        "session_start_ts > (SELECT q FROM cut) AS is_test, session_start_ts <= (SELECT q FROM cut) AND (label = 1 OR "
+        f"{key_hash('session_id', 'itemid')} < {share('SELECT frac FROM f')}) AS is_train, "
+        f"{_zeros(NUM_COLS)}, categoryid FROM xy)")
+
+
+def _intent_fit() -> str:
+    """pred: the test slice with its probabilities."""
+    return _fit(_balanced_src(), NUM_COLS, ["categoryid"]).rstrip() + (
+        ",\npred AS MATERIALIZED (SELECT session_id, itemid, label, p AS p1 FROM src JOIN scored USING (id) "
+        "WHERE scored.k = 1 AND is_test)\n")
+
+
+def _app_fit() -> str:
+    return _fit(_recursive(_xy(30)).rstrip() + (
+        ",\nsrc AS MATERIALIZED (SELECT session_id || '|' || itemid AS id, session_id, itemid, label AS k, "
+        f"{key_hash('session_id', 'itemid')} >= {share('0.2')} AS is_train, {_zeros(NUM_COLS)}, categoryid FROM xy)"),
+        NUM_COLS, ["categoryid"]).rstrip() + (
+        ",\npred AS (SELECT session_id, itemid, p AS p1 FROM src JOIN scored USING (id) WHERE scored.k = 1)\n")
+
+
+def _generic_fit(source: str, key: str, target: str, numeric, categories, classes: int) -> str:
+    """test: the test side's rows with the probabilities of their classes."""
+    return _fit("WITH RECURSIVE " + _class_numbers(target, source) + (
+        f",\nsrc AS MATERIALIZED (SELECT {key} AS id, {target} AS target, k, {key_hash(key)} >= {share('0.2')} AS is_train, "
+        f"{_zeros(numeric)}, {', '.join(categories)} FROM {source} JOIN classes ON value = CAST({target} AS VARCHAR))"),
+        numeric, categories, classes).rstrip() + (
+        ",\nbest AS (SELECT id, arg_max(value, p) AS predicted, max(p) AS p_max, max(p) FILTER (WHERE k = 1) AS p1 "
+        "FROM scored JOIN classes USING (k) GROUP BY id),\n"
+        "test AS (SELECT id, target, predicted, p_max, p1 FROM src JOIN best USING (id) WHERE NOT is_train)\n")
+
+
+LABELLED = "(SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id))"
+
+TOP5 = ("SELECT session_id, itemid, round(p1, 3) AS {0} FROM (SELECT *, row_number() OVER (PARTITION BY session_id "
+        "ORDER BY p1 DESC, itemid) AS rk FROM pred) WHERE rk <= 5")
+
+
 METRICS = """
 byscore AS (SELECT p1, sum(label) AS pos, count(*) - sum(label) AS neg FROM xys GROUP BY p1),
 curve AS (
@@ -287,20 +353,58 @@ ORACLE: dict[str, str] = {
         "round((SELECT sum(d_recall * precisions / 2) FROM steps), 9) AS auprc, "
         "round((SELECT CAST(sum(n) FILTER (WHERE label = pred) AS DOUBLE) / sum(n) FROM cells), 9) AS accuracy, "
         "round((SELECT sum(coalesce(2.0 * tp / (actual + called), 0) * actual) / sum(actual) FROM classes), 9) AS f1"),
-    "score_logistic": _slice(30) + RANKED.format("test"),
+    "score_logistic": _intent_fit() + TOP5.format("p_buy"),
     "score_forest": _slice(30) + RANKED.format("test"),
-    "score_saved_model": _slice(30) + RANKED.format("test").replace(
-        " AS n_ranked,", " AS n_ranked, least(5, count(*)) AS n_written,"),
-    "app_score_view": _xy(30) + RANKED.format("xy"),
-    "train_multiclass": ("SELECT o_orderkey, o_orderstatus, true AS p_max_ok, true AS class_ok FROM orders "
-                         f"WHERE o_orderstatus IS NOT NULL AND {key_hash('o_orderkey')} < {share('0.2')}"),
-    "train_binary": ("SELECT l.doc_id, l.quality, true AS p_in_range, true AS class_ok "
-                     "FROM labels l JOIN documents d ON l.doc_id = d.doc_id "
-                     f"WHERE l.quality IS NOT NULL AND {key_hash('l.doc_id')} < {share('0.2')}"),
-    "session_intent_model": _with(EV, sess(30), SF) + (
-        "SELECT session_id, views, adds, distinct_products, session_hour, CAST(txns > 0 AS INTEGER) "
-        f"AS purchase_intent, CAST({key_hash('session_id')} < {share('0.2')} AS INTEGER) AS is_test, "
-        "true AS p_in_range, true AS reload_ok FROM sf"),
+    "score_saved_model": _intent_fit() + TOP5.format("p_buy").replace(
+        "AS p_buy", "AS p_buy, round(p1, 3) AS p_written", 1),
+    "app_score_view": _app_fit() + TOP5.format("score"),
+    "fitted_metrics": _intent_fit().rstrip() + "," + METRICS.replace("xys", "pred") + (
+        ",\narea AS (SELECT round((SELECT sum(d_fpr * recalls / 2) FROM steps), 6) AS auroc, "
+        "round((SELECT sum(d_recall * precisions / 2) FROM steps), 6) AS auprc) "
+        "SELECT auroc, auprc, auprc AS auprc_p1, "
+        + ", ".join(f"(SELECT count(*) FROM pred WHERE label = {y} AND (p1 >= 0.5) = {p}) AS n{y}{int(p)}"
+                    for y in (0, 1) for p in (False, True)) + " FROM area"),
+    "feature_vector": _balanced_src() + "," + design("src", NUM_COLS, ["categoryid"]) + """,
+ranked AS (
+  SELECT categoryid, row_number() OVER (ORDER BY count(*) DESC, CAST(categoryid AS VARCHAR)) - 1 AS place
+  FROM src WHERE is_train AND categoryid IS NOT NULL GROUP BY categoryid)
+SELECT session_id, itemid, coalesce('categoryid_oh_' || place, f) AS feature, round(lx.v, 6) AS value
+FROM lx JOIN numbered USING (j) JOIN src USING (id) LEFT JOIN ranked ON f = 'categoryid=' || ranked.categoryid
+WHERE src.is_train""",
+    "logistic_gradient": _balanced_src() + ("\nSELECT '(intercept)' AS feature, true AS stationary UNION ALL "
+        + " UNION ALL ".join(f"SELECT '{c}', true" for c in NUM_COLS) + " UNION ALL "
+        "SELECT 'categoryid_oh_' || (row_number() OVER () - 1), true FROM (SELECT DISTINCT categoryid FROM src "
+        "WHERE is_train AND categoryid IS NOT NULL)"),
+    "category_index": ("WITH line AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS part, "
+        "l_orderkey || '-' || l_linenumber AS row_key FROM lineitem),\n"
+        f"learned AS (SELECT * FROM line WHERE {key_hash('row_key')} >= {share('0.2')}),\n"
+        + ",\n".join(f"n_{c} AS (SELECT {c}, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS DOUBLE) AS idx "
+                     f"FROM learned GROUP BY {c})" for c in ("part", "row_key"))
+        + "\nSELECT l_orderkey, l_linenumber, coalesce(p.idx, (SELECT count(*) FROM n_part)) AS part_idx, "
+        "coalesce(r.idx, (SELECT count(*) FROM n_row_key)) AS key_idx "
+        "FROM line LEFT JOIN n_part p USING (part) LEFT JOIN n_row_key r USING (row_key)"),
+    "forest_rule": ("SELECT l_orderkey, l_linenumber, CASE WHEN (l_quantity > 30 AND round(l_discount * 100) >= 5) "
+        "OR (l_quantity <= 12 AND round(l_tax * 100) < 3) THEN 'yes' ELSE 'no' END AS predicted FROM lineitem "
+        f"WHERE {key_hash('l_orderkey', 'l_linenumber')} < {share('0.2')}"),
+    "train_multiclass": _generic_fit("orders", "o_orderkey", "o_orderstatus", ["o_totalprice", "o_custkey"],
+                                     ["o_orderpriority"], 3)
+        + "SELECT id AS o_orderkey, target AS o_orderstatus, predicted, round(p_max, 3) AS p_max FROM test",
+    "train_binary": _generic_fit(LABELLED, "doc_id", "quality", ["n_chars", "toxic"], ["lang", "source"], 2)
+        + "SELECT id AS doc_id, target AS quality, predicted, round(p1, 3) AS p1 FROM test",
+    "session_intent_model": _fit(_recursive(_with(EV, sess(30), SF)).rstrip() + (
+        ",\nsrc AS MATERIALIZED (SELECT session_id AS id, views, adds, distinct_products, session_hour, "
+        f"CAST(txns > 0 AS INTEGER) AS k, {key_hash('session_id')} >= {share('0.2')} AS is_train FROM sf)"),
+        SESSION_COLS, []) + (
+        "SELECT id AS session_id, views, adds, distinct_products, session_hour, src.k AS purchase_intent, "
+        "CAST(NOT is_train AS INTEGER) AS is_test, round(p, 3) AS p1, true AS reload_ok "
+        "FROM src JOIN scored USING (id) WHERE scored.k = 1"),
+    "approx_cutoff": _xy() + "SELECT count(*) AS n, count(*) AS rows, true AS close FROM xy",
+    "exact_areas": ("WITH xys AS (SELECT "
+        f"{key_hash('l_orderkey', 'l_linenumber', 'part')} / 1152921504606846976.0 + l_quantity / 50 AS p1, "
+        "CAST((l_quantity + 10 * part) % 3 = 0 AS INTEGER) AS label "
+        "FROM lineitem, (SELECT unnest([1, 2]) AS part)),") + METRICS + (
+        " SELECT round((SELECT sum(d_fpr * recalls / 2) FROM steps), 9) AS auroc, "
+        "round((SELECT sum(d_recall * precisions / 2) FROM steps), 9) AS auprc, (SELECT count(*) FROM byscore) AS n_scores"),
     "csv_clean_events": _with(EV) + ("SELECT visitorid, event, itemid, epoch_us(ts) // 1000 * 1000 AS ts_us "
                                      "FROM (SELECT * REPLACE (CAST(visitorid AS VARCHAR) AS visitorid) FROM clean)"),
     "csv_items_wide": _with(PROPS) + "SELECT itemid, CAST(categoryid AS DOUBLE) AS categoryid, CAST(available AS DOUBLE) AS available, price FROM wide",

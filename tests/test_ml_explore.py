@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cartwise.constants import NUM_COLS
 from cartwise.ml import model as M
-from cartwise.ml.score import recover_predictions, score, score_from_saved, score_view
+from cartwise.ml.score import predictions_from, score, score_from_saved, score_view
 from cartwise.operators import explore
 from cartwise.sources import read_any, read_events, read_item_properties, sinks, validate
 
@@ -36,9 +36,11 @@ def test_logistic_pipeline_probabilities_and_save_load(spark, feature_rows, scra
     assert [r.p1 for r in again.collect()] == pytest.approx([r.p1 for r in first.collect()])
     met = M.evaluate_binary(preds)
     assert 0.5 <= met["auroc"] <= 1.0
-    assert recover_predictions(model=model, test=feature_rows).count() == feature_rows.count()
-    with pytest.raises(RuntimeError):
-        recover_predictions()
+    for source in (model, path, model.transform(feature_rows)):
+        found = predictions_from(source, feature_rows).select("session_id", "itemid", "p1").orderBy("session_id", "itemid")
+        assert [r.p1 for r in found.collect()] == pytest.approx([r.p1 for r in first.collect()])
+    with pytest.raises(ValueError, match="rows"):
+        predictions_from(path)
 
 
 def test_forest_small(spark, feature_rows):
@@ -74,7 +76,7 @@ def test_generic_binary_p1_class(spark):
     assert set(m.metrics) == {"auroc", "auprc"}
 
 
-@pytest.mark.parametrize("encoder", ["index", "hash"])
+@pytest.mark.parametrize("encoder", ["dictionary", "index", "hash"])
 def test_generic_takes_a_column_of_many_values(spark, encoder):
     df = spark.createDataFrame([(f"id{i}", float(i), i % 2) for i in range(300)], "s string, x double, target int")
     m = M.train_generic(df, "target", num_cols=["x"], cat_cols=["s"], model_type="lr", encoder=encoder)
@@ -120,7 +122,8 @@ def test_explore_surface(spark):
     assert explore.numeric_columns(df, exclude=["i"]) == ["d"] and explore.string_columns(df) == ["s"]
     summ = {r.column: r for r in explore.numeric_summary(df).collect()}
     assert summ["i"]["count"] == 3 and summ["i"]["mean"] == 2.0 and summ["d"]["max"] == 4.5
-    assert explore.numeric_summary(df.select("s")).columns == ["msg"]
+    none = explore.numeric_summary(df.select("s"))
+    assert none.columns == explore.numeric_summary(df).columns and none.count() == 0
     assert "|-- s: string" in explore.schema_tree(df)
     explore.register(df, "dataset")
     assert explore.head(explore.run_sql(spark, explore.default_sql()), 2).count() == 2

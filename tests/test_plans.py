@@ -67,7 +67,7 @@ def test_intent_job_end_to_end(spark, scratch):
     inp = load_inputs(spark, SMALL)
     run = run_intent(inp.events, inp.items, out_dir=scratch, name="lr")
     assert set(run.metrics) == {"auroc", "auprc", "auprc_p1"}
-    top = spark.read.parquet(os.path.join(scratch, "purchase_intent_top5_lr"))
+    top = sinks.read_published(spark, os.path.join(scratch, "purchase_intent_top5_lr"))
     assert top.columns == ["session_id", "itemid", "p_buy"]
     assert top.groupBy("session_id").count().filter("count > 5").count() == 0
     assert top.count() == run.topk.count()
@@ -104,7 +104,7 @@ def test_batch_job_on_warehouse_and_csv(spark, scratch):
              spark=spark)
     assert set(m) == {"lr", "rf"} and 0.0 <= m["lr"]["auroc"] <= 1.0
     assert spark.read.json(os.path.join(out, "metrics")).count() == 2
-    assert spark.read.parquet(os.path.join(out, "purchase_intent_top5_rf")).count() > 0
+    assert sinks.read_published(spark, os.path.join(out, "purchase_intent_top5_rf")).count() > 0
     # the CSV layout: events + two property parts
     d = os.path.join(scratch, "csv")
     os.makedirs(d)
