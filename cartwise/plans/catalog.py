@@ -387,19 +387,20 @@ def q_train_binary(spark, sf_dir):
     return _class_names(m, m.test_preds).select("doc_id", "quality", "predicted", _rounded("p1"))
 
 
-def q_forest_rule(spark, sf_dir):
-    """A forest on rows whose label is a rule over three columns, so that the
-    right class of every test row is known."""
+def q_forest_rule(spark, sf_dir, rf_params=None):
+    """A forest on rows whose label is a rule over three columns (the fields of
+    a chessboard, turned round by a third column), so that the right class of
+    every test row is known."""
     from cartwise.ml.model import train_generic
     line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"),
         F.round(F.col("l_discount").cast("double") * 100).alias("discount"), F.round(
             F.col("l_tax").cast("double") * 100).alias("tax"))
-    high = (F.col("quantity") > 30) & (F.col("discount") >= 5)
-    low = (F.col("quantity") <= 12) & (F.col("tax") < 3)
-    m = train_generic(line.withColumn("dear", F.when(high | low, "yes").otherwise("no")), "dear",
+    odd_field = (F.floor(F.col("quantity") / 10) + F.floor(F.col("discount") / 4)) % 2 == 1
+    rule = odd_field != (F.col("tax") >= 5)
+    m = train_generic(line.withColumn("dear", F.when(rule, "yes").otherwise("no")), "dear",
                       num_cols=["quantity", "discount", "tax"], cat_cols=[], split_cols=["l_orderkey", "l_linenumber"],
-                      rf_params={"num_trees": 40})
+                      rf_params={"num_trees": 40, **(rf_params or {})})
     return _class_names(m, m.test_preds).select("l_orderkey", "l_linenumber", "predicted")
 
 

@@ -383,8 +383,8 @@ WHERE src.is_train""",
         + "\nSELECT l_orderkey, l_linenumber, coalesce(p.idx, (SELECT count(*) FROM n_part)) AS part_idx, "
         "coalesce(r.idx, (SELECT count(*) FROM n_row_key)) AS key_idx "
         "FROM line LEFT JOIN n_part p USING (part) LEFT JOIN n_row_key r USING (row_key)"),
-    "forest_rule": ("SELECT l_orderkey, l_linenumber, CASE WHEN (l_quantity > 30 AND round(l_discount * 100) >= 5) "
-        "OR (l_quantity <= 12 AND round(l_tax * 100) < 3) THEN 'yes' ELSE 'no' END AS predicted FROM lineitem "
+    "forest_rule": ("SELECT l_orderkey, l_linenumber, CASE WHEN ((floor(l_quantity / 10) + "
+        "floor(round(l_discount * 100) / 4)) % 2 = 1) <> (round(l_tax * 100) >= 5) THEN 'yes' ELSE 'no' END AS predicted FROM lineitem "
         f"WHERE {key_hash('l_orderkey', 'l_linenumber')} < {share('0.2')}"),
     "train_multiclass": _generic_fit("orders", "o_orderkey", "o_orderstatus", ["o_totalprice", "o_custkey"],
                                      ["o_orderpriority"], 3)
