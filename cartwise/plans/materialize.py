@@ -12,7 +12,7 @@ from cartwise.config import ensure_checkpoint_dir
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for ``name`` under this application's tables in the shared
     checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/tables/{name}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
