@@ -1,12 +1,13 @@
 """Token counts through a two-tier table of pre-token lengths.
 
 A text's token count is the sum of its pre-tokens' counts. Tier one is a
-compact table of frequent pre-tokens and their lengths, read off a bounded
-sample and broadcast (at most ``FREQUENT`` entries). Tier two is each worker's
-own bounded table of the other pre-tokens it has met; the tokenizer library
-encodes those that are in neither. So pre-tokens of the corpus are never
-shuffled, and the sample only decides which lengths are at hand first, never
-a count.
+compact table of frequent pre-tokens and their lengths, broadcast. It covers
+all rows: each task keeps a heavy-hitter summary of its pre-tokens, of at most
+``FREQUENT`` entries whatever it reads, and the summaries are merged in a
+tree, whole tables at a time. Tier two is each worker's own bounded table of
+the other pre-tokens it has met; the tokenizer library's model encodes those
+that are in neither. So pre-tokens are never shuffled, and the summaries only
+decide which lengths are at hand first, never a count.
 
 Pre-tokens are cut as the vocabulary file says: special strings first, then
 normalisation (NFC, white space, lower case) and the file's pattern. Texts of
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections import Counter
 from functools import partial
 
 import pyarrow as pa
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwise.llm.batches import add_columns, map_batches, texts_of, worker_state
+from cartwise.plans.materialize import materialize
 
-#: Rows (about) that the frequent pre-tokens are read off, and how many are kept.
-SAMPLE_ROWS = 2_000
-FREQUENT = 65_536
+#: Entries of a summary: a pre-token that is more than one in so many of all is sure to be in it.
+FREQUENT = 16_384
+#: Summaries that are merged in one go.
+MERGED = 32
 #: Entries of a worker's own table before it starts over; bounds memory only.
 TABLE_SIZE = 400_000
 LIMIT = 2_048
@@ -86,13 +91,13 @@ class Lengths(dict):
 
     def __init__(self, library, frequent: dict[str, int]):
         super().__init__(frequent)
-        self.library, self.frequent = library, frequent
+        self.model, self.frequent = without_normalizer(library), frequent
 
     def __missing__(self, word: str) -> int:
         if len(self) > TABLE_SIZE + len(self.frequent):
             self.clear()
             self.update(self.frequent)
-        n = self[word] = len(self.library.encode(word, add_special_tokens=False).ids)
+        n = self[word] = len(self.model.encode(word, add_special_tokens=False).ids)
         return n
 
 
@@ -123,35 +128,71 @@ def _library(vocabulary: bytes):
     return Tokenizer.from_str(vocabulary.decode())
 
 
-def _count_words(batches, vocabulary):
-    """Per batch: pre-token and how often it occurs (sample only)."""
-    from collections import Counter
+def without_normalizer(library):
+    """The library for pre-tokens, which are normalised already: marks that a
+    second normalisation would put in another order stay as they are."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(library.to_str())
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+
+
+def lessened(met: dict[str, int], keep: int) -> dict[str, int]:
+    """At most ``keep`` entries: all counts go down by the first one that has
+    no place, and those that are used up go (Misra and Gries)."""
+    if len(met) <= keep:
+        return met
+    cut = sorted(met.values(), reverse=True)[keep]
+    return {w: n - cut for w, n in met.items() if n > cut}
+
+
+SUMMARY = "node long, words binary, counts binary"
+
+
+def _summary_row(node: int, met: dict[str, int], keep: int) -> pa.RecordBatch:
+    met = lessened(met, keep)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([node], pa.int64()), pa.array(["\n".join(met).encode()], pa.binary()),
+         pa.array([array("q", met.values()).tobytes()], pa.binary())], names=["node", "words", "counts"])
 
-    cutter = Cutter(_library(vocabulary.value))
+
+def _summarise(batches, vocabulary, keep: int):
+    """One row per task: the heavy hitters of all its texts' pre-tokens."""
+    from pyspark import TaskContext
+
+    cutter = worker_state(("cutter", vocabulary.value), lambda: Cutter(_library(vocabulary.value)))
+    met: Counter = Counter()
     for b in batches:
-        met: Counter = Counter()
         for text in texts_of(b.column(0)):
             met.update(cutter.cut(text)[0])
-        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()),
-                                          pa.array(list(met.values()), pa.int64())], names=["word", "n"])
-
-
-def frequent_lengths(df: DataFrame, text_col: str, vocabulary: bytes, rows: int = SAMPLE_ROWS,
-                     keep: int = FREQUENT) -> dict[str, int]:
-    """The most frequent pre-tokens of about ``rows`` rows, with lengths."""
-    total = df.count()
-    if not total:
-        return {}
-    share = min(1.0, rows / total)
-    chosen = F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    sample = df.select(text_col).filter(F.col(text_col).isNotNull() & chosen)
+            if len(met) > 8 * keep:
+                met = Counter(lessened(met, keep))
+    met.pop("", None)
+    yield _summary_row(TaskContext.get().partitionId(), {w: n for w, n in met.items() if "\n" not in w}, keep)
+
+
+def _merger(keep: int):
+    def merge(table: pa.Table) -> pa.Table:
+        met: Counter = Counter()
+        for words, counts in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            if words:
+                met.update(dict(zip(words.decode().split("\n"), array("q", counts), strict=True)))
+        return pa.Table.from_batches([_summary_row(table.column("node")[0].as_py() // MERGED, met, keep)])
+    return merge
+
+
+def frequent_lengths(df: DataFrame, text_col: str, vocabulary: bytes, keep: int = FREQUENT) -> dict[str, int]:
+    """The frequent pre-tokens of all rows, with lengths. What is exchanged is
+    one bounded table per task."""
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
-    counts = map_batches(sample, partial(_count_words, vocabulary=held), "word string, n long")
-    top = (counts.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-           .orderBy(F.desc("n"), "word").limit(keep).collect())
-    library = _library(vocabulary)
-    return {r["word"]: len(library.encode(r["word"], add_special_tokens=False).ids)
-            for r in top if "\n" not in r["word"]}
+    level = materialize(map_batches(df.select(text_col).filter(F.col(text_col).isNotNull()),
+                                    partial(_summarise, vocabulary=held, keep=keep), SUMMARY), "token-summaries")
+    while level.count() > 1:
+        up = level.groupBy(F.floor(F.col("node") / MERGED))
+        level = materialize(up.applyInArrow(_merger(keep), SUMMARY), "token-summaries")
+    row = level.first()
+    lengths = Lengths(_library(vocabulary), {})
+    return {w: lengths[w] for w in bytes(row["words"]).decode().split("\n")} if row and row["words"] else {}
 
 
 def _count_batches(vocabulary, frequent, text_at: int):

@@ -29,6 +29,42 @@ def test_cut_and_lengths_equal_library(library):
         assert sum(lengths[w] for w in words) + specials == count(library, text), text
 
 
+MARKS = [" ", "a", "İ", "i", "é", "Σ", "日", "ﬁ", "가", "ᄀ", "ᅡ", "\u0301", "\u0316", "\u0327", "\u0307", "\u0591", "\u05b4",
+         "\u0323", "\u0345", "\u093c", "\u3099", "1", "'s", ".", "K", "Å"]
+
+
+def test_combining_marks_are_normalised_once(library):
+    cutter, lengths = token_counts.Cutter(library), token_counts.Lengths(library, {})
+    rng = random.Random(7)
+    texts = ["İ\u0591", "İ\u0327", "İ\u0316x"] + ["".join(rng.choice(MARKS) for _ in range(rng.randint(1, 8)))
+                                                  for _ in range(10_000)]
+    for text in texts:
+        words, specials = cutter.cut(text)
+        assert sum(lengths[w] for w in words) + specials == count(library, text), ascii(text)
+
+
+def test_summaries_hold_the_heavy_hitters_of_all_rows(spark, library):
+    rng = random.Random(8)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(400)]
+    texts = [" ".join(["often"] * 3 + [rng.choice(words) for _ in range(12)]) for _ in range(900)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(70)
+    with open(PATH, "rb") as f:
+        content = f.read()
+    got = token_counts.frequent_lengths(df, "text", content, keep=20)
+    assert "often" in got and len(got) <= 20
+    assert all(n == count(library, w) for w, n in got.items())
+    whole = token_counts.frequent_lengths(df, "text", content)
+    assert "often" in whole and len(whole) > 300
+    kept = token_counts.lessened({"a": 9, "b": 5, "c": 2, "d": 2}, 2)
+    assert kept == {"a": 7, "b": 3}
+
+
+def test_no_exchange_of_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = token_counts.count_tokens(docs, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_full_table_starts_over(library, monkeypatch):
     monkeypatch.setattr(token_counts, "TABLE_SIZE", 3)
     lengths = token_counts.Lengths(library, {"the": 1})
