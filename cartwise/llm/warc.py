@@ -13,8 +13,13 @@ the digest and the page referred to.
 Reading. An archive is read front to back with one incremental zlib
 decompressor per gzip member. The header block is read to its empty line, the
 content block to exactly its Content-Length, then the two closing line ends
-and the member's end must follow. Block digests are verified for all records,
-payload digests for full ones. At most one record is in memory.
+and the member's end must follow. Field names count in any letter case, lines
+may be folded, and a blank after the colon is optional. Digests that a record
+has are verified (block digests of all records, payload digests of full ones;
+algorithms that are not known here are passed over); a record without is
+taken as it is. Records of all types give a row: the payload of an HTTP
+message is its body, that of any other record its whole block. At most one
+record is in memory.
 
 Defined results: null html is an empty payload; null and empty ones are equal
 payloads; a null url is written as no target; pages that repeat the smallest
@@ -43,6 +48,8 @@ from cartwise.plans.materialize import materialize, scratch_path
 
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 16
+#: Tasks that read archives, at most, for each shuffle partition of the session.
+READ_WAVES = 4
 RECORD_DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -191,6 +198,37 @@ class Member:
         return self.zip.unused_data
 
 
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Fields by lower-cased name; the first of a repeated one."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in " \t" and name:
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            if name in fields:
+                name = None
+            else:
+                fields[name] = value.strip()
+        elif line:
+            raise BadArchive(f"no header field: {line[:40]!r}")
+    return fields
+
+
+def agrees(digest: str | None, data: bytes) -> bool:
+    """Whether ``algorithm:value`` (base32 or hex) is the data's digest; one
+    that is missing or can't be computed here has nothing against it."""
+    algorithm, _, value = (digest or "").partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    own, value = hashlib.new(algorithm, data), value.strip()
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == \
+        base64.b32encode(own.digest()).decode().rstrip("=")
+
+
 def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, content block) of every record of an open archive."""
     start = source.read(CHUNK)
@@ -199,25 +237,35 @@ def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
         version, *lines = member.until(END).decode().split("\r\n")
         if not version.startswith("WARC/1."):
             raise BadArchive(f"no WARC record: {version[:40]!r}")
-        fields = dict(line.split(": ", 1) for line in lines)
-        block = member.exactly(int(fields["Content-Length"]))
+        fields = header_fields(lines)
+        if not fields.get("content-length", "").isdecimal():
+            raise BadArchive("a record has no Content-Length")
+        block = member.exactly(int(fields["content-length"]))
         if member.exactly(len(END)) != END:
             raise BadArchive("a record is not closed by two line ends")
         start = member.close() or source.read(CHUNK)
-        if fields["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
+        if not agrees(fields.get("warc-block-digest"), block):
             raise BadArchive("block digest")
         yield fields, block
 
 
 def _page_row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
-    head, _, payload = block.partition(END)
-    length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
-    digest, kind = fields["WARC-Payload-Digest"], fields["WARC-Type"]
-    if kind == "response" and (len(payload) != length or digest != f"sha1:{sha1_base32(payload)}"):
+    kind = fields.get("warc-type", "").lower()
+    payload, http = block, {}
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head, _, payload = block.partition(END)
+        http = header_fields(head.decode("latin-1").split("\r\n")[1:])
+    length, full = http.get("content-length", ""), kind != "revisit"
+    if "transfer-encoding" in http:         # the digest may be that of the decoded body
+        length = ""
+    elif full and (length.isdecimal() and len(payload) != int(length)
+                   or not agrees(fields.get("warc-payload-digest"), payload)):
         raise BadArchive("payload digest")
-    ids = [int(fields[k]) if k in fields else None for k in ("X-Page-Id", "X-Refers-To-Page-Id")]
-    return (ids[0], fields.get("WARC-Target-URI"), length, digest.removeprefix("sha1:"), kind, ids[1],
-            payload if with_payload and kind == "response" else None)
+    digest = fields.get("warc-payload-digest") or (sha1_base32(payload) if full else None)
+    ids = [int(fields[k]) if fields.get(k, "").lstrip("-").isdecimal() else None
+           for k in ("x-page-id", "x-refers-to-page-id")]
+    return (ids[0], fields.get("warc-target-uri"), int(length) if length.isdecimal() and not full else len(payload),
+            digest and digest.removeprefix("sha1:"), kind, ids[1], payload if with_payload and full else None)
 
 
 READ_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -239,18 +287,22 @@ def _read_archives(batches, with_payload: bool):
                     if size > (4 << 20) or len(rows) >= 2_000:
                         yield batch(rows)
                         rows, size = [], 0
-            if n != expected:
+            if expected is not None and n != expected:
                 raise BadArchive(f"{path}: {n} records, {expected} were written")
             if rows:
                 yield batch(rows)
 
 
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record of the listed archives. ``payload`` (null for
+    """One row per record of the listed archives (``path`` and, where it is
+    known and to be checked, the number of ``records``). ``payload`` (null for
     revisits) is left out of the rows, but verified, without
-    ``with_payload``."""
-    n = max(1, archives.count())
-    return map_batches(archives.select("path", "records").repartition(n), partial(_read_archives, with_payload=with_payload),
+    ``with_payload``. Archives are dealt out to a bounded number of tasks."""
+    most = READ_WAVES * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(most, archives.count()))
+    expected = F.col("records") if "records" in archives.columns else F.lit(None).cast("long")
+    return map_batches(archives.select("path", expected.alias("records")).repartition(n),
+                       partial(_read_archives, with_payload=with_payload),
                        "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
                        "refers_to long, payload binary")
 

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import os
 import uuid
 import zlib
 
@@ -65,6 +66,43 @@ def member(text):
     return gz.compress(text) + gz.flush()
 
 
+def foreign(kind, fields, block, version="WARC/1.0"):
+    lines = [version, f"warc-type:{kind}", *fields, f"content-length:{len(block)}"]
+    return member("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_foreign_archives_are_read(spark):
+    body = b"<html>hi</html>"
+    http = b"HTTP/1.1 200 OK\r\ncontent-TYPE: text/html\r\nCONTENT-length:  %d\r\n\r\n" % len(body) + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nf\r\n" + body + b"\r\n0\r\n\r\n"
+    sha = hashlib.sha1(body)
+    data = b"".join([
+        foreign("warcinfo", ["Content-Type: application/warc-fields"], b"software: x\r\nformat: WARC File Format 1.0\r\n"),
+        foreign("request", ["Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+        foreign("response", ["WARC-Target-URI:http://x/", "\t?folded", "Content-Type:application/http;msgtype=response",
+                             f"warc-payload-digest: SHA1:{sha.hexdigest()}",
+                             f"WARC-Block-Digest: sha256:{hashlib.sha256(http).hexdigest()}"], http),
+        foreign("response", ["Content-Type: application/http", f"WARC-Payload-Digest: sha1:{sha.hexdigest()}"], chunked),
+        foreign("metadata", ["WARC-Block-Digest: blake3:abc"], b"about"), foreign("resource", [], b""),
+        foreign("revisit", ["Content-Type: application/http"], b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n")])
+    folder = scratch_path(spark, f"warc-foreign-{uuid.uuid4().hex}").removeprefix("file:")
+    os.makedirs(folder)
+    with open(f"{folder}/a.warc.gz", "wb") as f:
+        f.write(data)
+    got = warc.read(spark.createDataFrame([(f"file://{folder}/a.warc.gz",)], "path string")).collect()
+    assert [(r["record_type"], r["payload_bytes"], bytes(r["payload"] or b"")) for r in got] == [
+        ("warcinfo", 43, b"software: x\r\nformat: WARC File Format 1.0\r\n"), ("request", 0, b""),
+        ("response", len(body), body), ("response", len(chunked.partition(warc.END)[2]), chunked.partition(warc.END)[2]),
+        ("metadata", 5, b"about"), ("resource", 0, b""), ("revisit", 99, b"")]
+    assert got[2]["url"] == "http://x/ ?folded" and got[4]["payload_digest"] == warc.sha1_base32(b"about")
+    assert {r["page_id"] for r in got} == {None}
+    for bad in (foreign("metadata", ["warc-block-digest: md5:00"], b"x"),
+                foreign("response", ["content-type: application/http", "warc-payload-digest: sha1:00"], http),
+                member(b"WARC/1.0\r\nwarc-type: metadata\r\n\r\nx\r\n\r\n")):
+        with pytest.raises(warc.BadArchive):
+            [warc._page_row(f, b, True) for f, b in warc.records(io.BytesIO(bad))]
+
+
 def test_bad_archives_are_refused():
     good = warc.page_record(1, "u", b"payload" * 30_000, None, None, False)
     plain = gzip.decompress(good)
