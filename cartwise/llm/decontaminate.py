@@ -30,8 +30,12 @@ The documents' windows are not shuffled where the benchmark's windows are few
 enough to broadcast (counted first; ``BROADCAST_WINDOWS``), otherwise both
 sides are joined by shuffle. Only matched windows are grouped.
 
-Defined results: null and empty texts match nothing; a text or item shorter
-than a window is one window as a whole, so it matches only its whole equal;
+An item shorter than a window is also looked for word by word: each length
+that such items have is a further window size, its windows literal.
+
+Defined results: null and empty texts match nothing; a text shorter than a
+window is one window as a whole (an item, too, where placeholders are
+concerned, so it is met with other values only by its whole equal);
 items with equal texts are each reported; repeated document rows are reported
 once; null ids are kept as a group of their own; empty tables give an empty
 result; extra columns are not read.
@@ -269,12 +273,52 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                                F.col("n_telling").alias("n_windows")),
                       F.struct((met_windows(1) / F.col("n_windows")).alias("share"), met_windows(1).alias("n_matched"),
                                F.col("n_windows").alias("n_windows")))
-    return (aligned.groupBy(*pair).agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+    found = (aligned.groupBy(*pair).agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
             .select("id", "text_key", "item_id", best.alias("best"),
                     F.forall("codes", lambda c: c.bitwiseAND(1) == 1).alias("same"))
             .filter(F.col("best.share") >= min_share)
             .select(F.col("id").alias(id_col), "text_key", "item_id", "best.n_matched", "best.n_windows", "best.share",
                     F.when(F.col("same"), F.lit("copy")).otherwise(F.lit("reparameterised")).alias("kind")))
+    short = short_items(benchmark, item_col, item_text_col, window)
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())        # below the window
+    if not lengths:
+        return found
+    more = short_leaks(texts, short, lengths).select(
+        F.col("id").alias(id_col), "text_key", "item_id", F.lit(1).alias("n_matched"), F.lit(1).alias("n_windows"),
+        F.lit(1.0).alias("share"), F.lit("copy").alias("kind"))
+    # a short item that is the whole text is found by both
+    rest = [c for c in found.columns if c not in (id_col, "text_key", "item_id")]
+    one = F.struct((F.col("kind") == "copy").alias("copied"), *rest)
+    return found.unionByName(more).groupBy(id_col, "text_key", "item_id").agg(F.max(one).alias("one")) \
+        .select(id_col, "text_key", "item_id", *[f"one.{c}" for c in rest])
+
+
+def short_items(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item_id, n, item_words, hash) of the items of fewer than ``window`` words."""
+    words = F.transform(words_of(F.col(text_col)), bare)
+    return (benchmark.select(F.col(item_col).alias("item_id"), words.alias("item_words"))
+            .withColumn("n", F.size("item_words")).filter((F.col("n") > 0) & (F.col("n") < window))
+            .withColumn("hash", F.xxhash64("item_words")).distinct())
+
+
+def short_leaks(texts: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, text_key, item_id) of the documents (id, text) that hold the words
+    of a short item one after the other: by the windows' hashes first, then
+    word by word in the documents that these name."""
+    def windows(ws, k):
+        return F.sequence(F.lit(1), F.greatest(F.size(ws) - (k - 1), F.lit(1)))
+    def with_words(of_words):       # the array of one array binds the words, which are then cut once
+        return F.transform(F.array(F.transform(words_of(F.col("text")), bare)), of_words)[0]
+    def hashes_of(ws, k):
+        return F.transform(windows(ws, k), lambda i: F.xxhash64(F.slice(ws, i, k)))
+    hashes = with_words(lambda ws: F.array_distinct(F.concat(*[hashes_of(ws, k) for k in lengths])))
+    keyed = texts.select("id", "text", F.xxhash64("text").alias("text_key"))
+    met = (keyed.select("id", "text_key", F.explode_outer(hashes).alias("hash")).join(items, "hash")
+           .select(F.col("id").alias("met_id"), F.col("text_key").alias("met_key"), "item_id", "item_words", "n").distinct())
+    holds = with_words(lambda ws: F.exists(windows(ws, F.col("n")), lambda i: F.slice(ws, i, F.col("n"))
+                                           == F.col("item_words")))
+    same = F.col("id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_key"))
+    return keyed.join(materialize(met, "short-items-met"), same).filter(holds).select("id", "text_key", "item_id").distinct()
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

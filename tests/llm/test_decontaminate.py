@@ -27,7 +27,19 @@ def test_copies_and_other_values(spark, bench, limit):
              "these two words", "x " * 50_000 + ITEM, ITEM.replace("buys", "sells").replace("pay", "get")]
     got = found(spark, bench, texts, broadcast_windows=limit)
     assert got == {(0, 1): "copy", (1, 1): "reparameterised", (4, 1): "reparameterised", (8, 3): "copy",
-                   (10, 1): "copy"} | {k: v for k, v in got.items() if k == (3, 1)}
+                   (9, 3): "copy", (10, 1): "copy"} | {k: v for k, v in got.items() if k == (3, 1)}
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_items_shorter_than_a_window(spark, limit):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet exactly?"), (2, "two words"), (3, "One"), (4, "two words"),
+                                   (5, "costs 5 kg")], "item_id long, text string")
+    texts = ["Q: who wrote HAMLET, exactly? A: him", "Who wrote Hamlet?", "two words and two words", "two (words)", "words two",
+             "someone", "that one", "it costs 5 kg", "costs 6 kg", None, "", "word " * 20_000 + "two words"]
+    got = found(spark, items, texts, broadcast_windows=limit)
+    want = {(0, 1): "copy", (2, 2): "copy", (2, 4): "copy", (3, 2): "copy", (3, 4): "copy", (6, 3): "copy",
+            (7, 5): "copy", (11, 2): "copy", (11, 4): "copy"}
+    assert {k: v for k, v in got.items() if k != (8, 5)} == want and got.get((8, 5), "reparameterised") != "copy"
 
 
 def test_long_runs_of_separators(spark, bench):
