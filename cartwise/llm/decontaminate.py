@@ -82,7 +82,7 @@ CAPITAL = (rf"(?=\p{{Lu}}\p{{L}})(?<![\p{{L}}\p{{M}}\p{{Nd}}])"
 
 def words_of(text: Column) -> Column:
     """Lower-cased words; those that can be names carry ``NAME_MARK`` in front."""
-    plain = F.translate(F.coalesce(text, F.lit("")), NAME_MARK, " ")
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(NAME_MARK), F.lit(" "))
     marked = F.regexp_replace(plain, CAPITAL, NAME_MARK)
     # no group under a +: Java's matcher would recurse along a long run of separators
     cut = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NAME_MARK}.,:/]+|[.,:/](?!\p{{Nd}})|(?<!\p{{Nd}})[.,:/]"
