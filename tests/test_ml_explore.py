@@ -49,6 +49,25 @@ def test_forest_small(spark, feature_rows):
     assert preds.filter("p1 < 0 or p1 > 1").count() == 0
 
 
+def test_forest_partitions_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """The feature table's few bytes a row make one file; the fit's partitions go by what a row costs."""
+    from pyspark.ml.classification import RandomForestClassifier
+    seen = []
+    fit = RandomForestClassifier._fit
+
+    def watched(self, rows):
+        seen.append([r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()])
+        return fit(self, rows)
+    monkeypatch.setattr(RandomForestClassifier, "_fit", watched)
+    monkeypatch.setattr(M, "FOREST_NUMBERS", 1000 * (2 * 20 + 1), raising=False)
+    for n in (900, 6000):
+        rows = spark.range(n).coalesce(1).select((F.col("id") % 7).cast("double").alias("x"),
+                                                 (F.col("id") % 7 > 3).cast("int").alias("label"))
+        model = M.train_intent(rows, M.forest(num_trees=20, max_depth=3), num_cols=["x"], cat_cols=())
+        assert score(model, rows).filter("prediction <> label").count() == 0
+    assert [(len(s), sum(s)) for s in seen] == [(1, 900), (6, 6000)] and max(seen[1]) <= 1100
+
+
 def test_auroc_by_hand(spark):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     rows = [(0.9, 1.0), (0.8, 1.0), (0.7, 0.0), (0.6, 1.0), (0.2, 0.0), (0.1, 0.0)]
