@@ -134,6 +134,38 @@ def test_cut_urls_give_exact_rules(spark):
         assert abs(r["support"] - held.count(r["verdict"]) / len(rows)) < 1e-9
 
 
+def test_rules_of_urls_with_many_tokens_are_complete(spark, monkeypatch):
+    """No token is left out where urls have more than ``width``: all rules, by enumeration."""
+    monkeypatch.setattr(url_rules.searched, "__defaults__", (6,))           # many steps
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(250):
+            tokens = [t for t in "abcdefgh" if rng.random() < 0.6]
+            odd = ("a" in tokens) != ("c" in tokens) if seed % 2 else {"d", "e"} <= set(tokens)
+            verdict = "block" if odd and rng.random() < 0.95 else "allow"
+            rows.append((tokens + ["told"] * (verdict == "block" and rng.random() < 0.5), verdict))
+        df = spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3)
+        want = brute_rules([(frozenset(t), v) for t, v in rows], 0.02, 0.8)
+        got = spelled_out(url_rules.mine(df, 0.02, 0.8, width=3))
+        assert {k: tuple(round(x, 9) for x in v) for k, v in got.items()} == \
+            {k: tuple(round(x, 9) for x in v) for k, v in want.items()}
+
+
+def test_less_telling_tokens_of_long_urls_are_mined(spark):
+    """Twenty tokens tell a little each; two tell nothing, but together everything."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(900):
+        x, y = rng.random() < 0.5, rng.random() < 0.5
+        tokens = [f"k{j:02}" for j in range(20) if rng.random() < (0.78 if x == y else 0.7)] + ["x"] * x + ["y"] * y
+        rows.append((tokens, "block" if x == y else "allow"))
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in url_rules.mine(df, 0.1, 0.95)}
+    both = sum({"x", "y"} <= set(t) for t, _ in rows)
+    assert got[("x", "y"), "block"] == (1.0, both / len(rows))
+
+
 def test_loosely_common_keys_are_mined_in_seconds(spark):
     """Query keys that are now and then absent: their combinations double with each key."""
     for keys, mixed in ((16, False), (20, False), (20, True)):
