@@ -229,15 +229,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                       F.posexplode_outer(F.concat("windows", F.col("named.hash"))).alias("place", "hash"))
               .select("id", "text_key", "words", "hash", F.when(F.col("place") < F.col("n_plain"), F.col("place"))
                       .otherwise(F.get("named_at", F.col("place") - F.col("n_plain"))).alias("doc_at")))
+    own_words = F.slice("words", F.col("doc_at") + 1, window).alias("doc_words")
     if few:
-        met = places.join(F.broadcast(bench), "hash")
+        # a window's own words, not the document's: all hits of a document are held at once behind the join, which
+        # with the document's words in each would be memory by the square of its length. Cut for windows that match.
+        met = places.select("id", "text_key", "hash", "doc_at", own_words).join(F.broadcast(bench), "hash")
     else:       # shuffle hashes alone, and fetch the words of documents with a match afterwards
         keys = places.drop("words").join(bench, "hash")
         held = texts.select(F.col("id").alias("held_id"), F.xxhash64("text").alias("held_key"),
                             words_of(F.col("text")).alias("words"))
-        met = keys.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key")))
+        met = keys.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key"))) \
+            .withColumn("doc_words", own_words)
     pair = ["id", "text_key", "item_id", "item_key", "n_telling", "n_windows"]
-    pairs = F.zip_with(F.zip_with("item_words", F.slice("words", F.col("doc_at") + 1, window), lambda i, d: F.struct(
+    pairs = F.zip_with(F.zip_with("item_words", "doc_words", lambda i, d: F.struct(
         i.alias("word"), bare(i).alias("item"), bare(d).alias("doc"))), F.sequence(F.col("item_at"), F.col("item_at") + (
             F.size("item_words") - 1)), lambda p, i: F.struct(i.alias("at"), p["item"].alias("item"), p["doc"].alias("doc"),
                                                              is_slot(p["word"]).alias("slot")))

@@ -146,3 +146,9 @@ def test_native_plan(spark, bench):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = decontaminate.leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_long_document_of_repeated_items_fits_in_memory(spark, bench):
+    """Every window of a long document can be a hit; a hit must not carry the whole document's words."""
+    texts = [" ".join([ITEM] * 1500), f"look: {ITEM}? yes"]
+    assert found(spark, bench, texts) == {(0, 1): "copy", (1, 1): "copy"}
