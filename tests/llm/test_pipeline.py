@@ -57,3 +57,13 @@ def test_stages_keep_columns_and_take_odd_tables(spark):
             out.write.parquet(path)
             docs = spark.read.parquet(path)
             assert docs.groupBy("doc_id").count().filter("count > 1").count() == 0 or name == "language_id"
+
+
+def test_decontamination_stage_takes_long_documents(spark):
+    """A long document that holds a benchmark item all along goes, without memory by the square of its length."""
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, " ".join([item] * (150_000 // len(item)))), (2, "nothing of the kind in this text")],
+                                 "doc_id long, text string")
+    kept = corpus_pipeline.decontaminate_benchmark(spark, docs, sf)
+    assert [r["doc_id"] for r in kept.collect()] == [2]
