@@ -49,6 +49,32 @@ def test_forest_small(spark, feature_rows):
     assert preds.filter("p1 < 0 or p1 > 1").count() == 0
 
 
+def test_large_forest_is_grown_in_parts(spark, scratch, monkeypatch):
+    """No fit keeps the samples of more than ``PART_TREES`` trees, nor their nodes; the parts make one forest."""
+    from pyspark.ml.classification import RandomForestClassifier
+    fits = []
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: fits.append(
+        (self.getNumTrees(), self.getCacheNodeIds(), self.getFeatureSubsetStrategy(), self.getSeed())) or fit(self, rows))
+    rows = spark.range(600).selectExpr("cast(id % 20 as double) a", "cast(id % 7 as double) b",
+                                       "cast(id % 20 >= 10 as double) label")
+    monkeypatch.setattr(M, "FOREST_KEPT", 600 * 23 - 1)
+    model = M.train_intent(rows, M.forest(num_trees=23, max_depth=4), num_cols=["a", "b"], cat_cols=())
+    assert sum(n for n, *_ in fits) == 23 and max(n for n, *_ in fits) <= M.PART_TREES and len(fits) == 3
+    assert not any(kept for _, kept, *_ in fits) and {f[2] for f in fits} == {"sqrt"} and len({f[3] for f in fits}) == 3
+    grown = model.stages[-1]
+    assert grown.getNumTrees == len(grown.trees) == 23 and grown.numClasses == grown.numFeatures == 2
+    scored = model.transform(rows)
+    assert scored.filter("prediction <> label").count() == 0
+    M.save(model, f"{scratch}/parts")
+    again = M.load(f"{scratch}/parts").transform(rows)
+    assert sorted(map(str, again.select("probability").collect())) == sorted(map(str, scored.select("probability").collect()))
+    fits.clear()
+    monkeypatch.setattr(M, "FOREST_KEPT", 600 * 23)
+    M.train_intent(rows, M.forest(num_trees=23, max_depth=4), num_cols=["a", "b"], cat_cols=())
+    assert fits == [(23, True, "auto", 42)]
+
+
 def test_forest_partitions_hold_a_bounded_number_of_rows(spark, monkeypatch):
     """The feature table's few bytes a row make one file; the fit's partitions go by what a row costs."""
     from pyspark.ml.classification import RandomForestClassifier
