@@ -229,27 +229,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                       F.posexplode_outer(F.concat("windows", F.col("named.hash"))).alias("place", "hash"))
               .select("id", "text_key", "words", "hash", F.when(F.col("place") < F.col("n_plain"), F.col("place"))
                       .otherwise(F.get("named_at", F.col("place") - F.col("n_plain"))).alias("doc_at")))
-    own_words = F.slice("words", F.col("doc_at") + 1, window).alias("doc_words")
     if few:
-        # a window's own words, not the document's: all hits of a document are held at once behind the join, which
-        # with the document's words in each would be memory by the square of its length. Cut for windows that match.
-        met = places.select("id", "text_key", "hash", "doc_at", own_words).join(F.broadcast(bench), "hash")
+        met = places.join(F.broadcast(bench), "hash")
     else:       # shuffle hashes alone, and fetch the words of documents with a match afterwards
         keys = places.drop("words").join(bench, "hash")
         held = texts.select(F.col("id").alias("held_id"), F.xxhash64("text").alias("held_key"),
                             words_of(F.col("text")).alias("words"))
-        met = keys.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key"))) \
-            .withColumn("doc_words", own_words)
+        met = keys.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("text_key") == F.col("held_key")))
     pair = ["id", "text_key", "item_id", "item_key", "n_telling", "n_windows"]
+    # a window's own words, not the document's: all hits of a document are held at once behind the join, which with the
+    # document's words in each would be memory by the square of its length. They are cut in the join's own loop: behind
+    # it, since before it they (and doc_at) would be worked out for every window, and as a projection of its own, since
+    # doc_words is read twice by the next
+    met = met.select(*pair, "item_at", "item_words", "telling", "doc_at",
+                     F.slice("words", F.col("doc_at") + 1, window).alias("doc_words"))
     pairs = F.zip_with(F.zip_with("item_words", "doc_words", lambda i, d: F.struct(
         i.alias("word"), bare(i).alias("item"), bare(d).alias("doc"))), F.sequence(F.col("item_at"), F.col("item_at") + (
             F.size("item_words") - 1)), lambda p, i: F.struct(i.alias("at"), p["item"].alias("item"), p["doc"].alias("doc"),
                                                              is_slot(p["word"]).alias("slot")))
+    literal = F.transform("item_words", bare) == F.transform("doc_words", bare)
     # no filter on pairs here: as a join condition it would part the join from the explode, which then buffers its rows
     # an item's window with what is known of it in one number: place, telling, equal word by word
     code = F.col("item_at") * 4 + F.col("telling").cast("int") * 2 + F.col("literal").cast("int")
-    hits = (met.withColumn("pairs", pairs)
-            .withColumn("literal", F.forall("pairs", lambda p: p["item"].eqNullSafe(p["doc"])))
+    hits = (met.withColumns({"pairs": pairs, "literal": literal})
             .select(*pair, (F.col("doc_at") - F.col("item_at")).alias("shift"), code.alias("code"),
                     F.filter("pairs", lambda p: p["slot"]).alias("slots"))
             # all groupings below are finer than this
